@@ -56,7 +56,7 @@ def _nth_times(events: DataFrame, wanted: dict[int, Condition]) -> DataFrame:
             rows.where(F.col("_cond").isin(list(small)))
             .withColumn("_salt", row_salt(TOP_SALTS, "event_time", "row_id"))
             .withColumn("_pos", F.row_number().over(near))
-            .where(F.col("_pos") <= limit)
+            .where((F.col("_pos") <= limit) & (F.col("_pos") <= _by_number(small)))
             .withColumn("_sum", F.sum("event_count").over(whole.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
             .where(F.col("_sum") >= _by_number(small))
             .groupBy("user_id", "_cond")

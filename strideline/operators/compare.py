@@ -69,6 +69,9 @@ def metric_values(
     elapsed = elapsed_units(F.col("join_time"), as_instant(until), unit)
     bucketed = activity(events, members, hot).withColumn("bucket", bucket_index(F.col("join_time"), F.col("event_time"), unit))
     bucketed = bucketed.where(F.col("bucket") <= elapsed)
+    top = max_day if max_day is not None else max(DEFAULT_MAX_DAY, day)
+    last = top if kind == "ever_after" and metric in RETENTION_METRICS else day
+    bucketed = bucketed.where(F.col("bucket") <= last)
 
     counted = F.lit(True) if event in (None, "any") else F.col("event_name") == event
     if where is not None:
@@ -78,7 +81,6 @@ def metric_values(
     if metric in CUMULATIVE_METRICS:
         inside = F.col("bucket") <= day
     elif kind == "ever_after" and metric in RETENTION_METRICS:
-        top = max_day if max_day is not None else max(DEFAULT_MAX_DAY, day)
         inside = F.col("bucket").between(day, top)
     else:
         inside = F.col("bucket") == day

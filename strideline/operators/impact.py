@@ -17,7 +17,7 @@ from strideline.functions.predicates import event_set
 from strideline.functions.stats import mann_whitney_p, two_proportion_p
 from strideline.functions.times import DAY_MICROS, micros, seconds_between, shift_days
 from strideline.operators.cohorts import cohort_sizes
-from strideline.operators.ordering import first_per_key, quantile_columns, rank_sums
+from strideline.operators.ordering import hash_ranked, quantile_columns, rank_sums
 from strideline.operators.skew import HotKeys, hot_keys, join_per_key
 from strideline.operators.staging import stage
 from strideline.specs import EventMatch, SpecError
@@ -429,5 +429,4 @@ def _ranked_keys(spec: Experiment) -> list[str]:
 
 def sample_users(values: DataFrame, limit: int = SAMPLE_USERS, seed: str = "42") -> DataFrame:
     """A repeatable sample of ``limit`` users per cohort: the smallest hashes."""
-    hashed = values.withColumn("_hash", F.md5(F.concat(F.col("user_id"), F.lit(seed))))
-    return first_per_key(hashed, ["cohort_id"], [F.col("_hash").asc(), F.col("user_id").asc()], limit, ["user_id"]).drop("_hash", "_pos")
+    return hash_ranked(values, ["cohort_id"], "user_id", seed, limit).drop("_rank", "_total")

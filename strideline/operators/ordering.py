@@ -25,6 +25,7 @@ GROUP_LIMIT = 1_000
 TOP_SALTS = 16
 BUFFERED_VALUES = 500_000
 RANK_DECIMALS = 6
+HASH_DIGITS = 3
 MANTISSA_CELLS = 65_536
 
 
@@ -244,14 +245,20 @@ def rank_sums(rows: DataFrame, keys: Sequence[str], side: str, value: str) -> Da
     )
 
 
-def first_per_key(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], limit: int, salt_by: Sequence[str]) -> DataFrame:
-    """The first ``limit`` rows of each key, with their position ``_pos`` from 1.
+def first_per_key(rows: DataFrame, keys: Sequence[str], time: str, then: Sequence[str], limit: int) -> DataFrame:
+    """The first ``limit`` rows of each key by ``time, *then``, with position ``_pos`` from 1.
 
     Two ranked passes: the salted one lets every task drop all but ``limit`` rows
     per key and salt before the shuffle, so the second sees at most
-    ``limit * TOP_SALTS`` rows of a key.
+    ``limit * TOP_SALTS`` rows of a key. Beyond the rank Spark can limit early, rows
+    after the instant at which a key has ``limit`` rows are cut off first.
     """
-    salted = rows.withColumn("_salt", row_salt(TOP_SALTS, *salt_by))
+    order = [time, *then]
+    if limit > GROUP_LIMIT:
+        counted = rows.withColumns({"_one": F.lit(1).cast("long"), "_need": F.lit(limit).cast("long")})
+        ends = crossing_time(counted, keys, time, "_one", "_need").withColumnRenamed(time, "_end")
+        rows = rows.join(ends, list(keys), "left").where(F.col("_end").isNull() | (F.col(time) <= F.col("_end"))).drop("_end")
+    salted = rows.withColumn("_salt", row_salt(TOP_SALTS, *order))
     near = Window.partitionBy(*keys, "_salt").orderBy(*order)
     whole = Window.partitionBy(*keys).orderBy(*order)
     return (
@@ -293,3 +300,28 @@ def crossing_time(rows: DataFrame, keys: Sequence[str], time: str, weight: str,
         .agg(F.sum("_n").alias("_n"), F.max("_left").alias("_need"))
     )
     return crossing(instants, "_v").groupBy(*group).agg(from_micros(F.min("_v")).alias(time))
+
+
+def hash_ranked(rows: DataFrame, keys: Sequence[str], identity: str, seed: str, limit: int | None = None) -> DataFrame:
+    """Add ``_rank`` from 0 in the order of a seeded hash, and the key's ``_total``.
+
+    The rank is the number of rows in lower hash cells plus the place inside the own
+    cell. Cells are the first hex digits of the hash, so they are uniform and no
+    window holds more than about 1/4096 of a key. With ``limit`` only the cells that
+    can hold lower ranks are ordered.
+    """
+    hashed = rows.withColumn("_hash", F.md5(F.concat(F.col(identity), F.lit(seed))))
+    keyed = hashed.withColumn("_cell", F.substring("_hash", 1, HASH_DIGITS))
+    cells = keyed.groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = cells.select(
+        *keys,
+        "_cell",
+        (_running(keys, "_cell", "_n") - F.col("_n")).alias("_offset"),
+        F.sum("_n").over(Window.partitionBy(*keys)).alias("_total"),
+    )
+    if limit is not None:
+        offsets = offsets.where(F.col("_offset") < limit)
+    joined = keyed.join(offsets, [*keys, "_cell"])
+    place = F.row_number().over(Window.partitionBy(*keys, "_cell").orderBy("_hash", identity)) - 1
+    ranked = joined.withColumn("_rank", F.col("_offset") + place).drop("_hash", "_cell", "_offset")
+    return ranked if limit is None else ranked.where(F.col("_rank") < limit)

@@ -4,40 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strideline.operators.ordering import hash_ranked
 from strideline.specs import SpecError
 
 MIN_SPLIT_USERS = 8  # fixed value
 OTHER = "_other"
-_PREFIX = 3  # hex digits, so 4,096 cells
 
 
 def random_split(members: DataFrame, groups: int, seed: str) -> DataFrame:
     """``(cohort_id, user_id, join_time, group_index)`` in groups of near-equal size.
 
-    Users are ranked by a hash of id and seed. The rank is the number of users in
-    lower hash cells plus the place inside the own cell; cells are uniform, so no
-    window holds more than about 1/4096 of a cohort. A cohort of fewer than
-    ``MIN_SPLIT_USERS`` users yields nothing.
+    Users are ranked by a hash of id and seed and cut into equal shares of the ranks.
+    A cohort of fewer than ``MIN_SPLIT_USERS`` users yields nothing.
     """
     if groups < 2:
         raise SpecError("a split needs at least 2 groups")
-    keyed = members.withColumn("_hash", F.md5(F.concat(F.col("user_id"), F.lit(seed)))).withColumn(
-        "_cell", F.substring("_hash", 1, _PREFIX)
-    )
-    cells = keyed.groupBy("cohort_id", "_cell").agg(F.count(F.lit(1)).alias("_n"))
-    upto = Window.partitionBy("cohort_id").orderBy("_cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    offsets = cells.select(
-        "cohort_id",
-        "_cell",
-        (F.sum("_n").over(upto) - F.col("_n")).alias("_offset"),
-        F.sum("_n").over(Window.partitionBy("cohort_id")).alias("_total"),
-    ).where(F.col("_total") >= MIN_SPLIT_USERS)
-    place = F.row_number().over(Window.partitionBy("cohort_id", "_cell").orderBy("_hash", "user_id")) - 1
-    ranked = keyed.withColumn("_place", place).join(offsets, ["cohort_id", "_cell"])
-    index = F.floor((F.col("_offset") + F.col("_place")) * F.lit(groups) / F.col("_total")).cast("int")
+    ranked = hash_ranked(members, ["cohort_id"], "user_id", seed).where(F.col("_total") >= MIN_SPLIT_USERS)
+    index = F.floor(F.col("_rank") * F.lit(groups) / F.col("_total")).cast("int")
     return ranked.select("cohort_id", "user_id", "join_time", index.alias("group_index"))
 
 

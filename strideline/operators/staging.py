@@ -27,9 +27,14 @@ def staging_root(spark: SparkSession) -> str:
     return _local.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="spark-strideline-"))
 
 
+def staging_path(spark: SparkSession) -> str:
+    """A fresh folder of this application under the staging root."""
+    return f"{staging_root(spark)}/{_FOLDER}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
 def stage(frame: DataFrame) -> DataFrame:
     """Write the frame and return it as a plain scan."""
     spark = frame.sparkSession
-    path = f"{staging_root(spark)}/{_FOLDER}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = staging_path(spark)
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)

@@ -54,8 +54,7 @@ def timeline_page(events: DataFrame, page: int, size: int, user_id: str | None =
     """One page of each user's events by (time, name), with the position."""
     if page < 1 or not 1 <= size <= MAX_PAGE:
         raise SpecError(f"pages start at 1 and hold 1 to {MAX_PAGE} events")
-    order = [F.col("event_time").asc(), F.col("event_name").asc(), F.col("row_id").asc()]
-    first = first_per_key(_of(events, user_id), ["user_id"], order, page * size, ["row_id"])
+    first = first_per_key(_of(events, user_id), ["user_id"], "event_time", ["event_name", "row_id"], page * size)
     return first.where(F.col("_pos") > (page - 1) * size).withColumnRenamed("_pos", "position")
 
 

@@ -34,28 +34,32 @@ def usage_table(
     """``(cohort_id, bucket, size, eligible, volume, users, adopted, retained)``.
 
     ``users`` are distinct that day, ``adopted`` is the running count of users by
-    first active day, ``retained`` counts any (or the chosen) event.
+    first active day, ``retained`` counts any (or the chosen) event. All four come
+    from one activity join: usage and retention are conditional aggregates of the
+    same user buckets.
     """
-    hot = hot_keys(events)
-    rows = events.where(F.col("event_name") == event)
+    used = F.col("event_name") == event
     if where is not None:
-        rows = rows.where(where)
-    sparse = user_buckets(rows, members, until, max_day, "day", [F.sum("event_count").alias("volume")], hot)
-    by_day = sparse.groupBy("cohort_id", "bucket").agg(F.sum("volume").alias("volume"), F.count(F.lit(1)).alias("users"))
-    firsts = sparse.groupBy("cohort_id", "user_id").agg(F.min("bucket").alias("bucket"))
-    new = firsts.groupBy("cohort_id", "bucket").agg(F.count(F.lit(1)).alias("_new"))
-    retained = active_users(retention_buckets(events, members, until, max_day, "day", retention_event, hot))
+        used = used & where
+    kept = F.lit(True) if retention_event in (None, "any") else F.col("event_name") == retention_event
+    values = [
+        F.sum(F.when(used, F.col("event_count")).otherwise(0.0)).alias("volume"),
+        F.max(F.when(used, 1).otherwise(0)).alias("used"),
+        F.max(F.when(kept, 1).otherwise(0)).alias("kept"),
+    ]
+    rows = events.where(used | kept)
+    sparse = user_buckets(rows, members, until, max_day, "day", values, hot_keys(events))
+    # A user has at most max_day + 1 buckets, so this window is short.
+    first = F.min(F.when(F.col("used") == 1, F.col("bucket"))).over(Window.partitionBy("cohort_id", "user_id"))
     keys = ["cohort_id", "bucket"]
-    frame = (
-        eligibility(members, until, max_day)
-        .join(by_day, keys, "left")
-        .join(new, keys, "left")
-        .join(retained, keys, "left")
-        .na.fill(0, ["volume", "users", "_new", "active"])
-    )
-    return frame.select(
-        *keys, "size", "eligible", "volume", "users", _so_far("_new").alias("adopted"), F.col("active").alias("retained")
+    by_day = sparse.withColumn("_first", first).groupBy(*keys).agg(
+        F.sum("volume").alias("volume"),
+        F.sum("used").alias("users"),
+        F.count_if(F.col("bucket") == F.col("_first")).alias("_new"),
+        F.sum("kept").alias("retained"),
     )
+    frame = eligibility(members, until, max_day).join(by_day, keys, "left").na.fill(0, ["volume", "users", "_new", "retained"])
+    return frame.select(*keys, "size", "eligible", "volume", "users", _so_far("_new").alias("adopted"), "retained")
 
 
 def usage_by_day(events: DataFrame, members: DataFrame, until: datetime | Column, max_day: int, event: str, where: Column | None = None) -> DataFrame:

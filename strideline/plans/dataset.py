@@ -10,6 +10,7 @@ from strideline.functions.predicates import scope_predicate
 from strideline.operators import cohorts as co
 from strideline.operators import events as evs
 from strideline.operators import revenue, scope, splits
+from strideline.operators.staging import staging_path
 from strideline.operators.vectors import observation_end
 from strideline.plans.base import (
     COHORTS,
@@ -32,6 +33,8 @@ from strideline.plans.base import (
     orders,
     query,
 )
+from strideline.sources.csv import read_csv_events, with_row_id
+from strideline.sources.export import ResultTable, export_results
 from strideline.specs import Cohort, Condition, Filter
 
 # --- ingestion ------------------------------------------------------------------
@@ -130,6 +133,52 @@ def check_rows(spark, sf):
     return evs.check_rows(spark.read.parquet(f"{sf}/events.parquet"), mapping)
 
 
+@query(
+    "csv_ingest",
+    "user_id:s event_name:s event_time:t priority:s event_count:d original_revenue:d modified_revenue:d row_id:i",
+    """SELECT CAST(o_custkey AS VARCHAR) AS user_id, o_orderstatus AS event_name, o_orderdate AS event_time, 'level "' || o_orderpriority || '", new' AS priority,
+       1.0 AS event_count, o_totalprice AS original_revenue, o_totalprice AS modified_revenue, o_orderkey AS row_id FROM orders""",
+)
+def csv_ingest(spark, sf):
+    raw = spark.read.parquet(f"{sf}/orders.parquet").select(
+        F.col("o_custkey").alias("customer"),
+        F.col("o_orderstatus").alias("status"),
+        F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("at"),
+        F.col("o_totalprice").alias("price"),
+        F.concat(F.lit('level "'), F.col("o_orderpriority"), F.lit('", new')).alias("priority"),
+        F.col("o_orderkey").alias("order_id"),
+    )
+    path = staging_path(spark)
+    raw.write.option("header", True).option("escape", '"').csv(path)
+    loaded = with_row_id(read_csv_events(spark, path).rows, "order_id").drop("order_id")
+    mapping = evs.ColumnMapping("customer", "status", "at", revenue="price", kinds={"priority": "TEXT"})
+    mapped = evs.map_events(loaded, mapping)
+    return mapped.select("user_id", "event_name", "event_time", "priority", *evs.METRICS, "row_id")
+
+
+@query(
+    "csv_load_report",
+    "imported_rows:i skipped_rows:i",
+    "SELECT COUNT(*) FILTER (value <= 200) AS imported_rows, COUNT(*) FILTER (value > 200) AS skipped_rows FROM events",
+)
+def csv_load_report(spark, sf):
+    raw = spark.read.parquet(f"{sf}/events.parquet")
+    extra = F.when(F.col("value") > 200, F.lit(",one field too many")).otherwise(F.lit(""))
+    lines = raw.select(F.concat(F.concat_ws(",", "user_id", "event_type", "event_id"), extra).alias("uid,event,id"))
+    path = staging_path(spark)
+    # One semicolon-separated column, so the commas are written as they are.
+    lines.write.option("header", True).option("sep", ";").csv(path)
+    return read_csv_events(spark, path, multi_line=False).load_report()
+
+
+@query("export_round_trip", "event_name:s", "SELECT DISTINCT event_name FROM ev", EV)
+def export_round_trip(spark, sf):
+    path = staging_path(spark)
+    names = scope.list_events(events(spark, sf))
+    export_results(spark, {"events": ResultTable("Events", names, {"limit": None})}, path, "json")
+    return spark.read.schema("event_name string").json(f"{path}/events")
+
+
 @query("dataset_totals", "total_events:d total_users:i", "SELECT SUM(event_count) AS total_events, COUNT(DISTINCT user_id) AS total_users FROM ev", EV)
 def dataset_totals(spark, sf):
     return evs.dataset_totals(events(spark, sf))
@@ -498,6 +547,18 @@ def cohort_split_random(spark, sf):
     return splits.random_split(members(events(spark, sf)), 4, _SEED)
 
 
+@query(
+    "cohort_split_random_preview",
+    "cohort_id:i group_index:i size:i",
+    f"""SELECT cohort_id, floor(rn * 3 / total) AS group_index, COUNT(*) AS size FROM (
+       SELECT *, ROW_NUMBER() OVER (PARTITION BY cohort_id ORDER BY md5(user_id || '{_SEED}'), user_id) - 1 AS rn,
+              COUNT(*) OVER (PARTITION BY cohort_id) AS total FROM m) WHERE total >= 8 GROUP BY 1, 2""",
+    *MEMBERS,
+)
+def cohort_split_random_preview(spark, sf):
+    return splits.split_preview(splits.random_split(members(events(spark, sf)), 3, _SEED), "group_index")
+
+
 @query("cohort_split_hash")
 def cohort_split_hash(spark, sf):
     return splits.split_preview(splits.hash_split(members(events(spark, sf)), 4, 7), "group_index")

@@ -91,11 +91,13 @@ def test_levels_grow_with_the_value(spark):
     assert cells == sorted(cells)
 
 
-def test_first_per_key_and_crossing(spark):
+@pytest.mark.parametrize("group_limit", [1_000, 5])
+def test_first_per_key_and_crossing(spark, monkeypatch, group_limit):
     rng = random.Random(5)
     data = [("k%d" % (i * i % 3), at(seconds=rng.randrange(200_000), days=rng.randrange(3)), i, float(rng.randint(1, 3))) for i in range(300)]
     frame = spark.createDataFrame(data, "key string, t timestamp_ntz, id long, w double")
-    first = O.first_per_key(frame, ["key"], [F.col("t").asc(), F.col("id").asc()], 20, ["id"]).collect()
+    monkeypatch.setattr(O, "GROUP_LIMIT", group_limit)
+    first = O.first_per_key(frame, ["key"], "t", ["id"], 20).collect()
     for key in {d[0] for d in data}:
         own = sorted((d[1], d[2]) for d in data if d[0] == key)
         assert [r.id for r in sorted((r for r in first if r.key == key), key=lambda r: r._pos)] == [i for _, i in own[:20]]
@@ -112,5 +114,15 @@ def test_first_per_key_and_crossing(spark):
 
 def test_rank_limit_applies_before_the_shuffle(spark):
     frame = spark.range(100).selectExpr("id % 3 AS key", "id AS t")
-    plan = O.first_per_key(frame, ["key"], [F.col("t").asc()], 5, ["t"])._jdf.queryExecution().executedPlan().toString()
+    plan = O.first_per_key(frame, ["key"], "t", [], 5)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") >= 3
+
+
+def test_hash_ranks_are_complete_and_limited(spark):
+    frame = spark.createDataFrame([("a" if i % 3 else "b", f"u{i}") for i in range(200)], "key string, user string")
+    ranked = O.hash_ranked(frame, ["key"], "user", "s").collect()
+    for key in "ab":
+        own = sorted(r._rank for r in ranked if r.key == key)
+        assert own == list(range(len(own))) and {r._total for r in ranked if r.key == key} == {len(own)}
+    limited = O.hash_ranked(frame, ["key"], "user", "s", 7).collect()
+    assert sorted((r.key, r.user) for r in limited) == sorted((r.key, r.user) for r in ranked if r._rank < 7)
