@@ -34,41 +34,45 @@ def _by_number(values: dict[int, float]) -> Column:
     return picked
 
 
-def _nth_times(events: DataFrame, wanted: dict[int, Condition]) -> DataFrame:
-    """``(user_id, _cond, event_time)``: when the running event count reached its number.
+def _nth_times(events: DataFrame, wanted: dict[int, Condition], hot: HotKeys) -> DataFrame:
+    """``(user_id, _t<n>, ...)``: when the running event count reached each number.
 
     Counts are whole and at least 1, so the first ``n`` matching rows decide. Small
-    numbers are ranked with a limit that applies before each shuffle; larger ones
-    are found by narrowing days to seconds to instants.
+    numbers are ranked with a limit that every task applies before the shuffle; with
+    hot users a salted ranking goes first, so their rows never meet in one task.
+    Larger numbers are found by narrowing days to seconds to instants.
     """
-    hits = F.array_compact(
-        F.array(*[F.when(_condition_predicate(events, c), F.lit(number)) for number, c in wanted.items()])
-    )
-    rows = events.select("user_id", "event_time", "row_id", "event_count", F.explode(hits).alias("_cond"))
+    matches = {number: _condition_predicate(events, c) for number, c in wanted.items()}
+    hits = F.array_compact(F.array(*[F.when(match, F.lit(number)) for number, match in matches.items()]))
+    # The filter repeats the array's conditions for the scan's sake.
+    relevant = events.where(any_of(matches.values()))
+    rows = relevant.select("user_id", "event_time", "row_id", "event_count", F.explode(hits).alias("_cond"))
     parts = []
     small = {n: c.min_count for n, c in wanted.items() if c.min_count <= GROUP_LIMIT}
     large = {n: c.min_count for n, c in wanted.items() if c.min_count > GROUP_LIMIT}
     if small:
-        limit = max(small.values())
-        near = Window.partitionBy("user_id", "_cond", "_salt").orderBy("event_time", "row_id")
+        limit, need = max(small.values()), _by_number(small)
         whole = Window.partitionBy("user_id", "_cond").orderBy("event_time", "row_id")
-        parts.append(
-            rows.where(F.col("_cond").isin(list(small)))
-            .withColumn("_salt", row_salt(TOP_SALTS, "event_time", "row_id"))
-            .withColumn("_pos", F.row_number().over(near))
-            .where((F.col("_pos") <= limit) & (F.col("_pos") <= _by_number(small)))
-            .withColumn("_sum", F.sum("event_count").over(whole.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-            .where(F.col("_sum") >= _by_number(small))
-            .groupBy("user_id", "_cond")
-            .agg(F.min("event_time").alias("event_time"))
-        )
+        chosen = rows.where(F.col("_cond").isin(list(small))) if large else rows
+        if hot.salts is not None:
+            near = Window.partitionBy("user_id", "_cond", "_salt").orderBy("event_time", "row_id")
+            chosen = chosen.withColumn("_salt", row_salt(TOP_SALTS, "event_time", "row_id"))
+            chosen = chosen.withColumn("_pos", F.row_number().over(near)).where((F.col("_pos") <= limit) & (F.col("_pos") <= need))
+        running = F.sum("event_count").over(whole.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        ranked = chosen.withColumns({"_pos": F.row_number().over(whole), "_sum": running}).where(F.col("_pos") <= limit)
+        parts.append(ranked.where(F.col("_sum") >= need).select("user_id", "_cond", "event_time"))
     if large:
         heavy = rows.where(F.col("_cond").isin(list(large))).withColumn("_need", _by_number(large))
         parts.append(crossing_time(heavy, ["user_id", "_cond"], "event_time", "event_count", "_need"))
-    return reduce(DataFrame.unionByName, parts)
+    reached = reduce(DataFrame.unionByName, parts)
+    return reached.groupBy("user_id").agg(
+        *[F.min(F.when(F.col("_cond") == n, F.col("event_time"))).alias(f"_t{n}") for n in wanted]
+    )
 
 
-def build_membership(events: DataFrame, cohorts: Sequence[Cohort], include_hidden: bool = False) -> DataFrame:
+def build_membership(
+    events: DataFrame, cohorts: Sequence[Cohort], include_hidden: bool = False, hot: HotKeys | None = None
+) -> DataFrame:
     """``(cohort_id, user_id, join_time)`` for all cohorts together.
 
     Equal conditions are evaluated once. First-occurrence times of every condition
@@ -88,11 +92,8 @@ def build_membership(events: DataFrame, cohorts: Sequence[Cohort], include_hidde
         firsts.append(F.min(F.when(_condition_predicate(events, condition), F.col("event_time"))).alias(f"_t{number}"))
     users = events.where(F.col("user_id").isNotNull()).groupBy("user_id").agg(*firsts)
     if nth:
-        times = _nth_times(events, nth)
-        wide = times.groupBy("user_id").agg(
-            *[F.min(F.when(F.col("_cond") == n, F.col("event_time"))).alias(f"_t{n}") for n in nth]
-        )
-        users = users.join(wide, "user_id", "left")
+        times = _nth_times(events, nth, hot_keys(events) if hot is None else hot)
+        users = users.join(times, "user_id", "left")
 
     entries = []
     for cohort in chosen:

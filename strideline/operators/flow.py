@@ -145,9 +145,10 @@ def flow_level(
     top_n: int = 3,
     where: Filter | None = None,
     timing: bool = True,
+    hot: HotKeys | None = None,
 ) -> DataFrame:
     """The transition table of one node, for every cohort at once."""
-    hot = hot_keys(events)
+    hot = hot_keys(events) if hot is None else hot
     anchors = flow_anchors(events, members, path, direction, where, hot)
     moves = stage(transitions(events, anchors, len(path), direction, hot))
     counts = target_counts(moves, top_n)
@@ -156,7 +157,15 @@ def flow_level(
     return counts.join(transition_timing(moves), ["cohort_id", "next_event"], "left")
 
 
-def flow_edges(events: DataFrame, members: DataFrame, start: str, depth: int = 2, direction: str = "forward", top_n: int = 3) -> DataFrame:
+def flow_edges(
+    events: DataFrame,
+    members: DataFrame,
+    start: str,
+    depth: int = 2,
+    direction: str = "forward",
+    top_n: int = 3,
+    hot: HotKeys | None = None,
+) -> DataFrame:
     """Edges of the expanded tree, level by level, for export.
 
     A level's top targets (at most ``top_n`` per node) become the next level's
@@ -164,7 +173,7 @@ def flow_edges(events: DataFrame, members: DataFrame, start: str, depth: int = 2
     """
     if not 1 <= depth < MAX_FLOW_DEPTH:
         raise SpecError(f"depth is 1 to {MAX_FLOW_DEPTH - 1}")
-    hot = hot_keys(events)
+    hot = hot_keys(events) if hot is None else hot
     keys = ["node", "cohort_id", "user_id"]
     forward = _forward(direction)
     states = stage(flow_root(events, members, start, hot=hot).withColumn("node", F.array(F.lit(start))))

@@ -258,9 +258,9 @@ class ImpactBase:
     times: DataFrame
 
 
-def prepare(events: DataFrame, members: DataFrame, spec: Experiment) -> ImpactBase:
+def prepare(events: DataFrame, members: DataFrame, spec: Experiment, hot: HotKeys | None = None) -> ImpactBase:
     """Read the events once and stage the per-user frames."""
-    hot = hot_keys(events)
+    hot = hot_keys(events) if hot is None else hot
     days = stage(user_days(events, members, spec, hot))
     totals = stage(user_totals(days, members, spec))
     times = stage(interaction_times(events, totals, spec, hot))

@@ -127,15 +127,16 @@ def exact_quantiles(
     )
 
 
-def quantile_instant(rows: DataFrame, time: str, fraction: float) -> datetime | None:
+def quantile_instant(rows: DataFrame, time: str, fraction: float, count: int | None = None) -> datetime | None:
     """The interpolated quantile of a timestamp column, computed now.
 
-    A table small enough for one buffer takes the built-in percentile. Else three counts over ever narrower literal time ranges: days of everything, seconds
+    A table small enough for one buffer (``count`` rows, if already known) takes the
+    built-in percentile. Else three counts over ever narrower literal time ranges: days of everything, seconds
     of the day found, instants of the second found. Only the first reads the whole
     column; the ranges of the others are pushed into the scan. Each count returns at
     most two rows.
     """
-    if rows.count() <= BUFFERED_VALUES:
+    if (rows.count() if count is None else count) <= BUFFERED_VALUES:
         value = rows.agg(F.percentile(micros(F.col(time)), F.lit(fraction)).alias("value")).first()["value"]
         return None if value is None else datetime(1970, 1, 1) + timedelta(microseconds=int(value))
     found: dict[int, tuple[int, int]] | None = None  # side -> (cell start, rank in cell)

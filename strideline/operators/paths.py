@@ -158,15 +158,29 @@ def cohort_gaps(conversion: DataFrame) -> DataFrame:
     )
 
 
-def dropoff_cohort(events: DataFrame, members: DataFrame, steps: Sequence[PathStep], step: int, gap_minutes: int | None = None) -> DataFrame:
+def dropoff_cohort(
+    events: DataFrame,
+    members: DataFrame,
+    steps: Sequence[PathStep],
+    step: int,
+    gap_minutes: int | None = None,
+    hot: HotKeys | None = None,
+) -> DataFrame:
     """Members who completed exactly the steps before ``step``, with their join times."""
-    trails = path_trails(events, members, steps, gap_minutes, upto=step)
+    trails = path_trails(events, members, steps, gap_minutes, step, hot)
     return trails.where(F.size("trail") == step - 1).select("cohort_id", "user_id", "join_time")
 
 
-def reached_cohort(events: DataFrame, members: DataFrame, steps: Sequence[PathStep], step: int, gap_minutes: int | None = None) -> DataFrame:
+def reached_cohort(
+    events: DataFrame,
+    members: DataFrame,
+    steps: Sequence[PathStep],
+    step: int,
+    gap_minutes: int | None = None,
+    hot: HotKeys | None = None,
+) -> DataFrame:
     """Members who completed ``step``, with their join times."""
-    trails = path_trails(events, members, steps, gap_minutes, upto=step)
+    trails = path_trails(events, members, steps, gap_minutes, step, hot)
     return trails.where(F.size("trail") >= step).select("cohort_id", "user_id", "join_time")
 
 

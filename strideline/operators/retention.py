@@ -72,13 +72,15 @@ def useful_horizon(table: DataFrame) -> DataFrame:
     ).select(F.greatest(F.lit(1), F.coalesce(F.col("_end") - 1, F.col("_last"))).alias("horizon"))
 
 
-def ever_after_counts(events: DataFrame, members: DataFrame, max_day: int, unit: str = "day", event: str | None = None) -> DataFrame:
+def ever_after_counts(
+    events: DataFrame, members: DataFrame, max_day: int, unit: str = "day", event: str | None = None, hot: HotKeys | None = None
+) -> DataFrame:
     """Users active at or after each bucket, without a boundary or eligibility.
 
     Activity beyond the last bucket counts towards all of them.
     """
     rows = events if event in (None, "any") else events.where(F.col("event_name") == event)
-    joined = activity(rows, members).withColumn("bucket", bucket_index(F.col("join_time"), F.col("event_time"), unit))
+    joined = activity(rows, members, hot).withColumn("bucket", bucket_index(F.col("join_time"), F.col("event_time"), unit))
     top = last_bucket(max_day, unit)
     lasts = joined.groupBy("cohort_id", "user_id").agg(F.max("bucket").alias("last"))
     ends = lasts.groupBy("cohort_id", F.least(F.col("last"), F.lit(top)).alias("bucket")).agg(F.count(F.lit(1)).alias("active"))

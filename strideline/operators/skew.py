@@ -24,10 +24,11 @@ MAX_HOT_KEYS = 50_000
 
 @dataclass(frozen=True)
 class HotKeys:
-    """The heaviest keys with their number of salts, or nothing to do."""
+    """The heaviest keys with their number of salts, or nothing to do; and the row count."""
 
     key: str
     salts: DataFrame | None = None
+    rows: int = 0
 
 
 def hot_keys(rows: DataFrame, key: str = "user_id", hot_rows: int | None = None) -> HotKeys:
@@ -38,16 +39,17 @@ def hot_keys(rows: DataFrame, key: str = "user_id", hot_rows: int | None = None)
     """
     limit = HOT_ROWS if hot_rows is None else hot_rows
     per_salt = max(1, min(ROWS_PER_SALT, limit))
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
+    most, total = counts.agg(F.max("_rows"), F.coalesce(F.sum("_rows"), F.lit(0))).first()
+    if most is None or most <= limit:
+        return HotKeys(key, None, total)
     heavy = (
-        rows.groupBy(key)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .where(F.col("_rows") > limit)
+        counts.where(F.col("_rows") > limit)
         .orderBy(F.col("_rows").desc(), key)
         .limit(MAX_HOT_KEYS)
         .select(key, F.ceil(F.col("_rows") / F.lit(per_salt)).cast("int").alias("_salts"))
     )
-    found = heavy.collect()
-    return HotKeys(key, rows.sparkSession.createDataFrame(found, heavy.schema) if found else None)
+    return HotKeys(key, rows.sparkSession.createDataFrame(heavy.collect(), heavy.schema), total)
 
 
 def _with_salts(frame: DataFrame, hot: HotKeys) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strideline.operators.cohorts import activity, cohort_sizes
 from strideline.operators.retention import active_users
-from strideline.operators.skew import hot_keys
+from strideline.operators.skew import HotKeys
 from strideline.operators.vectors import eligibility, retention_buckets, user_buckets
 
 # Upper ends and names of the frequency classes.
@@ -30,6 +30,7 @@ def usage_table(
     event: str,
     retention_event: str | None = None,
     where: Column | None = None,
+    hot: HotKeys | None = None,
 ) -> DataFrame:
     """``(cohort_id, bucket, size, eligible, volume, users, adopted, retained)``.
 
@@ -48,7 +49,7 @@ def usage_table(
         F.max(F.when(kept, 1).otherwise(0)).alias("kept"),
     ]
     rows = events.where(used | kept)
-    sparse = user_buckets(rows, members, until, max_day, "day", values, hot_keys(events))
+    sparse = user_buckets(rows, members, until, max_day, "day", values, hot)
     # A user has at most max_day + 1 buckets, so this window is short.
     first = F.min(F.when(F.col("used") == 1, F.col("bucket"))).over(Window.partitionBy("cohort_id", "user_id"))
     keys = ["cohort_id", "bucket"]
@@ -62,29 +63,46 @@ def usage_table(
     return frame.select(*keys, "size", "eligible", "volume", "users", _so_far("_new").alias("adopted"), "retained")
 
 
-def usage_by_day(events: DataFrame, members: DataFrame, until: datetime | Column, max_day: int, event: str, where: Column | None = None) -> DataFrame:
+def usage_by_day(
+    events: DataFrame,
+    members: DataFrame,
+    until: datetime | Column,
+    max_day: int,
+    event: str,
+    where: Column | None = None,
+    hot: HotKeys | None = None,
+) -> DataFrame:
     """Only volume and distinct users: one activity join."""
     rows = events.where(F.col("event_name") == event)
     if where is not None:
         rows = rows.where(where)
-    sparse = user_buckets(rows, members, until, max_day, "day", [F.sum("event_count").alias("volume")], hot_keys(events))
+    sparse = user_buckets(rows, members, until, max_day, "day", [F.sum("event_count").alias("volume")], hot)
     by_day = sparse.groupBy("cohort_id", "bucket").agg(F.sum("volume").alias("volume"), F.count(F.lit(1)).alias("users"))
     frame = eligibility(members, until, max_day).join(by_day, ["cohort_id", "bucket"], "left")
     return frame.na.fill(0, ["volume", "users"])
 
 
-def adoption_by_day(events: DataFrame, members: DataFrame, until: datetime | Column, max_day: int, event: str) -> DataFrame:
+def adoption_by_day(
+    events: DataFrame, members: DataFrame, until: datetime | Column, max_day: int, event: str, hot: HotKeys | None = None
+) -> DataFrame:
     """Running number of users by their first active day."""
     rows = events.where(F.col("event_name") == event)
-    sparse = user_buckets(rows, members, until, max_day, "day", [], hot_keys(events))
+    sparse = user_buckets(rows, members, until, max_day, "day", [], hot)
     firsts = sparse.groupBy("cohort_id", "user_id").agg(F.min("bucket").alias("bucket"))
     new = firsts.groupBy("cohort_id", "bucket").agg(F.count(F.lit(1)).alias("_new"))
     frame = eligibility(members, until, max_day).join(new, ["cohort_id", "bucket"], "left").na.fill(0, ["_new"])
     return frame.select("cohort_id", "bucket", "size", _so_far("_new").alias("adopted"))
 
 
-def retained_by_day(events: DataFrame, members: DataFrame, until: datetime | Column, max_day: int, event: str | None = None) -> DataFrame:
-    sparse = retention_buckets(events, members, until, max_day, "day", event)
+def retained_by_day(
+    events: DataFrame,
+    members: DataFrame,
+    until: datetime | Column,
+    max_day: int,
+    event: str | None = None,
+    hot: HotKeys | None = None,
+) -> DataFrame:
+    sparse = retention_buckets(events, members, until, max_day, "day", event, hot)
     frame = eligibility(members, until, max_day).join(active_users(sparse), ["cohort_id", "bucket"], "left")
     return frame.select("cohort_id", "bucket", "size", "eligible", F.coalesce("active", F.lit(0).cast("long")).alias("retained"))
 
@@ -131,7 +149,9 @@ def frequency_class(total: Column) -> Column:
     return label
 
 
-def usage_frequency(events: DataFrame, members: DataFrame, event: str, where: Column | None = None) -> DataFrame:
+def usage_frequency(
+    events: DataFrame, members: DataFrame, event: str, where: Column | None = None, hot: HotKeys | None = None
+) -> DataFrame:
     """``(cohort_id, frequency, users, share)``: members by their number of events after joining.
 
     Every class is present for every cohort; members without the event are class 0.
@@ -139,7 +159,7 @@ def usage_frequency(events: DataFrame, members: DataFrame, event: str, where: Co
     rows = events.where(F.col("event_name") == event)
     if where is not None:
         rows = rows.where(where)
-    totals = activity(rows, members, hot_keys(events)).groupBy("cohort_id", "user_id").agg(F.sum("event_count").alias("total"))
+    totals = activity(rows, members, hot).groupBy("cohort_id", "user_id").agg(F.sum("event_count").alias("total"))
     filled = members.join(totals, ["cohort_id", "user_id"], "left")
     counted = filled.groupBy("cohort_id", frequency_class(F.coalesce("total", F.lit(0.0))).alias("frequency")).agg(
         F.count(F.lit(1)).alias("users")

@@ -13,7 +13,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strideline.functions.times import as_instant, bucket_index, elapsed_units
+from strideline.functions.times import as_instant, bucket_index, elapsed_units, from_micros, micros
 from strideline.operators.cohorts import activity
 from strideline.operators.ordering import exact_quantiles, quantile_instant
 from strideline.operators.skew import HotKeys
@@ -21,9 +21,9 @@ from strideline.operators.skew import HotKeys
 OBSERVED_FRACTION = 0.999  # fixed value
 
 
-def observed_until(events: DataFrame, now: datetime | None = None) -> datetime | None:
+def observed_until(events: DataFrame, now: datetime | None = None, hot: HotKeys | None = None) -> datetime | None:
     """End of observation: the 0.999 quantile of event time, cut to whole seconds."""
-    end = quantile_instant(events, "event_time", OBSERVED_FRACTION)
+    end = quantile_instant(events, "event_time", OBSERVED_FRACTION, None if hot is None else hot.rows)
     if end is None:
         return None
     if now is not None and now < end:
@@ -33,8 +33,6 @@ def observed_until(events: DataFrame, now: datetime | None = None) -> datetime |
 
 def observation_end(events: DataFrame, now: datetime | None = None) -> DataFrame:
     """The same as a lazy one-row DataFrame."""
-    from strideline.functions.times import from_micros, micros
-
     rows = events.select(micros(F.col("event_time")).alias("_us"))
     found = exact_quantiles(rows, [], "_us", [OBSERVED_FRACTION], "micros", collapse=False)
     end = from_micros(F.col("quantile"))
@@ -122,9 +120,10 @@ def retention_vector(
     unit: str = "day",
     event: str | None = None,
     kind: str = "classic",
+    hot: HotKeys | None = None,
 ) -> DataFrame:
     """Active (classic) or still active later (ever_after) per user and bucket."""
-    sparse = retention_buckets(events, members, until, max_day, unit, event)
+    sparse = retention_buckets(events, members, until, max_day, unit, event, hot)
     grid = dense(sparse.withColumnRenamed("active", "value"), members, until, max_day, unit, ["value"])
     if kind == "classic":
         return grid
@@ -143,13 +142,14 @@ def usage_vector(
     metric: str = "volume",
     unit: str = "day",
     where: Column | None = None,
+    hot: HotKeys | None = None,
 ) -> DataFrame:
     """Event count (volume) or a 0/1 flag (unique) per user and bucket."""
     rows = events.where(F.col("event_name") == event)
     if where is not None:
         rows = rows.where(where)
     value = F.sum("event_count") if metric == "volume" else F.lit(1.0)
-    sparse = user_buckets(rows, members, until, max_day, unit, [value.alias("value")])
+    sparse = user_buckets(rows, members, until, max_day, unit, [value.alias("value")], hot)
     return dense(sparse, members, until, max_day, unit, ["value"])
 
 
@@ -160,9 +160,10 @@ def revenue_vector(
     max_day: int,
     unit: str = "day",
     where: Column | None = None,
+    hot: HotKeys | None = None,
 ) -> DataFrame:
     """Revenue and event count per user and bucket; every row counts."""
     rows = events if where is None else events.where(where)
     values = [F.sum("modified_revenue").alias("value"), F.sum("event_count").alias("event_count")]
-    sparse = user_buckets(rows, members, until, max_day, unit, values)
+    sparse = user_buckets(rows, members, until, max_day, unit, values, hot)
     return dense(sparse, members, until, max_day, unit, ["value", "event_count"])

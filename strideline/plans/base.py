@@ -8,13 +8,17 @@ would never scale but are easy to check by reading.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strideline.operators.cohorts import build_membership
+from strideline.operators.skew import HotKeys, hot_keys
 from strideline.operators.staging import stage
+from strideline.operators.vectors import observed_until
 from strideline.session import configure
 from strideline.specs import Cohort, Condition, Filter, RevenueRule
 
@@ -139,8 +143,26 @@ RULES = [
 ]
 
 
+@dataclass(frozen=True)
+class Study:
+    """What the analyses of one dataset share: hot users, stored membership, and the end."""
+
+    rows: DataFrame
+    hot: HotKeys
+    members: DataFrame
+
+    @property
+    def until(self) -> datetime:
+        return observed_until(self.rows, hot=self.hot)
+
+
+def study(rows: DataFrame) -> Study:
+    hot = hot_keys(rows)
+    return Study(rows, hot, stage(build_membership(rows, COHORTS, hot=hot)))
+
+
 def members(rows: DataFrame) -> DataFrame:
-    return stage(build_membership(rows, COHORTS))
+    return study(rows).members
 
 
 def nth(source: str, where: str, n: int) -> str:

@@ -32,6 +32,7 @@ from strideline.plans.base import (
     nth,
     orders,
     query,
+    study,
 )
 from strideline.sources.csv import read_csv_events, with_row_id
 from strideline.sources.export import ResultTable, export_results
@@ -472,8 +473,8 @@ def cohort_membership_batch(spark, sf):
     act(),
 )
 def cohort_activity(spark, sf):
-    rows = events(spark, sf)
-    return co.activity(rows, members(rows)).select("cohort_id", "user_id", "row_id", "event_time", "join_time")
+    base = study(events(spark, sf))
+    return co.activity(base.rows, base.members, base.hot).select("cohort_id", "user_id", "row_id", "event_time", "join_time")
 
 
 _SPECS = "specs AS (SELECT * FROM (VALUES (1, 'All Users'), (2, 'Heavy buyers'), (3, 'Engaged'), (4, 'Smooth buyers'), (6, 'Nobody')) v(cohort_id, name))"

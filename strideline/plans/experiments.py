@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 from strideline.operators import compare, impact
 from strideline.operators.revenue import modified_revenue
 from strideline.operators.staging import stage
-from strideline.operators.vectors import observed_until
-from strideline.plans.base import MEMBERS, OBS, RULES, act, events, grid, members, query, two_sided_sql
+from strideline.plans.base import MEMBERS, OBS, RULES, act, events, grid, query, study, two_sided_sql
 from strideline.plans.metrics import _CELLS, _FACTS
 from strideline.specs import EventMatch
 
@@ -17,14 +16,10 @@ WIDE = 30
 DENSE = (*MEMBERS, OBS, act(), grid(WIDE), _FACTS, _CELLS)
 
 
-def _base(spark, sf):
-    rows = modified_revenue(events(spark, sf), RULES)
-    return rows, members(rows), observed_until(rows)
-
-
 def _values(spark, sf, metric, event=None, **options):
-    rows, joined, until = _base(spark, sf)
-    return compare.metric_values(rows, joined.where(F.col("cohort_id").isin(A, B)), until, metric, DAY, event, **options)
+    base = study(modified_revenue(events(spark, sf), RULES))
+    pair = base.members.where(F.col("cohort_id").isin(A, B))
+    return compare.metric_values(base.rows, pair, base.until, metric, DAY, event, hot=base.hot, **options)
 
 
 # --- per-user values ------------------------------------------------------------
@@ -317,14 +312,17 @@ vectors AS (
 IMPACT = (*MEMBERS, _WINDOW)
 
 
-def _rows(spark, sf):
-    rows = modified_revenue(events(spark, sf), RULES)
-    return rows, members(rows)
+def _study(spark, sf):
+    return study(modified_revenue(events(spark, sf), RULES))
+
+
+def _days(base):
+    return impact.user_days(base.rows, base.members, SPEC, base.hot)
 
 
 def _totals(spark, sf):
-    rows, joined = _rows(spark, sf)
-    return impact.user_totals(impact.user_days(rows, joined, SPEC), joined, SPEC)
+    base = _study(spark, sf)
+    return impact.user_totals(_days(base), base.members, SPEC)
 
 
 @query(
@@ -334,8 +332,8 @@ def _totals(spark, sf):
     *IMPACT,
 )
 def impact_window(spark, sf):
-    rows, joined = _rows(spark, sf)
-    return impact.impact_window(rows, joined, SPEC).select("cohort_id", "user_id", "row_id", "rel_day", "modified_revenue")
+    base = _study(spark, sf)
+    return impact.impact_window(base.rows, base.members, SPEC, base.hot).select("cohort_id", "user_id", "row_id", "rel_day", "modified_revenue")
 
 
 @query(
@@ -361,14 +359,14 @@ def impact_rates(spark, sf):
 
 @query("impact_time_to_interaction", "cohort_id:i user_id:s seconds:d", "SELECT * FROM delays", *IMPACT, _DELAYS)
 def impact_time_to_interaction(spark, sf):
-    rows, joined = _rows(spark, sf)
-    totals = stage(impact.user_totals(impact.user_days(rows, joined, SPEC), joined, SPEC))
-    return impact.interaction_times(rows, totals, SPEC)
+    base = _study(spark, sf)
+    totals = stage(impact.user_totals(_days(base), base.members, SPEC))
+    return impact.interaction_times(base.rows, totals, SPEC, base.hot)
 
 
 def _daily(spark, sf):
-    rows, joined = _rows(spark, sf)
-    return impact.daily_series(impact.user_days(rows, joined, SPEC), joined, SPEC)
+    base = _study(spark, sf)
+    return impact.daily_series(_days(base), base.members, SPEC)
 
 
 @query("impact_daily_series", "cohort_id:i rel_day:i active_users:i engagement:d revenue:d", "SELECT * FROM series", *IMPACT, _SERIES)
@@ -409,7 +407,8 @@ _ALL_METRICS = (*IMPACT, _COUNTED, _RATES, _DELAYS, _SERIES, _AVERAGES, _LONG)
 
 
 def _prepared(spark, sf):
-    return impact.prepare(*_rows(spark, sf), SPEC)
+    base = _study(spark, sf)
+    return impact.prepare(base.rows, base.members, SPEC, base.hot)
 
 
 @query("impact_deltas", "cohort_id:i metric_key:s delta:d", "SELECT * FROM deltas WHERE cohort_id <> 1", *_ALL_METRICS)

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 from strideline.functions.predicates import text_predicate
 from strideline.operators import ltv, monetization, retention, usage, vectors
 from strideline.operators.revenue import modified_revenue
-from strideline.plans.base import MAX_DAY, MEMBERS, OBS, RULES, SIZES, act, events, grid, members, query
+from strideline.plans.base import MAX_DAY, MEMBERS, OBS, RULES, SIZES, act, events, grid, query, study
 from strideline.specs import Filter
 
 
 def _base(spark, sf):
-    rows = events(spark, sf)
-    return rows, members(rows), vectors.observed_until(rows)
+    base = study(events(spark, sf))
+    return base.rows, base.members, base.until, base.hot
 
 
 # Per-user and bucket facts, all rows at or after joining.
@@ -45,8 +45,8 @@ _VECTOR = "cohort_id:i user_id:s bucket:i value:d is_eligible:i"
     *DENSE,
 )
 def retention_vector_classic(spark, sf):
-    rows, joined, until = _base(spark, sf)
-    return _as_double(vectors.retention_vector(rows, joined, until, MAX_DAY))
+    rows, joined, until, hot = _base(spark, sf)
+    return _as_double(vectors.retention_vector(rows, joined, until, MAX_DAY, hot=hot))
 
 
 @query(
@@ -57,8 +57,8 @@ def retention_vector_classic(spark, sf):
     *DENSE,
 )
 def retention_vector_ever_after(spark, sf):
-    rows, joined, until = _base(spark, sf)
-    return _as_double(vectors.retention_vector(rows, joined, until, MAX_DAY, event="purchase", kind="ever_after"))
+    rows, joined, until, hot = _base(spark, sf)
+    return _as_double(vectors.retention_vector(rows, joined, until, MAX_DAY, event="purchase", kind="ever_after", hot=hot))
 
 
 def _as_double(frame):
@@ -67,8 +67,8 @@ def _as_double(frame):
 
 @query("usage_vector_volume", _VECTOR, "SELECT cohort_id, user_id, bucket, clicks AS value, ok AS is_eligible FROM cells", *DENSE)
 def usage_vector_volume(spark, sf):
-    rows, joined, until = _base(spark, sf)
-    return vectors.usage_vector(rows, joined, until, MAX_DAY, "click")
+    rows, joined, until, hot = _base(spark, sf)
+    return vectors.usage_vector(rows, joined, until, MAX_DAY, "click", hot=hot)
 
 
 @query(
@@ -78,8 +78,8 @@ def usage_vector_volume(spark, sf):
     *DENSE,
 )
 def usage_vector_unique(spark, sf):
-    rows, joined, until = _base(spark, sf)
-    return vectors.usage_vector(rows, joined, until, MAX_DAY, "click", "unique")
+    rows, joined, until, hot = _base(spark, sf)
+    return vectors.usage_vector(rows, joined, until, MAX_DAY, "click", "unique", hot=hot)
 
 
 _SOME_K = Filter("k", "in", ["10", "20", "30", "40", "50"])
@@ -87,8 +87,8 @@ _SOME_K = Filter("k", "in", ["10", "20", "30", "40", "50"])
 
 @query("usage_property_filter", _VECTOR, "SELECT cohort_id, user_id, bucket, some_clicks AS value, ok AS is_eligible FROM cells", *DENSE)
 def usage_property_filter(spark, sf):
-    rows, joined, until = _base(spark, sf)
-    return vectors.usage_vector(rows, joined, until, MAX_DAY, "click", where=text_predicate(_SOME_K))
+    rows, joined, until, hot = _base(spark, sf)
+    return vectors.usage_vector(rows, joined, until, MAX_DAY, "click", where=text_predicate(_SOME_K), hot=hot)
 
 
 @query(
@@ -98,8 +98,8 @@ def usage_property_filter(spark, sf):
     *DENSE,
 )
 def revenue_vector(spark, sf):
-    rows, joined, until = _base(spark, sf)
-    return vectors.revenue_vector(modified_revenue(rows, RULES), joined, until, MAX_DAY)
+    rows, joined, until, hot = _base(spark, sf)
+    return vectors.revenue_vector(modified_revenue(rows, RULES), joined, until, MAX_DAY, hot=hot)
 
 
 # --- retention ------------------------------------------------------------------
@@ -117,14 +117,14 @@ _ACTIVE = "CASE WHEN any_events > 0 THEN 1 ELSE 0 END"
 
 @query("retention_table", _TABLE, _table_sql(_ACTIVE), *DENSE)
 def retention_table(spark, sf):
-    rows, joined, until = _base(spark, sf)
-    return retention.retention_table(rows, joined, until, MAX_DAY)
+    rows, joined, until, hot = _base(spark, sf)
+    return retention.retention_table(rows, joined, until, MAX_DAY, hot=hot)
 
 
 @query("retention_event", _TABLE, _table_sql("CASE WHEN purchases > 0 THEN 1 ELSE 0 END"), *DENSE)
 def retention_event(spark, sf):
-    rows, joined, until = _base(spark, sf)
-    return retention.retention_table(rows, joined, until, MAX_DAY, event="purchase")
+    rows, joined, until, hot = _base(spark, sf)
+    return retention.retention_table(rows, joined, until, MAX_DAY, event="purchase", hot=hot)
 
 
 @query(
@@ -138,14 +138,14 @@ def retention_event(spark, sf):
     *DENSE,
 )
 def retention_ever_after(spark, sf):
-    rows, joined, until = _base(spark, sf)
-    return retention.retention_table(rows, joined, until, MAX_DAY, kind="ever_after")
+    rows, joined, until, hot = _base(spark, sf)
+    return retention.retention_table(rows, joined, until, MAX_DAY, kind="ever_after", hot=hot)
 
 
 @query("retention_hourly", _TABLE, _table_sql(_ACTIVE), *HOURLY)
 def retention_hourly(spark, sf):
-    rows, joined, until = _base(spark, sf)
-    return retention.retention_table(rows, joined, until, 2, unit="hour")
+    rows, joined, until, hot = _base(spark, sf)
+    return retention.retention_table(rows, joined, until, 2, unit="hour", hot=hot)
 
 
 _WILSON = f"""SELECT *, CASE WHEN n > 0 THEN GREATEST(0.0, (p + z * z / (2 * n) - z * sqrt((p * (1 - p) + z * z / (4 * n)) / n)) / (1 + z * z / n)) * 100 END AS ci_lower,
@@ -155,8 +155,8 @@ _WILSON = f"""SELECT *, CASE WHEN n > 0 THEN GREATEST(0.0, (p + z * z / (2 * n)
 
 @query("retention_wilson_ci", _TABLE + " ci_lower:d ci_upper:d", _WILSON, *DENSE)
 def retention_wilson_ci(spark, sf):
-    rows, joined, until = _base(spark, sf)
-    return retention.with_interval(retention.retention_table(rows, joined, until, MAX_DAY), 0.95)
+    rows, joined, until, hot = _base(spark, sf)
+    return retention.with_interval(retention.retention_table(rows, joined, until, MAX_DAY, hot=hot), 0.95)
 
 
 @query(
@@ -167,9 +167,9 @@ def retention_wilson_ci(spark, sf):
     *DENSE,
 )
 def retention_horizon(spark, sf):
-    rows, joined, until = _base(spark, sf)
+    rows, joined, until, hot = _base(spark, sf)
     chosen = rows.where((F.col("event_name") == "click") & text_predicate(_SOME_K))
-    return retention.useful_horizon(retention.retention_table(chosen, joined, until, MAX_DAY))
+    return retention.useful_horizon(retention.retention_table(chosen, joined, until, MAX_DAY, hot=hot))
 
 
 @query(
@@ -182,8 +182,8 @@ def retention_horizon(spark, sf):
     act(),
 )
 def retention_sparse_ever_after(spark, sf):
-    rows = events(spark, sf)
-    return retention.ever_after_counts(rows, members(rows), MAX_DAY, event="purchase")
+    base = study(events(spark, sf))
+    return retention.ever_after_counts(base.rows, base.members, MAX_DAY, event="purchase", hot=base.hot)
 
 
 @query(
@@ -195,7 +195,7 @@ def retention_sparse_ever_after(spark, sf):
     OBS,
 )
 def eligibility_counts(spark, sf):
-    rows, joined, until = _base(spark, sf)
+    _, joined, until, _ = _base(spark, sf)
     return retention.eligibility_counts(joined, until, 25)
 
 
@@ -209,8 +209,8 @@ def eligibility_counts(spark, sf):
     *DENSE,
 )
 def usage_volume(spark, sf):
-    rows, joined, until = _base(spark, sf)
-    return usage.usage_by_day(rows, joined, until, MAX_DAY, "click").select("cohort_id", "bucket", "size", "eligible", "volume")
+    rows, joined, until, hot = _base(spark, sf)
+    return usage.usage_by_day(rows, joined, until, MAX_DAY, "click", hot=hot).select("cohort_id", "bucket", "size", "eligible", "volume")
 
 
 @query(
@@ -220,8 +220,8 @@ def usage_volume(spark, sf):
     *DENSE,
 )
 def usage_users(spark, sf):
-    rows, joined, until = _base(spark, sf)
-    table = usage.usage_by_day(rows, joined, until, MAX_DAY, "click", text_predicate(_SOME_K))
+    rows, joined, until, hot = _base(spark, sf)
+    table = usage.usage_by_day(rows, joined, until, MAX_DAY, "click", text_predicate(_SOME_K), hot=hot)
     return table.select("cohort_id", "bucket", "users")
 
 
@@ -233,8 +233,8 @@ _ADOPTED = """adopted AS (
 
 @query("usage_adoption", "cohort_id:i bucket:i size:i adopted:i", "SELECT * FROM adopted", *DENSE, _ADOPTED)
 def usage_adoption(spark, sf):
-    rows, joined, until = _base(spark, sf)
-    return usage.adoption_by_day(rows, joined, until, MAX_DAY, "click")
+    rows, joined, until, hot = _base(spark, sf)
+    return usage.adoption_by_day(rows, joined, until, MAX_DAY, "click", hot=hot)
 
 
 @query(
@@ -245,8 +245,8 @@ def usage_adoption(spark, sf):
     *DENSE,
 )
 def usage_retained(spark, sf):
-    rows, joined, until = _base(spark, sf)
-    return usage.retained_by_day(rows, joined, until, MAX_DAY, "purchase")
+    rows, joined, until, hot = _base(spark, sf)
+    return usage.retained_by_day(rows, joined, until, MAX_DAY, "purchase", hot=hot)
 
 
 _BY_DAY = """by_day AS (
@@ -265,8 +265,8 @@ _BY_DAY = """by_day AS (
     _BY_DAY,
 )
 def usage_table(spark, sf):
-    rows, joined, until = _base(spark, sf)
-    return usage.usage_table(rows, joined, until, MAX_DAY, "click")
+    rows, joined, until, hot = _base(spark, sf)
+    return usage.usage_table(rows, joined, until, MAX_DAY, "click", hot=hot)
 
 
 @query(
@@ -285,8 +285,8 @@ def usage_table(spark, sf):
     SIZES,
 )
 def usage_frequency(spark, sf):
-    rows = events(spark, sf)
-    return usage.usage_frequency(rows, members(rows), "click")
+    base = study(events(spark, sf))
+    return usage.usage_frequency(base.rows, base.members, "click", hot=base.hot)
 
 
 @query(
@@ -301,8 +301,8 @@ def usage_frequency(spark, sf):
     _BY_DAY,
 )
 def usage_derived_volume(spark, sf):
-    rows, joined, until = _base(spark, sf)
-    return usage.derived_volume(usage.usage_table(rows, joined, until, MAX_DAY, "click"))
+    rows, joined, until, hot = _base(spark, sf)
+    return usage.derived_volume(usage.usage_table(rows, joined, until, MAX_DAY, "click", hot=hot))
 
 
 @query(
@@ -315,16 +315,16 @@ def usage_derived_volume(spark, sf):
     _BY_DAY,
 )
 def usage_derived_users(spark, sf):
-    rows, joined, until = _base(spark, sf)
-    return usage.derived_users(usage.usage_table(rows, joined, until, MAX_DAY, "click"))
+    rows, joined, until, hot = _base(spark, sf)
+    return usage.derived_users(usage.usage_table(rows, joined, until, MAX_DAY, "click", hot=hot))
 
 
 # --- monetisation ---------------------------------------------------------------
 
 
 def _priced(spark, sf):
-    rows, joined, until = _base(spark, sf)
-    return modified_revenue(rows, RULES), joined, until
+    rows, joined, until, hot = _base(spark, sf)
+    return modified_revenue(rows, RULES), joined, until, hot
 
 
 @query(
@@ -335,7 +335,8 @@ def _priced(spark, sf):
     *DENSE,
 )
 def monetization_revenue(spark, sf):
-    return monetization.revenue_table(*_priced(spark, sf), MAX_DAY)
+    rows, joined, until, hot = _priced(spark, sf)
+    return monetization.revenue_table(rows, joined, until, MAX_DAY, hot=hot)
 
 
 @query(
@@ -345,7 +346,8 @@ def monetization_revenue(spark, sf):
     *DENSE,
 )
 def monetization_retained(spark, sf):
-    return monetization.retained_users(*_priced(spark, sf), MAX_DAY)
+    rows, joined, until, hot = _priced(spark, sf)
+    return monetization.retained_users(rows, joined, until, MAX_DAY, hot)
 
 
 def _derived_sql() -> str:
@@ -363,7 +365,8 @@ def _derived_sql() -> str:
     *DENSE,
 )
 def monetization_derived(spark, sf):
-    return monetization.derived_revenue(monetization.monetization_table(*_priced(spark, sf), MAX_DAY))
+    rows, joined, until, hot = _priced(spark, sf)
+    return monetization.derived_revenue(monetization.monetization_table(rows, joined, until, MAX_DAY, hot))
 
 
 @query(
@@ -375,8 +378,9 @@ def monetization_derived(spark, sf):
     *MEMBERS,
 )
 def monetization_calendar_day(spark, sf):
-    rows, joined, _ = _priced(spark, sf)
-    return monetization.calendar_day_revenue(rows, joined, RULES, MAX_DAY)
+    base = study(events(spark, sf))
+    priced = modified_revenue(base.rows, RULES)
+    return monetization.calendar_day_revenue(priced, base.members, RULES, MAX_DAY, base.hot)
 
 
 # --- lifetime value -------------------------------------------------------------
@@ -422,7 +426,8 @@ _LTV = (*MEMBERS, OBS, act(), grid(LTV_DAYS), _FACTS, _CELLS, *_fit_ctes())
 
 
 def _fit(spark, sf):
-    curve = monetization.derived_revenue(monetization.monetization_table(*_priced(spark, sf), LTV_DAYS))
+    rows, joined, until, hot = _priced(spark, sf)
+    curve = monetization.derived_revenue(monetization.monetization_table(rows, joined, until, LTV_DAYS, hot))
     return ltv.fit_power_law(curve, "cumulative_revenue_per_acquired_user")
 
 

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strideline.operators import flow, paths
-from strideline.operators.skew import hot_keys
 from strideline.operators.staging import stage
-from strideline.plans.base import MEMBERS, OD, SIZES, act, events, members, orders, query
+from strideline.plans.base import MEMBERS, OD, SIZES, act, events, orders, query, study
 from strideline.operators.cohorts import all_users
 from strideline.specs import EventMatch, Filter, PathStep
 
@@ -69,8 +68,8 @@ _LEVEL = "cohort_id:i next_event:s position:i users:i anchor_users:i"
 
 
 def _base(spark, sf):
-    rows = events(spark, sf)
-    return rows, members(rows)
+    base = study(events(spark, sf))
+    return base.rows, base.members, base.hot
 
 
 # --- flows ------------------------------------------------------------------------
@@ -85,22 +84,22 @@ def _base(spark, sf):
     *chain([("e.event_name = 'view' AND e.k > 50", "0")]),
 )
 def flow_root(spark, sf):
-    rows, joined = _base(spark, sf)
-    states = flow.flow_root(rows, joined, "view", Filter("k", ">", 50))
+    rows, joined, hot = _base(spark, sf)
+    states = flow.flow_root(rows, joined, "view", Filter("k", ">", 50), hot=hot)
     first = F.element_at("trail", 1)
     return states.select("cohort_id", "user_id", first["time"].alias("root_time"), first["id"].alias("root_id"))
 
 
 @query("flow_l1_forward", _LEVEL, level_sql(3), *MEMBERS, act(), *moves_sql(["view"]))
 def flow_l1_forward(spark, sf):
-    rows, joined = _base(spark, sf)
-    return flow.flow_level(rows, joined, ["view"], timing=False)
+    rows, joined, hot = _base(spark, sf)
+    return flow.flow_level(rows, joined, ["view"], timing=False, hot=hot)
 
 
 @query("flow_l1_reverse", _LEVEL, level_sql(3), *MEMBERS, act(), *moves_sql(["purchase"], forward=False))
 def flow_l1_reverse(spark, sf):
-    rows, joined = _base(spark, sf)
-    return flow.flow_level(rows, joined, ["purchase"], "reverse", timing=False)
+    rows, joined, hot = _base(spark, sf)
+    return flow.flow_level(rows, joined, ["purchase"], "reverse", timing=False, hot=hot)
 
 
 @query(
@@ -118,8 +117,7 @@ def flow_ties(spark, sf):
 
 
 def _moves(spark, sf, *path):
-    rows, joined = _base(spark, sf)
-    hot = hot_keys(rows)
+    rows, joined, hot = _base(spark, sf)
     anchors = flow.flow_anchors(rows, joined, list(path), hot=hot)
     return stage(flow.transitions(rows, anchors, len(path), hot=hot))
 
@@ -160,8 +158,8 @@ def flow_no_further(spark, sf):
 
 @query("flow_l2", _LEVEL, level_sql(3), *MEMBERS, act(), *moves_sql(["view", "click"]))
 def flow_l2(spark, sf):
-    rows, joined = _base(spark, sf)
-    return flow.flow_level(rows, joined, ["view", "click"], timing=False)
+    rows, joined, hot = _base(spark, sf)
+    return flow.flow_level(rows, joined, ["view", "click"], timing=False, hot=hot)
 
 
 _EDGE_LEVEL_ONE = """l1 AS (SELECT cohort_id, 0 AS source_step, 'view' AS source_event, 'view' AS source_path, anchor_users AS source_users,
@@ -204,8 +202,8 @@ _EDGES = (
     *_EDGES,
 )
 def flow_edge_list(spark, sf):
-    rows, joined = _base(spark, sf)
-    return flow.flow_edges(rows, joined, "view", depth=2, top_n=3)
+    rows, joined, hot = _base(spark, sf)
+    return flow.flow_edges(rows, joined, "view", depth=2, top_n=3, hot=hot)
 
 
 # --- paths ------------------------------------------------------------------------
@@ -241,9 +239,9 @@ _TRAIL = "cohort_id:i user_id:s reached:i t1:t t2:t t3:t"
 
 @query("path_three_steps", _TRAIL, _trails_sql(3), *MEMBERS, act(), *chain(_named("view", "click", "purchase")))
 def path_three_steps(spark, sf):
-    rows, joined = _base(spark, sf)
+    rows, joined, hot = _base(spark, sf)
     steps = [PathStep.of(name) for name in ("view", "click", "purchase")]
-    return _trails_frame(paths.path_trails(rows, joined, steps), 3)
+    return _trails_frame(paths.path_trails(rows, joined, steps, hot=hot), 3)
 
 
 @query(
@@ -271,14 +269,14 @@ def path_ties(spark, sf):
     *chain(_CHAIN),
 )
 def path_or_groups(spark, sf):
-    rows, joined = _base(spark, sf)
-    return paths.reached_steps(paths.path_trails(rows, joined, _STEPS))
+    rows, joined, hot = _base(spark, sf)
+    return paths.reached_steps(paths.path_trails(rows, joined, _STEPS, hot=hot))
 
 
 @query("path_max_gap", _TRAIL, _trails_sql(3), *MEMBERS, act(), *chain(_CHAIN, gap_minutes=_GAP))
 def path_max_gap(spark, sf):
-    rows, joined = _base(spark, sf)
-    return _trails_frame(paths.path_trails(rows, joined, _STEPS, _GAP), 3)
+    rows, joined, hot = _base(spark, sf)
+    return _trails_frame(paths.path_trails(rows, joined, _STEPS, _GAP, hot=hot), 3)
 
 
 _CASES = " ".join(f"WHEN {n} THEN '{label}'" for n, label in enumerate(_LABELS, start=1))
@@ -301,8 +299,8 @@ _CONVERSION = (*MEMBERS, act(), *chain(_CHAIN, gap_minutes=_GAP), _REACHED, SIZE
 
 
 def _conversion(spark, sf):
-    rows, joined = _base(spark, sf)
-    return paths.path_conversion(paths.path_trails(rows, joined, _STEPS, _GAP), joined, _STEPS)
+    rows, joined, hot = _base(spark, sf)
+    return paths.path_conversion(paths.path_trails(rows, joined, _STEPS, _GAP, hot=hot), joined, _STEPS)
 
 
 @query(
@@ -325,8 +323,8 @@ def path_conversion(spark, sf):
     *_CONVERSION,
 )
 def path_group_breakdown(spark, sf):
-    rows, joined = _base(spark, sf)
-    shares = paths.group_breakdown(paths.path_trails(rows, joined, _STEPS, _GAP), _STEPS)
+    rows, joined, hot = _base(spark, sf)
+    shares = paths.group_breakdown(paths.path_trails(rows, joined, _STEPS, _GAP, hot=hot), _STEPS)
     return shares.select("cohort_id", "step", "branch", "event", "step_users", "users", "share_pct")
 
 
@@ -373,8 +371,8 @@ _MEMBER = "cohort_id:i user_id:s join_time:t"
     *chain(_CHAIN, gap_minutes=_GAP),
 )
 def path_dropoff_cohort(spark, sf):
-    rows, joined = _base(spark, sf)
-    return paths.dropoff_cohort(rows, joined, _STEPS, 3, _GAP)
+    rows, joined, hot = _base(spark, sf)
+    return paths.dropoff_cohort(rows, joined, _STEPS, 3, _GAP, hot=hot)
 
 
 @query(
@@ -386,8 +384,8 @@ def path_dropoff_cohort(spark, sf):
     *chain(_CHAIN, gap_minutes=_GAP),
 )
 def path_reached_cohort(spark, sf):
-    rows, joined = _base(spark, sf)
-    return paths.reached_cohort(rows, joined, _STEPS, 2, _GAP)
+    rows, joined, hot = _base(spark, sf)
+    return paths.reached_cohort(rows, joined, _STEPS, 2, _GAP, hot=hot)
 
 
 @query(

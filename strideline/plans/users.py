@@ -5,7 +5,7 @@ from __future__ import annotations
 from datetime import datetime
 
 from strideline.operators import timeline
-from strideline.plans.base import COHORTS, EV, MEMBERS, OD, events, members, orders, query
+from strideline.plans.base import COHORTS, EV, MEMBERS, OD, events, members, orders, query, study
 
 _NOON = datetime(2024, 1, 12, 12)
 _SPOT = "user_id:s event_time:t event_name:s row_id:i"
@@ -89,5 +89,5 @@ def user_page_of(spark, sf):
     *MEMBERS,
 )
 def user_cohort_join_tags(spark, sf):
-    rows = events(spark, sf)
-    return timeline.cohort_join_tags(rows, members(rows), COHORTS)
+    base = study(events(spark, sf))
+    return timeline.cohort_join_tags(base.rows, base.members, COHORTS, base.hot)
