@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strideline.functions.stats import wilson_bounds
@@ -19,20 +19,22 @@ HORIZON_PERCENT = 1.0  # fixed value
 def active_users(sparse: DataFrame, kind: str = "classic") -> DataFrame:
     """``(cohort_id, bucket, active)``.
 
-    Ever-after counts a user in every bucket up to their last one, so each user is
-    first reduced to that bucket and a reverse running sum does the rest.
+    Ever-after counts a user in every bucket up to their last one.
     """
     if kind == "classic":
         return sparse.groupBy("cohort_id", "bucket").agg(F.count(F.lit(1)).alias("active"))
-    lasts = sparse.groupBy("cohort_id", "user_id").agg(F.max("bucket").alias("bucket"))
-    return lasts.groupBy("cohort_id", "bucket").agg(F.count(F.lit(1)).alias("active"))
+    return _up_to_last(sparse.groupBy("cohort_id", "user_id").agg(F.max("bucket").alias("bucket")))
 
 
-def _cumulate_back(grid: DataFrame) -> DataFrame:
-    onward = Window.partitionBy("cohort_id").orderBy(F.col("bucket").desc()).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    return grid.withColumn("active", F.sum("active").over(onward))
+def _up_to_last(lasts: DataFrame) -> DataFrame:
+    """Users per bucket when each counts from bucket 0 to ``bucket``.
+
+    Users are counted by that bucket first, so only one row per cohort and bucket is
+    repeated.
+    """
+    ends = lasts.groupBy("cohort_id", F.col("bucket").alias("_last")).agg(F.count(F.lit(1)).alias("_n"))
+    spread = ends.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.col("_last"))))
+    return spread.groupBy("cohort_id", "bucket").agg(F.sum("_n").alias("active"))
 
 
 def retention_table(
@@ -52,8 +54,6 @@ def retention_table(
     sparse = retention_buckets(events, members, until, max_day, unit, event, hot)
     frame = eligibility(members, until, max_day, unit).join(active_users(sparse, kind), ["cohort_id", "bucket"], "left")
     frame = frame.withColumn("active", F.coalesce("active", F.lit(0).cast("long")))
-    if kind == "ever_after":
-        frame = _cumulate_back(frame)
     percent = F.when(F.col("eligible") > 0, F.col("active") * 100.0 / F.col("eligible"))
     return frame.withColumn("retention", percent.cast("double"))
 
@@ -81,22 +81,14 @@ def ever_after_counts(
     """
     rows = events if event in (None, "any") else events.where(F.col("event_name") == event)
     joined = activity(rows, members, hot).withColumn("bucket", bucket_index(F.col("join_time"), F.col("event_time"), unit))
-    top = last_bucket(max_day, unit)
-    lasts = joined.groupBy("cohort_id", "user_id").agg(F.max("bucket").alias("last"))
-    ends = lasts.groupBy("cohort_id", F.least(F.col("last"), F.lit(top)).alias("bucket")).agg(F.count(F.lit(1)).alias("active"))
-    grid = ends.select("cohort_id").distinct().withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(top))))
-    counted = _cumulate_back(grid.join(ends, ["cohort_id", "bucket"], "left"))
-    return counted.where(F.col("active") > 0).select("cohort_id", "bucket", F.col("active").alias("active_users"))
+    lasts = joined.groupBy("cohort_id", "user_id").agg(F.max("bucket").alias("bucket"))
+    capped = lasts.withColumn("bucket", F.least(F.col("bucket"), F.lit(last_bucket(max_day, unit))))
+    return _up_to_last(capped).withColumnRenamed("active", "active_users")
 
 
 def eligibility_counts(members: DataFrame, until: datetime | Column, max_day: int, unit: str = "day") -> DataFrame:
     """Users whose elapsed seconds cover each bucket."""
     seconds = F.unix_timestamp(as_instant(until)) - F.unix_timestamp(F.col("join_time"))
     elapsed = F.floor(seconds / F.lit(UNIT_SECONDS[unit])).cast("int")
-    top = last_bucket(max_day, unit)
-    ends = members.where(seconds >= 0).groupBy("cohort_id", F.least(F.lit(top), elapsed).alias("bucket")).agg(
-        F.count(F.lit(1)).alias("active")
-    )
-    grid = ends.select("cohort_id").distinct().withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(top))))
-    counted = _cumulate_back(grid.join(ends, ["cohort_id", "bucket"], "left"))
-    return counted.where(F.col("active") > 0).select("cohort_id", "bucket", F.col("active").alias("eligible_users"))
+    capped = members.where(seconds >= 0).select("cohort_id", F.least(F.lit(last_bucket(max_day, unit)), elapsed).alias("bucket"))
+    return _up_to_last(capped).withColumnRenamed("active", "eligible_users")

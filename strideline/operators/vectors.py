@@ -65,21 +65,15 @@ def user_buckets(
 def eligibility(members: DataFrame, until: datetime | Column, max_day: int, unit: str = "day") -> DataFrame:
     """``(cohort_id, bucket, size, eligible)`` for every cohort and bucket.
 
-    Users are counted once by their last observable bucket; a reverse running sum
-    over at most ``last_bucket + 1`` rows of a cohort turns that into eligibility.
+    Users are counted once by their last observable bucket. What is left is one row
+    per cohort and bucket, small enough to repeat for every bucket it counts in.
     """
     top = last_bucket(max_day, unit)
     last = F.least(F.lit(top), elapsed_units(F.col("join_time"), as_instant(until), unit))
-    ends = members.groupBy("cohort_id", F.greatest(F.lit(-1), last).alias("bucket")).agg(F.count(F.lit(1)).alias("_n"))
-    grid = ends.groupBy("cohort_id").agg(F.sum("_n").alias("size")).withColumn(
-        "bucket", F.explode(F.sequence(F.lit(0), F.lit(top)))
-    )
-    onward = Window.partitionBy("cohort_id").orderBy(F.col("bucket").desc()).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    return grid.join(ends, ["cohort_id", "bucket"], "left").select(
-        "cohort_id", "bucket", "size", F.coalesce(F.sum("_n").over(onward), F.lit(0).cast("long")).alias("eligible")
-    )
+    ends = members.groupBy("cohort_id", F.greatest(F.lit(-1), last).alias("_last")).agg(F.count(F.lit(1)).alias("_n"))
+    grid = ends.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(top))))
+    within = F.when(F.col("bucket") <= F.col("_last"), F.col("_n")).otherwise(0)
+    return grid.groupBy("cohort_id", "bucket").agg(F.sum("_n").alias("size"), F.sum(within).alias("eligible"))
 
 
 def dense(

@@ -19,7 +19,7 @@ START = datetime(2024, 1, 1)
 def spark():
     session = local_session("tests", cores=4, memory="4g")
     session.sparkContext.setLogLevel("ERROR")
-    session.conf.set("spark.sql.shuffle.partitions", "4")
+    session.conf.set("spark.sql.shuffle.partitions", "2")
     yield session
     session.stop()
 
