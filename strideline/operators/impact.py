@@ -387,7 +387,8 @@ def significance(base: ImpactBase) -> DataFrame:
     values = user_values(base)
     facing = values.withColumn("variant", F.explode(F.when(is_base, variants).otherwise(F.array(F.col("cohort_id")))))
     keyed = facing.select("variant", "metric_key", is_base.alias("_is_base"), "value")
-    sums = rank_sums(keyed, ["variant", "metric_key"], "_is_base", "value")
+    most = base.totals.count() * len(spec.variants) * len(_ranked_keys(spec))
+    sums = rank_sums(keyed, ["variant", "metric_key"], "_is_base", "value", most)
     means = keyed.groupBy("variant", "metric_key").agg(
         F.avg(F.when(F.col("_is_base"), F.col("value"))).alias("_mean_b"),
         F.avg(F.when(~F.col("_is_base"), F.col("value"))).alias("_mean_v"),
@@ -396,8 +397,7 @@ def significance(base: ImpactBase) -> DataFrame:
     fewest = exposures.where(is_base).select(F.col("exposure_count").alias("_eb")).withColumn("variant", F.explode(variants)).join(
         exposures.select(F.col("cohort_id").alias("variant"), F.col("exposure_count").alias("_ev")), "variant"
     )
-    ranked_keys = [key for key in _ranked_keys(spec)]
-    all_pairs = fewest.withColumn("metric_key", F.explode(F.array(*[F.lit(k) for k in ranked_keys])))
+    all_pairs = fewest.withColumn("metric_key", F.explode(F.array(*[F.lit(k) for k in _ranked_keys(spec)])))
     joined = all_pairs.join(sums, ["variant", "metric_key"], "left").join(means, ["variant", "metric_key"], "left").na.fill(0, ["n_a", "n_b"])
     p_rank = mann_whitney_p(F.col("n_a"), F.col("n_b"), F.col("rank_sum_a"), F.col("tie_term"))
     rank_reason = (

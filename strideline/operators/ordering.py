@@ -209,12 +209,13 @@ def quantile_columns(
     return long_form.groupBy(*keys).agg(*picks)
 
 
-def rank_sums(rows: DataFrame, keys: Sequence[str], side: str, value: str) -> DataFrame:
+def rank_sums(rows: DataFrame, keys: Sequence[str], side: str, value: str, count: int | None = None) -> DataFrame:
     """Per key: sizes of both sides, sum of average ranks of side A, tie term.
 
     ``side`` is a boolean column, true for A. Only the distinct values are ordered;
     the number of values below each one is added up level by level, so no window
-    spans a whole key. Values are ranked at six decimals: floating sums depend on
+    spans a whole key. If ``count`` says that all rows fit one ordering anyway, the
+    coarser levels are skipped. Values are ranked at six decimals: floating sums depend on
     the order of addition, and equal amounts must tie on every run.
     """
     group = list(keys)
@@ -230,7 +231,10 @@ def rank_sums(rows: DataFrame, keys: Sequence[str], side: str, value: str) -> Da
         .withColumn("_s", F.col("_a") * (F.col("_c") + 1) / 2)
         .withColumn("_ties", F.pow("_c", F.lit(3)) - F.col("_c"))
     )
-    for cells, order in (([*group, "_l1", "_l2"], "_v"), ([*group, "_l1"], "_l2"), (group, "_l1")):
+    steps = [([*group, "_l1", "_l2"], "_v"), ([*group, "_l1"], "_l2"), (group, "_l1")]
+    if count is not None and count <= BUFFERED_VALUES:
+        steps = [(group, "_v")]
+    for cells, order in steps:
         below = _running(cells, order, "_c") - F.col("_c")
         level = (
             level.withColumn("_s", F.col("_s") + F.col("_a") * below)

@@ -182,7 +182,8 @@ def test_welch_t(spark, sf):
     _rank_cte(),
 )
 def test_mann_whitney_u(spark, sf):
-    return compare.rank_test(_values(spark, sf, "cumulative_revenue_per_acquired_user"), A, B)
+    values = stage(_values(spark, sf, "cumulative_revenue_per_acquired_user"))
+    return compare.rank_test(values, A, B, count=values.count())
 
 
 _SUMMARY = "metric:s n_a:i n_b:i value_a:d value_b:d difference:d relative_lift:d p_z:d p_fisher:d p_welch:d p_mwu:d p_value:d significant:b"

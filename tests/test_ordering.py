@@ -66,11 +66,12 @@ def test_quantile_instant_both_routes(spark, monkeypatch, count):
     assert O.quantile_instant(frame.where("t IS NULL"), "t", 0.5) is None
 
 
-def test_rank_sums(sample):
+@pytest.mark.parametrize("count", [None, 352, 10**9])
+def test_rank_sums(sample, count):
     data, frame = sample
     tagged = frame.withColumn("side", F.pmod(F.xxhash64("v", "key"), F.lit(3)) == 0)
     rows = [r for r in tagged.collect() if r.v is not None]
-    got = {r.key: r for r in O.rank_sums(tagged, ["key"], "side", "v").collect()}
+    got = {r.key: r for r in O.rank_sums(tagged, ["key"], "side", "v", count).collect()}
     for key in got:
         own = [(round(r.v, 6), r.side) for r in rows if r.key == key]
         values = [v for v, _ in own]
