@@ -205,13 +205,22 @@ def root_predicate(schema: T.StructType, spec: Filter | None) -> Column:
     return predicate(schema, spec)
 
 
+def _typed_value(name: str, value: Any, data_type: T.DataType) -> Column:
+    if isinstance(data_type, T.NumericType):
+        try:
+            int(value) if isinstance(data_type, T.IntegralType) else float(value)
+        except (TypeError, ValueError) as error:
+            raise SpecError(f"{value!r} is no value of {name!r}") from error
+    return F.lit(value).cast(data_type)
+
+
 def event_predicate(schema: T.StructType, match: EventMatch) -> Column:
     """Event name and every property equal, with values cast to the column's type."""
     parts = [F.col("event_name") == match.event_name]
     for name, value in match.filters.items():
         if name not in schema.fieldNames():
             raise SpecError(f"unknown column {name!r}")
-        parts.append(F.col(name) == F.lit(value).cast(schema[name].dataType))
+        parts.append(F.col(name) == _typed_value(name, value, schema[name].dataType))
     return all_of(parts)
 
 

@@ -191,6 +191,7 @@ def path_references(events: DataFrame, steps: Sequence[PathStep]) -> DataFrame:
     for step in steps:
         for group in step.groups:
             wanted.setdefault(("event_name", group.event_name), F.col("event_name") == group.event_name)
+            event_predicate(events.schema, group)  # unknown columns and wrong types raise
             for key, value in group.filters.items():
                 typed = F.lit(value).cast(events.schema[key].dataType)
                 wanted.setdefault((key, str(value)), F.col(key) == typed)

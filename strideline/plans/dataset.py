@@ -19,7 +19,6 @@ from strideline.plans.base import (
     HEAVY_BUYER,
     HIGH_CLICKS,
     LOW_SIGNUP,
-    M,
     MEMBERS,
     NO_BIG_ERROR,
     OBS,

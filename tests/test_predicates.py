@@ -111,6 +111,9 @@ def test_event_sets(rows):
     assert sorted(r.user_id for r in rows.where(either).collect()) == ["u1", "u3"]
     with pytest.raises(SpecError):
         P.event_set(rows.schema, ["x"] * 11)
+    for filters in ({"score": "many"}, {"score": None}, {"nope": 1}):
+        with pytest.raises(SpecError):
+            P.event_predicate(rows.schema, EventMatch("a", filters))
 
 
 def test_search_is_prefix_then_substring(spark):
