@@ -27,9 +27,10 @@ def random_split(members: DataFrame, groups: int, seed: str) -> DataFrame:
     return ranked.select("cohort_id", "user_id", "join_time", index.alias("group_index"))
 
 
-def hash_split(members: DataFrame, groups: int, seed: int) -> DataFrame:
+def hash_split(members: DataFrame, groups: int, seed: str) -> DataFrame:
     """Approximately equal groups without any ordering or shuffle."""
-    index = F.pmod(F.xxhash64("user_id", F.lit(seed)), F.lit(groups)).cast("int")
+    digits = F.substring(F.md5(F.concat(F.col("user_id"), F.lit(seed))), 1, 8)
+    index = F.pmod(F.conv(digits, 16, 10).cast("long"), F.lit(groups)).cast("int")
     return members.withColumn("group_index", index)
 
 

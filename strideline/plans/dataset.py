@@ -559,9 +559,14 @@ def cohort_split_random_preview(spark, sf):
     return splits.split_preview(splits.random_split(members(events(spark, sf)), 3, _SEED), "group_index")
 
 
-@query("cohort_split_hash")
+@query(
+    "cohort_split_hash",
+    "cohort_id:i user_id:s join_time:t group_index:i",
+    f"SELECT *, CAST('0x' || substr(md5(user_id || '{_SEED}'), 1, 8) AS BIGINT) % 4 AS group_index FROM m",
+    *MEMBERS,
+)
 def cohort_split_hash(spark, sf):
-    return splits.split_preview(splits.hash_split(members(events(spark, sf)), 4, 7), "group_index")
+    return splits.hash_split(members(events(spark, sf)), 4, _SEED)
 
 
 _PROPERTY_SPLIT = (

@@ -157,3 +157,11 @@ def test_random_split_needs_eight_users(make_events):
     assert splits.random_split(C.all_users(rows), 2, "s").count() == 0
     with pytest.raises(SpecError):
         splits.random_split(C.all_users(rows), 1, "s")
+
+
+def test_hash_split_covers_everybody(make_events):
+    rows = make_events([(f"u{i:03d}", "e", at(0)) for i in range(400)])
+    members = C.all_users(rows)
+    groups = sizes(splits.hash_split(members, 4, "s"), "group_index")
+    assert set(groups) == {0, 1, 2, 3} and sum(groups.values()) == 400
+    assert all(60 < n < 140 for n in groups.values())
