@@ -12,15 +12,17 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # Call-site capture costs several driver round trips per column expression.
-    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
+# Static settings, for sessions built here alone; a session of someone else keeps its own.
+# Call-site capture costs several driver round trips per column expression.
+BUILD_CONF = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to a session that already exists."""
     for key, value in RUNTIME_CONF.items():
-        if spark.conf.get(key, None) != value:
+        if spark.conf.get(key, None) != value and spark.conf.isModifiable(key):
             spark.conf.set(key, value)
     return spark
 
@@ -36,6 +38,6 @@ def local_session(app: str, cores: int | str = 8, memory: str = "8g") -> SparkSe
         .config("spark.driver.bindAddress", "127.0.0.1")
         .config("spark.driver.host", "127.0.0.1")
     )
-    for key, value in RUNTIME_CONF.items():
+    for key, value in {**BUILD_CONF, **RUNTIME_CONF}.items():
         builder = builder.config(key, value)
     return configure(builder.getOrCreate())
