@@ -27,6 +27,19 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def importable(spark: SparkSession) -> SparkSession:
+    """Let Python workers find this package where the driver found it.
+
+    A cluster has the package installed, or gets it with ``--py-files``; this serves workers that share the driver's folders.
+    """
+    environment = spark.sparkContext.environment
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in known:
+        environment["PYTHONPATH"] = os.pathsep.join([*known, root])
+    return spark
+
+
 def local_session(app: str, cores: int | str = 8, memory: str = "8g") -> SparkSession:
     """A single-JVM session for tests and benchmarks; a cluster brings its own."""
     builder = (

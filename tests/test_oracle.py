@@ -6,8 +6,9 @@ import pytest
 
 import __spark_entry__ as entry
 import check
+from strideline.plans import registry
 
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLE = registry.queries(), registry.oracle_sql()
 
 
 @pytest.fixture(scope="module")
