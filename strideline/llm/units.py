@@ -15,6 +15,8 @@ import numpy as np
 #: Units kept per worker before the cache starts anew: about 300 MB. Results don't depend on it.
 CACHE_UNITS = 1_200_000
 
+#: A lone surrogate: no text that Spark can hold has one.
+_FIRST = "\ud800"
 _OPEN: dict[str, UnitEncoder] = {}
 _SAFE = re.compile(r"(?<=\S)(?=[ \n])")
 
@@ -46,14 +48,14 @@ class UnitEncoder:
         return [np.array(e.ids, self.dtype).tobytes() for e in out]
 
     def _learn(self, keys: set[str]) -> None:
-        """Keys: a first unit behind NUL, a later one without the space before it."""
+        """Keys: a first unit behind ``_FIRST``, a later one without the space before it."""
         cache, good, units = self.cache, [], []
         for key in keys:
-            if key in ("", "\0") or key[-1].isspace():
+            if key in ("", _FIRST) or key[-1].isspace():
                 cache[key] = None  # white space meets white space: no safe place to cut
             else:
                 good.append(key)
-                units.append(key[1:] if key[0] == "\0" else key if key[0] == "\n" else " " + key)
+                units.append(key[1:] if key[0] == _FIRST else key if key[0] == "\n" else " " + key)
         for begin in range(0, len(good), 4096):
             cache.update(zip(good[begin : begin + 4096], self._whole(units[begin : begin + 4096]), strict=True))
 
@@ -66,15 +68,13 @@ class UnitEncoder:
         for text in texts:
             # A line feed becomes a unit's own first character; " \n" in a text shows as an empty unit.
             parts = text.replace("\n", " \n").split(" ")
-            parts[0] = "\0" + parts[0]
+            parts[0] = _FIRST + parts[0]
             split.append(parts)
             fresh.update(parts)
         self._learn(fresh.difference(cache))
         out: list[bytes] = []
         for number, parts in enumerate(split):
             try:
-                if texts[number].startswith("\0"):
-                    raise TypeError
                 out.append(b"".join([cache[p] for p in parts]))  # type: ignore[misc]
             except TypeError:
                 slow.append(number)

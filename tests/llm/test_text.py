@@ -140,7 +140,7 @@ def base_pii(text):
 
 
 def test_personal_data(documents, odd, spark):
-    extra = spark.createDataFrame([(900, "a@b.c 1.2.3.4.5 256.1.1.1 +49 (0)30 123456 4111-1111-1111-1111 4111111111111112 007.0.0.1")], "doc_id long, text string")
+    extra = spark.createDataFrame([(900, "a@b.c 1.2.3.4.5; 256.1.1.1; +49 (0)30 123456; 4111-1111-1111-1111; 4111111111111112; 007.0.0.1")], "doc_id long, text string")
     docs = documents.select("doc_id", "text").unionByName(odd.select("doc_id", "text")).unionByName(extra)
     got = pii.find(docs, redact=True).collect()
     texts = docs.collect()
@@ -149,7 +149,7 @@ def test_personal_data(documents, odd, spark):
     assert sorted(((r["doc_id"], [tuple(s) for s in r["base"]]) for r in got), key=order) == expected
     assert sum(r["redacted"] is None for r in got) == sum(r["text"] is None for r in texts)
     one = next(r for r in got if r["doc_id"] == 900)
-    assert one["redacted"] == "[EMAIL] [IP].5 256.1.1.1 [PHONE] [CARD] 4111111111111112 [IP]"
+    assert one["redacted"] == "[EMAIL] [IP].5; 256.1.1.1; [PHONE]; [CARD]; 4111111111111112; [IP]"
 
 
 def test_personal_data_of_nothing(empty):
