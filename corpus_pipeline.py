@@ -27,7 +27,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules."""
     configure(spark)
-    return quality_rules.apply_rules(quality_rules.measure(docs, keep=COLUMNS)).where("kept").select(*COLUMNS)
+    return quality_rules.kept_rows(quality_rules.apply_rules(quality_rules.measure(docs, keep=COLUMNS))).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -116,3 +116,10 @@ def apply_rules(measured: DataFrame, thresholds: dict[str, tuple[float | None, f
     named = F.array_compact(F.array(*failed)) if failed else F.array().cast("array<string>")
     frame = measured.withColumn("base_failed", base).withColumn("failed_rules", named)
     return frame.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
+
+
+def kept_rows(judged: DataFrame) -> DataFrame:
+    """Only the kept rows. A generator of one row or none instead of a filter: the optimizer would push a
+    filter below the projections and write every measure out again for each of its uses."""
+    one = F.when(F.col("kept"), F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>"))
+    return judged.select("*", F.explode(one).alias("_kept")).drop("_kept")
