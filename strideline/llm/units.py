@@ -9,6 +9,7 @@ so each distinct one goes through the library once per worker.
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 
@@ -45,7 +46,8 @@ class UnitEncoder:
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         out = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, self.dtype).tobytes() for e in out]
+        code = "H" if self.dtype.itemsize == 2 else "I"
+        return [array(code, e.ids).tobytes() for e in out]
 
     def _learn(self, keys: set[str]) -> None:
         """Keys: a first unit behind ``_FIRST``, a later one without the space before it."""
@@ -65,6 +67,10 @@ class UnitEncoder:
             self.cache.clear()
         split, slow, fresh = [], [], set()
         cache = self.cache
+        distinct = list(dict.fromkeys(texts))
+        if len(distinct) < len(texts):  # copies are encoded once
+            made = dict(zip(distinct, self.encode(distinct), strict=True))
+            return [made[text] for text in texts]
         for text in texts:
             # A line feed becomes a unit's own first character; " \n" in a text shows as an empty unit.
             parts = text.replace("\n", " \n").split(" ")
