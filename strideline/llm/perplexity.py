@@ -33,7 +33,7 @@ CHUNK_BYTES = 24 << 20
 #: A document is rejected above this quantile of its language's trusted documents, widened
 #: by ``MARGIN`` times the distance from their median to it (in log perplexity).
 QUANTILE = 0.98
-MARGIN = 2.0
+MARGIN = 5.0
 #: Short texts scatter: a text of n bytes is judged by its log perplexity less SHORT / sqrt(n).
 SHORT = 2.0
 
