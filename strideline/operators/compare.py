@@ -189,8 +189,10 @@ def compare_cohorts(values: DataFrame, metric: str, cohort_a: int, cohort_b: int
 
     Under two users on a side there are no tests; two constant sides have no
     continuous p-value. ``values`` is counted and read by several aggregates, so it
-    should be staged.
+    should be staged. A cohort isn't compared with itself.
     """
+    if cohort_a == cohort_b:
+        raise SpecError(f"cohort {cohort_a} on both sides")
     pair = side_by_side(values, cohort_a, cohort_b)
     enough = (F.col("n_a") >= 2) & (F.col("n_b") >= 2)
     empty = F.lit(None).cast("double")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # The exponent range, the search rounds and their grid, and the
 # width of the projected band.
-MIN_B, MAX_B, START_B = 0.01, 1.5, 0.5
+MIN_B, MAX_B = 0.01, 1.5
 ROUNDS, STEPS = 7, 64
 Z_BAND = 1.96
 BAND_GROWTH = 10

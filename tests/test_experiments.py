@@ -244,3 +244,9 @@ def test_sample_is_repeatable(study, groups):
     assert first == rows_of(impact.sample_users(values.repartition(7), 5))
     assert len([r for r in first if r[0] == 1]) == 5
     assert len(rows_of(impact.sample_users(values, 1000))) == values.count()
+
+
+def test_a_cohort_is_not_compared_with_itself(spark):
+    values = spark.createDataFrame([], "cohort_id int, user_id string, value double")
+    with pytest.raises(SpecError):
+        compare.compare_cohorts(values, "retention", 1, 1)
