@@ -195,7 +195,9 @@ def text_predicate(spec: Filter) -> Column:
     if name not in TEXT_OPERATORS:
         raise SpecError(f"operator {spec.operator} is not one of = != IN NOT IN")
     values = [str(item) for item in value_list(spec.value)]
-    return compare(F.col(spec.column).cast("string"), name, values if "IN" in name else values[:1])
+    if "IN" not in name and len(values) > 1:
+        raise SpecError(f"{spec.operator} takes one value")
+    return compare(F.col(spec.column).cast("string"), name, values)
 
 
 def root_predicate(schema: T.StructType, spec: Filter | None) -> Column:

@@ -19,6 +19,16 @@ def _num(column: Column) -> Column:
     return column.cast("double")
 
 
+def exact_sum(amount: Column) -> Column:
+    """Sum of doubles as decimals of ten places, so that the order of addition doesn't matter.
+
+    Amounts that no such decimal holds (NaN, infinities, 1e18 and more) are added as doubles.
+    """
+    exact = amount.try_cast("decimal(28,10)")
+    rest = F.sum(F.when(exact.isNull(), amount))
+    return F.coalesce(F.sum(exact).cast("double"), F.lit(0.0)) + F.coalesce(rest, F.lit(0.0))
+
+
 def upper_tail(z: Column) -> Column:
     """P(Z > z) for z >= 0."""
     t = F.lit(1.0) / (F.lit(1.0) + F.lit(_POLY_T) * z)
@@ -93,14 +103,14 @@ def welch_statistic(n_a: Column, mean_a: Column, var_a: Column, n_b: Column, mea
     return t, df
 
 
-# Fixed value: from here on the t tail is taken as normal.
-_NORMAL_DF = 30
 _SIMPSON_STEPS = 2_000
+#: In units of 1 / sqrt(df); what the density holds beyond is below the smallest double.
+_REACH = 40.0
 
 
-def _cosine_power_integral(start: Column, power: Column) -> Column:
-    """Integral of cos(x) ** power from ``start`` to pi / 2 by Simpson's rule."""
-    step = (F.lit(math.pi / 2) - start) / F.lit(float(_SIMPSON_STEPS))
+def _cosine_power_integral(start: Column, end: Column, power: Column) -> Column:
+    """Integral of cos(x) ** power from ``start`` to ``end`` by Simpson's rule."""
+    step = (end - start) / F.lit(float(_SIMPSON_STEPS))
 
     def term(total: Column, i: Column) -> Column:
         weight = F.when((i == 0) | (i == _SIMPSON_STEPS), 1.0).when(i % 2 == 1, 4.0).otherwise(2.0)
@@ -112,16 +122,16 @@ def _cosine_power_integral(start: Column, power: Column) -> Column:
 
 
 def student_two_sided(t: Column, df: Column) -> Column:
-    """P(|T| > |t|): normal tail from 30 degrees of freedom, else integrated.
+    """P(|T| > |t|) at any degrees of freedom, by integration.
 
     With ``t = sqrt(df) * tan(x)`` the density becomes cos(x) ** (df - 1), so the
     tail is a ratio of two smooth integrals and needs no gamma function. Meant for
     the single aggregated row of a comparison.
     """
-    angle = F.atan(F.abs(t) / F.sqrt(df))
     power = F.greatest(F.lit(0.0), df - 1)
-    small = _cosine_power_integral(angle, power) / _cosine_power_integral(F.lit(0.0), power)
-    return F.when(df >= _NORMAL_DF, two_sided(t)).otherwise(small)
+    end = F.least(F.lit(math.pi / 2), F.lit(_REACH) / F.sqrt(df))
+    angle = F.least(F.atan(F.abs(t) / F.sqrt(df)), end)
+    return _cosine_power_integral(angle, end, power) / _cosine_power_integral(F.lit(0.0), end, power)
 
 
 def welch_p(n_a: Column, mean_a: Column, var_a: Column, n_b: Column, mean_b: Column, var_b: Column) -> Column:

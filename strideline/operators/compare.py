@@ -37,10 +37,10 @@ CUMULATIVE_METRICS = (
     "cumulative_revenue_per_acquired_user",
 )
 RETAINED_METRICS = ("per_retained_user", "revenue_per_retained_user")
-FISHER_LIMIT = 5_000
 FISHER_TOLERANCE = 1e-10
-DEFAULT_MAX_DAY = 30
 ALPHA = 0.05
+#: Tables this many deviations and steps from the mode weigh less than the smallest double.
+FISHER_REACH = (40.0, 800.0)
 
 
 def metric_values(
@@ -60,7 +60,8 @@ def metric_values(
 
     One activity join and one aggregate per user; inactive members are added with 0
     from the membership. Nobody is counted before bucket ``day`` is observable,
-    except by cumulative metrics, which sum what has been observed so far.
+    except by cumulative metrics, which sum what has been observed so far. Ever-after
+    retention looks as far as ``max_day``, or to the end of observation.
     """
     if metric not in RETENTION_METRICS + USAGE_METRICS + REVENUE_METRICS:
         raise SpecError(f"unknown metric {metric!r}")
@@ -69,9 +70,10 @@ def metric_values(
     elapsed = elapsed_units(F.col("join_time"), as_instant(until), unit)
     bucketed = activity(events, members, hot).withColumn("bucket", bucket_index(F.col("join_time"), F.col("event_time"), unit))
     bucketed = bucketed.where(F.col("bucket") <= elapsed)
-    top = max_day if max_day is not None else max(DEFAULT_MAX_DAY, day)
-    last = top if kind == "ever_after" and metric in RETENTION_METRICS else day
-    bucketed = bucketed.where(F.col("bucket") <= last)
+    later = kind == "ever_after" and metric in RETENTION_METRICS
+    last = max_day if later else day
+    if last is not None:
+        bucketed = bucketed.where(F.col("bucket") <= last)
 
     counted = F.lit(True) if event in (None, "any") else F.col("event_name") == event
     if where is not None:
@@ -80,8 +82,8 @@ def metric_values(
         counted = F.lit(True)
     if metric in CUMULATIVE_METRICS:
         inside = F.col("bucket") <= day
-    elif kind == "ever_after" and metric in RETENTION_METRICS:
-        inside = F.col("bucket").between(day, top)
+    elif later:
+        inside = F.col("bucket") >= day
     else:
         inside = F.col("bucket") == day
 
@@ -128,17 +130,24 @@ def proportion_test(pair: DataFrame) -> DataFrame:
 def fisher_test(pair: DataFrame) -> DataFrame:
     """Add ``p_fisher``: the probability of all tables no likelier than the observed.
 
-    Only up to 5,000 users, so the support has at most 5,001 tables. Neighbouring
-    tables differ by a known ratio; a running sum of its logarithm gives every
-    table's probability up to a factor, which the total divides out.
+    Neighbouring tables differ by a known ratio; a running sum of its logarithm gives
+    every table's probability up to a factor, which the total divides out. Only tables
+    whose weight a double can hold are walked: some deviations around the mode, so
+    their number grows with the root of the users at any cohort size.
     """
     numbered = pair.withColumn("_pair", F.xxhash64("n_a", "sum_a", "n_b", "sum_b"))
     n_a, n_b = F.col("n_a"), F.col("n_b")
     hits = (F.col("sum_a") + F.col("sum_b")).cast("long")
     low = F.greatest(F.lit(0).cast("long"), hits - n_b)
     high = F.least(hits, n_a)
-    small = numbered.where((n_a + n_b <= FISHER_LIMIT) & (n_a + n_b > 0) & (hits > 0))
-    tables = small.select("_pair", F.col("sum_a").cast("long").alias("_seen"), n_a.alias("_na"), n_b.alias("_nb"), hits.alias("_k"), low.alias("_low"), F.explode(F.sequence(low, high)).alias("_x"))
+    total = (n_a + n_b).cast("double")
+    mode = F.floor((hits + 1) * (n_a + 1).cast("double") / (total + 2))
+    share = hits / total
+    deviation = F.sqrt(n_a * share * (F.lit(1.0) - share) * n_b / F.greatest(total - 1, F.lit(1.0)))
+    reach = F.ceil(F.lit(FISHER_REACH[0]) * deviation + F.lit(FISHER_REACH[1]))
+    low, high = F.greatest(low, mode - reach), F.least(high, mode + reach)
+    some = numbered.where((n_a + n_b > 0) & (hits > 0))
+    tables = some.select("_pair", F.col("sum_a").cast("long").alias("_seen"), n_a.alias("_na"), n_b.alias("_nb"), hits.alias("_k"), low.alias("_low"), F.explode(F.sequence(low, high)).alias("_x"))
     x = F.col("_x").cast("double")
     ratio = (F.col("_na") - x + 1) * (F.col("_k") - x + 1) / (x * (F.col("_nb") - F.col("_k") + x))
     step = F.when(F.col("_x") == F.col("_low"), 0.0).otherwise(F.log(F.when(F.col("_x") > F.col("_low"), ratio)))
@@ -146,12 +155,11 @@ def fisher_test(pair: DataFrame) -> DataFrame:
     whole = Window.partitionBy("_pair")
     scaled = tables.withColumn("_log", F.sum(step).over(running)).withColumn("_w", F.exp(F.col("_log") - F.max("_log").over(whole)))
     shares = scaled.withColumn("_p", F.col("_w") / F.sum("_w").over(whole))
-    seen = F.max(F.when(F.col("_x") == F.col("_seen"), F.col("_p"))).over(whole)
+    seen = F.coalesce(F.max(F.when(F.col("_x") == F.col("_seen"), F.col("_p"))).over(whole), F.lit(0.0))
     tails = shares.withColumn("_obs", seen).groupBy("_pair").agg(
         F.least(F.lit(1.0), F.sum(F.when(F.col("_p") <= F.col("_obs") + FISHER_TOLERANCE, F.col("_p")))).alias("_tail")
     )
-    none = F.when((n_a + n_b <= FISHER_LIMIT), F.coalesce("_tail", F.lit(1.0)))
-    return numbered.join(tails, "_pair", "left").withColumn("p_fisher", none).drop("_pair", "_tail")
+    return numbered.join(tails, "_pair", "left").withColumn("p_fisher", F.coalesce("_tail", F.lit(1.0))).drop("_pair", "_tail")
 
 
 def welch_test(pair: DataFrame) -> DataFrame:

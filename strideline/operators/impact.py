@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strideline.functions.predicates import event_set
-from strideline.functions.stats import mann_whitney_p, two_proportion_p
+from strideline.functions.stats import exact_sum, mann_whitney_p, two_proportion_p
 from strideline.functions.times import DAY_MICROS, micros, seconds_between, shift_days
 from strideline.operators.cohorts import cohort_sizes
 from strideline.operators.ordering import hash_ranked, quantile_columns, rank_sums
@@ -104,7 +104,7 @@ def user_days(events: DataFrame, members: DataFrame, spec: Experiment, hot: HotK
     columns = [
         amount(spec.exposure).alias("exposures"),
         amount(spec.interaction).alias("interactions"),
-        amount(spec.monetization, "modified_revenue").alias("revenue"),
+        exact_sum(F.when(_flag(events, spec.monetization), F.coalesce("modified_revenue", F.lit(0.0)))).alias("revenue"),
         F.max(F.when(exposed, 1).otherwise(0)).alias("exposed"),
         F.max(F.when(_flag(events, spec.interaction), 1).otherwise(0)).alias("interacted"),
         F.max(F.when(retained, 1).otherwise(0)).alias("retained"),
@@ -122,12 +122,12 @@ def user_totals(days: DataFrame, members: DataFrame, spec: Experiment) -> DataFr
     sums = ["exposures", "interactions", "revenue", *[f"impact_{i}" for i in range(len(spec.impact))]]
     flags = ["exposed", "interacted", *[f"reached_{i}" for i in range(len(spec.impact))]]
     totals = days.groupBy("cohort_id", "user_id").agg(
-        *[F.sum(name).alias(name) for name in sums],
+        *[(exact_sum(F.col(name)) if name == "revenue" else F.sum(name)).alias(name) for name in sums],
         *[F.max(name).alias(name) for name in flags],
         F.min("first_exposure").alias("first_exposure"),
         F.sum("retained").alias("retained_days"),
         F.sum(F.when(kept, F.col("interactions")).otherwise(0.0)).alias("kept_interactions"),
-        F.sum(F.when(kept, F.col("revenue")).otherwise(0.0)).alias("kept_revenue"),
+        exact_sum(F.when(kept, F.col("revenue"))).alias("kept_revenue"),
     )
     chosen = members.where(F.col("cohort_id").isin(spec.cohorts))
     filled = chosen.join(totals, ["cohort_id", "user_id"], "left").na.fill(
@@ -164,7 +164,7 @@ def daily_series(days: DataFrame, members: DataFrame, spec: Experiment) -> DataF
         "rel_day", F.explode(F.sequence(F.lit(spec.start_day), F.lit(spec.end_day)))
     )
     sums = days.groupBy("cohort_id", "rel_day").agg(
-        F.sum("retained").alias("active_users"), F.sum("interactions").alias("_i"), F.sum("revenue").alias("_r")
+        F.sum("retained").alias("active_users"), F.sum("interactions").alias("_i"), exact_sum(F.col("revenue")).alias("_r")
     )
     frame = grid.join(sums, ["cohort_id", "rel_day"], "left").na.fill(0, ["active_users", "_i", "_r"])
 
@@ -194,7 +194,7 @@ def cohort_totals(totals: DataFrame, spec: Experiment) -> DataFrame:
         F.sum("interacted").alias("interaction_users"),
         F.sum("interactions").alias("interaction_count"),
         F.count_if((F.col("interactions") >= 2) & (F.col("interacted") == 1)).alias("reuse_users"),
-        F.sum("revenue").alias("total_revenue"),
+        exact_sum(F.col("revenue")).alias("total_revenue"),
         F.count_if(F.col("revenue") > PAYER_FLOOR).alias("paying_users"),
     ]
     for i in range(len(spec.impact)):

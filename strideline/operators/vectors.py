@@ -8,7 +8,7 @@ need a vector (one row per user and bucket), never inside a table.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import datetime
+from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,23 +21,22 @@ from strideline.operators.skew import HotKeys
 OBSERVED_FRACTION = 0.999  # fixed value
 
 
+def _utc_now() -> datetime:
+    return datetime.now(UTC).replace(tzinfo=None)
+
+
 def observed_until(events: DataFrame, now: datetime | None = None, hot: HotKeys | None = None) -> datetime | None:
-    """End of observation: the 0.999 quantile of event time, cut to whole seconds."""
+    """End of observation: the 0.999 quantile of event time, not after ``now`` (the current UTC time), in whole seconds."""
     end = quantile_instant(events, "event_time", OBSERVED_FRACTION, None if hot is None else hot.rows)
-    if end is None:
-        return None
-    if now is not None and now < end:
-        end = now
-    return end.replace(microsecond=0)
+    return None if end is None else min(end, now or _utc_now()).replace(microsecond=0)
 
 
 def observation_end(events: DataFrame, now: datetime | None = None) -> DataFrame:
     """The same as a lazy one-row DataFrame."""
     rows = events.select(micros(F.col("event_time")).alias("_us"))
     found = exact_quantiles(rows, [], "_us", [OBSERVED_FRACTION], "micros", collapse=False)
-    end = from_micros(F.col("quantile"))
-    if now is not None:
-        end = F.least(end, as_instant(now))
+    # A null quantile (no events) stays null: the smaller of null and a time would be the time.
+    end = F.when(F.col("quantile").isNotNull(), F.least(from_micros(F.col("quantile")), as_instant(now or _utc_now())))
     return found.select(F.date_trunc("second", end).cast("timestamp_ntz").alias("observation_end"))
 
 

@@ -113,7 +113,8 @@ _Z = """zt AS (SELECT *, CASE WHEN v > 0 THEN """ + two_sided_sql("ABS((sum_a /
   SELECT *, ((sum_a + sum_b) / (n_a + n_b)) * (1 - (sum_a + sum_b) / (n_a + n_b)) * (1 / n_a + 1 / n_b) AS v FROM pair))"""
 
 # Log factorials by a running sum; every table of the support; the tail.
-_FISHER = """lf AS (SELECT CAST(i AS BIGINT) AS i, SUM(CASE WHEN i > 0 THEN ln(i) ELSE 0 END) OVER (ORDER BY i) AS v FROM generate_series(0, 5000) s(i)),
+_FISHER = """lf AS (SELECT i, SUM(CASE WHEN i > 0 THEN ln(i) ELSE 0 END) OVER (ORDER BY i) AS v FROM (
+  SELECT unnest(generate_series(0, CAST(n_a + n_b AS BIGINT))) AS i FROM pair)),
 tabs AS (SELECT x.i AS x, p.sum_a,
     exp((SELECT v FROM lf WHERE i = p.n_a) - (SELECT v FROM lf WHERE i = x.i) - la.v
       + (SELECT v FROM lf WHERE i = p.n_b) - lb.v - lc.v
@@ -122,14 +123,13 @@ tabs AS (SELECT x.i AS x, p.sum_a,
   JOIN lf la ON la.i = p.n_a - x.i JOIN lf lb ON lb.i = p.sum_a + p.sum_b - x.i JOIN lf lc ON lc.i = p.n_b - (p.sum_a + p.sum_b - x.i)),
 ft AS (SELECT LEAST(1.0, SUM(prob) FILTER (prob <= (SELECT prob FROM tabs WHERE x = sum_a) + 1e-10)) AS p_fisher FROM tabs)"""
 
-# From 30 degrees of freedom the normal tail; below, one minus the t density
-# integrated over [-t, t] by Simpson's rule, with the gamma function.
+# One minus the t density integrated over [-t, t] by Simpson's rule, with the gamma function.
 _WELCH = """ws AS (SELECT *, ABS((mean_a - mean_b) / sqrt(var_a / n_a + var_b / n_b)) AS t,
   pow(var_a / n_a + var_b / n_b, 2) / (pow(var_a / n_a, 2) / (n_a - 1) + pow(var_b / n_b, 2) / (n_b - 1)) AS df FROM pair),
 wi AS (SELECT SUM(CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END
     * exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(df * pi()) * pow(1 + pow(t * i / 2000.0, 2) / df, -(df + 1) / 2)) * MIN(t) / 6000.0 AS half
   FROM ws CROSS JOIN generate_series(0, 2000) s(i)),
-wt AS (SELECT *, CASE WHEN df >= 30 THEN """ + two_sided_sql("t") + """ ELSE 1 - 2 * half END AS p_welch FROM ws, wi)"""
+wt AS (SELECT *, 1 - 2 * half AS p_welch FROM ws, wi)"""
 
 
 def _rank_cte() -> str:
@@ -246,7 +246,7 @@ _SIGNUP = "(event_name = 'signup' AND k = 11)"
 _KEPT = "event_name = 'view'"
 _WINDOW = """win AS (
   SELECT m.cohort_id, m.join_time, ev.user_id, ev.event_name, ev.event_time, ev.k, ev.row_id, ev.event_count,
-         CASE ev.event_name WHEN 'purchase' THEN original_revenue WHEN 'signup' THEN 2.5 * event_count ELSE 0.0 END AS revenue,
+         CAST(CASE ev.event_name WHEN 'purchase' THEN original_revenue WHEN 'signup' THEN 2.5 * event_count ELSE 0.0 END AS DECIMAL(28, 10)) AS revenue,
          CAST(floor((epoch_us(ev.event_time) - epoch_us(m.join_time)) / 86400000000.0) AS INTEGER) AS rel_day
   FROM m JOIN ev ON m.user_id = ev.user_id
   WHERE ev.event_time >= m.join_time + INTERVAL 1 DAY AND ev.event_time < m.join_time + INTERVAL 7 DAY)"""

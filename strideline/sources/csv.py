@@ -32,11 +32,12 @@ class CsvEvents:
         )
 
 
-def read_csv_events(spark: SparkSession, path: str, multi_line: bool = True) -> CsvEvents:
+def read_csv_events(spark: SparkSession, path: str, multi_line: bool = False) -> CsvEvents:
     """Read every column as text; types are decided later, on all values.
 
-    Multi-line records make a file one split, so large inputs should be many files
-    (or be read with ``multi_line=False`` when no field holds a line break).
+    A file is read in many splits, which takes fields without line breaks. ``multi_line``
+    allows line breaks inside quotes; each file is then one split, so large inputs should
+    be many files.
     """
     options = {"header": True, "quote": '"', "escape": '"', "multiLine": multi_line}
     header = spark.read.options(**options).csv(path).columns

@@ -17,7 +17,7 @@ from strideline.specs import Filter, RevenueRule, SpecError, merge_rules
 def test_csv_quotes_lines_and_bad_rows(spark, tmp_path):
     path = tmp_path / "in.csv"
     path.write_text('uid,event,at\nu1,"say ""hi""",2024-01-01\nu2,"two\nlines",2024-01-02\nu3,x\nu4,y,2024-01-03,extra\n')
-    loaded = read_csv_events(spark, str(path))
+    loaded = read_csv_events(spark, str(path), multi_line=True)
     assert rows_of(loaded.rows) == [("u1", 'say "hi"', "2024-01-01"), ("u2", "two\nlines", "2024-01-02")]
     assert tuple(loaded.load_report().first()) == (2, 2)
     ids = [r.row_id for r in with_row_id(loaded.rows).collect()]

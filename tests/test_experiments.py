@@ -6,6 +6,7 @@ from datetime import datetime
 
 import pytest
 from conftest import at, by, rows_of
+from pyspark.sql import functions as F
 
 from strideline.operators import cohorts as C
 from strideline.operators import compare, impact, retention, usage
@@ -22,9 +23,19 @@ def _tail(z):
     return math.erfc(abs(z) / math.sqrt(2))
 
 
+def _student(t, df):
+    """One minus the density summed over [-|t|, |t|]."""
+    scale = math.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / math.sqrt(df * math.pi)
+    steps, width = 20_000, abs(t) / 20_000
+    return 1 - 2 * sum(scale * (1 + ((i + 0.5) * width) ** 2 / df) ** (-(df + 1) / 2) * width for i in range(steps))
+
+
 def _fisher(xa, na, xb, nb):
-    total = math.comb(na + nb, xa + xb)
-    probs = {x: math.comb(na, x) * math.comb(nb, xa + xb - x) / total for x in range(max(0, xa + xb - nb), min(xa + xb, na) + 1)}
+    def ways(n, k):
+        return math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
+
+    total = ways(na + nb, xa + xb)
+    probs = {x: math.exp(ways(na, x) + ways(nb, xa + xb - x) - total) for x in range(max(0, xa + xb - nb), min(xa + xb, na) + 1)}
     return min(1.0, sum(p for p in probs.values() if p <= probs[xa] + 1e-10))
 
 
@@ -42,9 +53,17 @@ def test_proportion_tests(spark, xa, na, xb, nb):
     assert row.relative_lift == (pytest.approx((xa / na - xb / nb) / (xb / nb)) if xb else None)
 
 
-def test_fisher_is_skipped_for_large_samples(spark):
-    big = spark.createDataFrame([(4000, 100.0, 2000, 60.0)], "n_a long, sum_a double, n_b long, sum_b double")
-    assert compare.fisher_test(big).first().p_fisher is None
+@pytest.mark.parametrize("xa,na,xb,nb", [(100, 4000, 60, 2000), (2600, 9000, 2800, 9000), (1, 6000, 0, 6000)])
+def test_fisher_of_large_samples(spark, xa, na, xb, nb):
+    big = spark.createDataFrame([(na, float(xa), nb, float(xb))], "n_a long, sum_a double, n_b long, sum_b double")
+    assert compare.fisher_test(big).first().p_fisher == pytest.approx(_fisher(xa, na, xb, nb), abs=1e-7)
+
+
+def test_fisher_of_huge_samples(spark):
+    sizes = [(10**9, 5e8, 10**9, 5e8), (10**9, 5e8, 10**9, 4e8)]
+    big = spark.createDataFrame(sizes, "n_a long, sum_a double, n_b long, sum_b double")
+    near, far = (row.p_fisher for row in compare.fisher_test(big).orderBy(F.desc("sum_b")).collect())
+    assert near == pytest.approx(1.0) and far < 1e-3
 
 
 def test_continuous_tests(spark):
@@ -66,7 +85,8 @@ def test_continuous_tests(spark):
         return mean, sum((x - mean) ** 2 for x in v) / (len(v) - 1) / len(v)
 
     (ma, va), (mb, vb) = spread(a), spread(b)
-    assert row.p_welch == pytest.approx(_tail((ma - mb) / math.sqrt(va + vb)), abs=1e-6)
+    df = (va + vb) ** 2 / (va**2 / (n - 1) + vb**2 / (m - 1))
+    assert row.p_welch == pytest.approx(_student((ma - mb) / math.sqrt(va + vb), df), abs=1e-6)
     assert row.p_value == row.p_mwu
 
 
