@@ -174,16 +174,12 @@ def rank_test(
     cohort_b: int,
     tie_correction: bool = True,
     continuity: bool = True,
-    count: int | None = None,
 ) -> DataFrame:
-    """One row with the sizes, the rank sum of A, U and ``p_mwu``.
-
-    ``count`` is the number of values, if known; it only picks the ranking route.
-    """
+    """One row with the sizes, the rank sum of A, U and ``p_mwu``."""
     pair = values.where(F.col("cohort_id").isin(cohort_a, cohort_b)).select(
         F.lit(0).alias("_pair"), (F.col("cohort_id") == cohort_a).alias("_is_a"), "value"
     )
-    sums = rank_sums(pair, ["_pair"], "_is_a", "value", count)
+    sums = rank_sums(pair, ["_pair"], "_is_a", "value")
     u_a = F.col("rank_sum_a") - F.col("n_a") * (F.col("n_a") + 1) / 2
     p = mann_whitney_p(F.col("n_a"), F.col("n_b"), F.col("rank_sum_a"), F.col("tie_term"), tie_correction, continuity)
     return sums.select(
@@ -196,7 +192,7 @@ def compare_cohorts(values: DataFrame, metric: str, cohort_a: int, cohort_b: int
     """Means, difference, lift and p-values of the tests that fit the metric.
 
     Under two users on a side there are no tests; two constant sides have no
-    continuous p-value. ``values`` is counted and read by several aggregates, so it
+    continuous p-value. ``values`` is read by several aggregates, so it
     should be staged. A cohort isn't compared with itself.
     """
     if cohort_a == cohort_b:
@@ -209,7 +205,7 @@ def compare_cohorts(values: DataFrame, metric: str, cohort_a: int, cohort_b: int
         tested = tested.withColumn("p_welch", empty).withColumn("p_mwu", empty)
         p_value = F.least(F.col("p_z"), F.col("p_fisher"))
     else:
-        ranks = rank_test(values, cohort_a, cohort_b, count=values.count()).select(F.col("n_a").alias("_na"), F.col("n_b").alias("_nb"), "p_mwu")
+        ranks = rank_test(values, cohort_a, cohort_b).select(F.col("n_a").alias("_na"), F.col("n_b").alias("_nb"), "p_mwu")
         constant = (F.col("var_a") == 0) & (F.col("var_b") == 0)
         tested = welch_test(pair).join(ranks, (F.col("n_a") == F.col("_na")) & (F.col("n_b") == F.col("_nb")), "left")
         tested = tested.withColumn("p_z", empty).withColumn("p_fisher", empty)

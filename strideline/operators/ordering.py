@@ -23,7 +23,6 @@ from strideline.operators.skew import row_salt
 # Fixed values. The first is the largest rank Spark limits before the shuffle.
 GROUP_LIMIT = 1_000
 TOP_SALTS = 16
-BUFFERED_VALUES = 500_000
 RANK_DECIMALS = 6
 HASH_DIGITS = 3
 MANTISSA_CELLS = 65_536
@@ -127,18 +126,14 @@ def exact_quantiles(
     )
 
 
-def quantile_instant(rows: DataFrame, time: str, fraction: float, count: int | None = None) -> datetime | None:
+def quantile_instant(rows: DataFrame, time: str, fraction: float) -> datetime | None:
     """The interpolated quantile of a timestamp column, computed now.
 
-    A table small enough for one buffer (``count`` rows, if already known) takes the
-    built-in percentile. Else three counts over ever narrower literal time ranges: days of everything, seconds
+    Three counts over ever narrower literal time ranges: days of everything, seconds
     of the day found, instants of the second found. Only the first reads the whole
     column; the ranges of the others are pushed into the scan. Each count returns at
     most two rows.
     """
-    if (rows.count() if count is None else count) <= BUFFERED_VALUES:
-        value = rows.agg(F.percentile(micros(F.col(time)), F.lit(fraction)).alias("value")).first()["value"]
-        return None if value is None else datetime(1970, 1, 1) + timedelta(microseconds=int(value))
     found: dict[int, tuple[int, int]] | None = None  # side -> (cell start, rank in cell)
     weight = 0.0
     width_above = None
@@ -196,27 +191,19 @@ def _instant(value: int) -> Column:
 def quantile_columns(
     rows: DataFrame, keys: Sequence[str], value: str, named: dict[str, float], kind: str = "double"
 ) -> DataFrame:
-    """One row per key with a column for each named fraction, exactly.
-
-    ``rows`` should be staged: they are counted first. Few enough rows fit one
-    buffer of the built-in percentile; more are located level by level.
-    """
-    if rows.count() <= BUFFERED_VALUES:
-        picks = [F.percentile(value, F.lit(float(f))).alias(name) for name, f in named.items()]
-        return rows.where(F.col(value).isNotNull()).groupBy(*keys).agg(*picks)
+    """One row per key with a column for each named fraction, exactly, located level by level."""
     long_form = exact_quantiles(rows, keys, value, list(named.values()), kind)
     picks = [F.max(F.when(F.col("fraction") == F.lit(float(f)), F.col("quantile"))).alias(name) for name, f in named.items()]
     return long_form.groupBy(*keys).agg(*picks)
 
 
-def rank_sums(rows: DataFrame, keys: Sequence[str], side: str, value: str, count: int | None = None) -> DataFrame:
+def rank_sums(rows: DataFrame, keys: Sequence[str], side: str, value: str) -> DataFrame:
     """Per key: sizes of both sides, sum of average ranks of side A, tie term.
 
     ``side`` is a boolean column, true for A. Only the distinct values are ordered;
     the number of values below each one is added up level by level, so no window
-    spans a whole key. If ``count`` says that all rows fit one ordering anyway, the
-    coarser levels are skipped. Values are ranked at six decimals: floating sums depend on
-    the order of addition, and equal amounts must tie on every run.
+    spans a whole key. Values are ranked at six decimals: floating sums depend on the
+    order of addition, and equal amounts must tie on every run.
     """
     group = list(keys)
     coarse, fine = _double_levels(F.col("_v"))
@@ -232,8 +219,6 @@ def rank_sums(rows: DataFrame, keys: Sequence[str], side: str, value: str, count
         .withColumn("_ties", F.pow("_c", F.lit(3)) - F.col("_c"))
     )
     steps = [([*group, "_l1", "_l2"], "_v"), ([*group, "_l1"], "_l2"), (group, "_l1")]
-    if count is not None and count <= BUFFERED_VALUES:
-        steps = [(group, "_v")]
     for cells, order in steps:
         below = _running(cells, order, "_c") - F.col("_c")
         level = (

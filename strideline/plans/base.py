@@ -153,7 +153,7 @@ class Study:
 
     @property
     def until(self) -> datetime:
-        return observed_until(self.rows, hot=self.hot)
+        return observed_until(self.rows)
 
 
 def study(rows: DataFrame) -> Study:
