@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strideline.llm.arrow import binary, texts_of
+from strideline.llm.arrow import binary, release, texts_of
 
 #: Longer texts are cut at safe places into parts of at least so many characters.
 LONG_TEXT = 100_000
@@ -54,6 +54,7 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, *, key: str = "doc_id"
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         own = encoding(rank_file, pattern)
         for batch in batches:
             for begin, texts in texts_of(batch, "text"):
@@ -71,6 +72,7 @@ def decode(encoded: DataFrame, rank_file: str, pattern: str) -> DataFrame:
     """Add ``decoded``: the raw bytes of ``ids``, which need not be valid UTF-8."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         own = encoding(rank_file, pattern)
         for batch in batches:
             ids = (np.frombuffer(value or b"", "<u4") for value in batch.column("ids").to_pylist())

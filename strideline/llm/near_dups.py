@@ -15,14 +15,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strideline.llm.arrow import binary, texts_of
+from strideline.llm.arrow import binary, held, texts_of
 from strideline.operators.staging import stage
 
 WORDS = 5
@@ -32,7 +31,7 @@ RECALL = 0.999
 MOST_HASHES = 150
 BLOCK = 256
 #: Words whose hashes a worker keeps.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 500_000
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _NONE = np.zeros(0, np.uint64)
@@ -60,11 +59,6 @@ class _WordHash(dict):
         return value
 
 
-@cache
-def _word_hash() -> _WordHash:
-    return _WordHash()
-
-
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -73,7 +67,7 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 def ngram_set(text: str, words: int) -> np.ndarray:
     """Sorted 64-bit hashes of the word n-grams; a text of fewer words is one n-gram, none is no n-gram."""
-    hashes = _word_hash()
+    hashes = held("word hashes", _WordHash)
     if len(hashes) > CACHE_WORDS:
         hashes.clear()
     found = _WORD.findall(text)

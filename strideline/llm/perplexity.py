@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strideline.llm.arrow import binary
+from strideline.llm.arrow import binary, release
 from strideline.operators.staging import stage
 
 ORDER = 4
@@ -155,6 +155,7 @@ def score(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
     source = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for chunk, table in _chunks(batches):
             trusted = table["trusted"].fill_null(False).to_pylist()
             keys, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
@@ -201,6 +202,7 @@ def score(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
     answers = questions.cogroup(model.select("gram", "n", shard).groupBy("shard")).applyInArrow(answer, "chunk long, gram long, logp float")
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for chunk, table in _chunks(batches):
             for begin in range(0, table.num_rows, 500):
                 some = table.slice(begin, 500)

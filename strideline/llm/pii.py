@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strideline.llm.arrow import texts_of
+from strideline.llm.arrow import release, texts_of
 
 # The patterns and what a match must hold.
 KINDS = ("email", "ip", "card", "phone")
@@ -216,6 +216,7 @@ def find(docs: DataFrame, *, key: str = "doc_id", text: str = "text", redact: bo
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         named = lambda found: [{"kind": KINDS[k], "start": s, "end": e} for k, s, e in found]
         for batch in batches:
             for begin, texts in texts_of(batch, "text"):

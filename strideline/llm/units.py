@@ -13,12 +13,15 @@ from array import array
 
 import numpy as np
 
+from strideline.llm.arrow import held
+
 #: Units kept per worker before the cache starts anew: about 300 MB. Results don't depend on it.
 CACHE_UNITS = 1_200_000
+#: Characters of text that are split into units at a time.
+RUN_CHARS = 2_000_000
 
 #: A lone surrogate: no text that Spark can hold has one.
 _FIRST = "\ud800"
-_OPEN: dict[str, UnitEncoder] = {}
 _SAFE = re.compile(r"(?<=\S)(?=[ \n])")
 
 
@@ -40,9 +43,7 @@ class UnitEncoder:
 
     @staticmethod
     def of(path: str) -> UnitEncoder:
-        if path not in _OPEN:
-            _OPEN[path] = UnitEncoder(path)
-        return _OPEN[path]
+        return held(("units", path), lambda: UnitEncoder(path))
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         out = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -62,15 +63,23 @@ class UnitEncoder:
             cache.update(zip(good[begin : begin + 4096], self._whole(units[begin : begin + 4096]), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """One bytes object per text."""
+        """One bytes object per text. Copies are encoded once."""
+        made: dict[str, bytes] = {}
+        run, size = [], 0
+        for text in dict.fromkeys(texts):
+            run.append(text)
+            size += len(text)
+            if size >= RUN_CHARS:
+                made.update(zip(run, self._run(run), strict=True))
+                run, size = [], 0
+        made.update(zip(run, self._run(run), strict=True))
+        return [made[text] for text in texts]
+
+    def _run(self, texts: list[str]) -> list[bytes]:
         if len(self.cache) > CACHE_UNITS:
             self.cache.clear()
         split, slow, fresh = [], [], set()
         cache = self.cache
-        distinct = list(dict.fromkeys(texts))
-        if len(distinct) < len(texts):  # copies are encoded once
-            made = dict(zip(distinct, self.encode(distinct), strict=True))
-            return [made[text] for text in texts]
         for text in texts:
             # A line feed becomes a unit's own first character; " \n" in a text shows as an empty unit.
             parts = text.replace("\n", " \n").split(" ")

@@ -162,3 +162,26 @@ def test_plan_is_tight():
 def test_start_is_of_long_type(odd):
     assert dict(bpe.encode(odd, RANKS, PATTERN).dtypes)["n_tokens"] == "bigint"
     assert bpe.encode(odd, RANKS, PATTERN).agg(F.count(F.lit(1))).first()[0] == odd.count()
+
+
+def test_a_worker_holds_one_cache():
+    from strideline.llm import arrow
+
+    first = arrow.held("a", dict)
+    assert arrow.held("a", dict) is first
+    arrow.held("b", list)
+    assert arrow.held("a", dict) is not first
+    arrow.release()
+    assert not arrow._HELD
+
+
+def test_runs_of_texts_do_not_change_ids(monkeypatch):
+    import public_tokenizers
+
+    from strideline.llm import units
+
+    own = units.UnitEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["", "one two\n three  four", "x" * 50, "one two\n three  four", "ß \U0001f600 end"]
+    whole = own.encode(texts)
+    monkeypatch.setattr(units, "RUN_CHARS", 7)
+    assert own.encode(texts) == whole and own.encode([]) == []
