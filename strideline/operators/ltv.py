@@ -90,8 +90,13 @@ def fit_power_law(curves: DataFrame, value: str, day: str = "bucket", key: str =
     )
 
 
-def project(fit: DataFrame, horizon: int) -> DataFrame:
-    """``(…, day, projected, lower, upper)`` for the days after the last observed one."""
+def project(fit: DataFrame, horizon: int, last_day: int | None = None) -> DataFrame:
+    """``(…, day, projected, lower, upper)`` for the days after the last observed one.
+
+    That is each curve's own, or ``last_day`` for all of them, such as the last day of a table of several curves.
+    """
+    if last_day is not None:
+        fit = fit.withColumn("last_day", F.lit(last_day))
     day = F.col("day").cast("double")
     exponent = F.least(F.lit(MAX_B), F.greatest(F.lit(MIN_B), F.col("b")))
     curve = F.col("a") * _power(day, exponent)

@@ -198,6 +198,9 @@ def test_power_law(spark):
     assert set(projected) == {9, 10}
     band = 1.96 * (sse / 7) ** 0.5 * 1.2**0.5
     assert projected[10] == (pytest.approx(a * 10**b), pytest.approx(a * 10**b - band), pytest.approx(a * 10**b + band))
+    common = by(ltv.project(ltv.fit_power_law(curves, "y"), 12, last_day=11).where("cohort_id = 2"), "day", "projected", "upper")
+    band = 1.96 * (sse / 7) ** 0.5 * 1.1**0.5
+    assert common == {12: (pytest.approx(a * 12**b), pytest.approx(a * 12**b + band))}
     tuned = by(ltv.reproject(ltv.fit_power_law(curves, "y"), 2.0, 9.0, 9).where("cohort_id = 2"), "day", "projected")
     assert tuned == {9: pytest.approx(2.0 * 9**1.5)}
 
