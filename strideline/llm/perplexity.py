@@ -6,8 +6,9 @@ rows. A chunk of documents asks once for each distinct n-gram it holds; the ques
 the corpus counts in shards keyed by the last two context bytes, where an n-gram, its shorter
 forms and all their contexts are together; the answers go back to the chunk.
 
-Three passes read the documents: one that asks and counts, one that sends them, compressed,
-to meet their answers, and the labels' join that says which of them are trusted.
+Three passes read the documents: one that counts the trusted ones, in whatever tasks the labels'
+join puts them; one that asks; and one that sends them, compressed, to meet their answers. The
+last two are the same plain scan, so that their chunks are the same whatever the size of the labels.
 """
 
 from __future__ import annotations
@@ -115,10 +116,10 @@ def probabilities(asked: np.ndarray, grams: np.ndarray, counts: np.ndarray, disc
 
 
 def _trusted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` with ``trusted``, whether a label calls the document good (or null)."""
+    """The rows of ``docs`` that a label calls good."""
     good = labels.where(F.col("quality") == 1).select(F.col("doc_id").cast("long").alias("key")).where("key is not null").distinct()
     small = good.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(good.withColumn("trusted", F.lit(True))) if small else good.withColumn("trusted", F.lit(True)), "key", "left")
+    return docs.join(F.broadcast(good) if small else good, "key", "left_semi")
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
@@ -129,7 +130,12 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]
         begin = 0
         while begin < batch.num_rows:
             before = lengths[begin - 1] if begin else 0
-            end = max(begin + 1, int(np.searchsorted(lengths, before + CHUNK_BYTES - size, "right")))
+            # One row at least, but not at the start of each batch: chunks don't depend on where batches end.
+            end = max(begin + (not held), int(np.searchsorted(lengths, before + CHUNK_BYTES - size, "right")))
+            if end == begin:
+                yield number, pa.Table.from_batches(held)
+                number, held, size = number + 1, [], 0
+                continue
             held.append(batch.slice(begin, end - begin))
             size += int(lengths[end - 1] - before)
             begin = end
@@ -144,40 +150,48 @@ def _utf8(table: pa.Table) -> list[bytes]:
     return table["text"].cast(pa.binary()).fill_null(b"").to_pylist()
 
 
+def _distinct(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The different n-grams of some texts, and how often each occurs."""
+    keys, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+    for begin in range(0, len(texts), 1000):
+        found, n = np.unique(ngrams(texts[begin : begin + 1000])[0], return_counts=True)
+        keys.append(found)
+        counts.append(n)
+    both, at = np.unique(np.concatenate(keys), return_inverse=True)
+    return both, np.bincount(at, np.concatenate(counts), len(both)).astype(np.int64)
+
+
+def _rows(*columns: np.ndarray, names: tuple[str, ...] = ("gram", "n")) -> Iterator[pa.RecordBatch]:
+    for begin in range(0, len(columns[0]), 100_000):
+        yield pa.RecordBatch.from_arrays([pa.array(c[begin : begin + 100_000].astype(np.int64)) for c in columns], list(names))
+
+
 def score(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """``doc_id``, ``lang``, ``n_bytes`` and ``log_perplexity`` (nats per byte; null for empty texts).
 
-    ``docs`` must be a stored table, as it is read twice and its rows have to come in the same tasks;
+    ``docs`` must be a stored table, as it is read more than once and its rows have to come in the same tasks;
     an n-gram without an answer, which anything else would show as, ends the job. ``labels`` has
     ``doc_id`` and ``quality``; repeated labels count once. Without any trusted text all bytes are
     equally likely.
     """
     source = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        for _, table in _chunks(batches):
+            yield from _rows(*_distinct(_utf8(table)))
+
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for chunk, table in _chunks(batches):
-            trusted = table["trusted"].fill_null(False).to_pylist()
-            keys, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
-            texts = _utf8(table)
-            for begin in range(0, len(texts), 1000):
-                some = texts[begin : begin + 1000]
-                for wanted in (True, False):
-                    grams, _ = ngrams([t for t, ok in zip(some, trusted[begin : begin + 1000], strict=True) if ok is wanted])
-                    found, n = np.unique(grams, return_counts=True)
-                    keys.append(found)
-                    counts.append(n if wanted else np.zeros(len(found), np.int64))
-            both, at = np.unique(np.concatenate(keys), return_inverse=True)
-            n = np.bincount(at, np.concatenate(counts), len(both)).astype(np.int64)
-            for begin in range(0, len(both), 100_000):
-                some = slice(begin, begin + 100_000)
-                columns = [np.full(len(both[some]), chunk), both[some].astype(np.int64), n[some]]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["chunk", "gram", "n"])
-
-    asked = stage(_trusted(source.select("key", "text"), labels).select("text", "trusted").mapInArrow(ask, "chunk long, gram long, n long"))
+            grams, _ = _distinct(_utf8(table))
+            yield from _rows(np.full(len(grams), chunk), grams, names=("chunk", "gram"))
+
+    asked = stage(source.mapInArrow(ask, "chunk long, gram long"))
 
     # Corpus counts, and the few numbers of them that every shard needs.
-    model = stage(asked.where("n > 0").groupBy("gram").agg(F.sum("n").alias("n")))
+    counted = _trusted(source.select("key", "text"), labels).select("text").mapInArrow(count, "gram long, n long")
+    model = stage(counted.groupBy("gram").agg(F.sum("n").alias("n")))
     ones = {}
     level = model
     for order in range(ORDER, 1, -1):
@@ -236,7 +250,7 @@ def score(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
             out.append(pa.table({"doc_id": table["key"], "lang": table["lang"], "n_bytes": sizes, "log_perplexity": mean}))
         return pa.concat_tables(out) if out else pa.table({n: pa.array([], t) for n, t in (("doc_id", pa.int64()), ("lang", pa.string()), ("n_bytes", pa.int64()), ("log_perplexity", pa.float64()))})
 
-    sent = source.select("key", "text", "lang").mapInArrow(send, "chunk long, rows binary")
+    sent = source.mapInArrow(send, "chunk long, rows binary")
     scored = sent.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(add, "doc_id long, lang string, n_bytes long, log_perplexity double")
     return scored
 

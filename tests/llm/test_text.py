@@ -211,6 +211,21 @@ def test_perplexity_by_definition(spark, documents, tmp_path):
     assert not next(r for r in got if r["doc_id"] == 9_002)["kept"]
 
 
+def test_perplexity_with_labels_joined_by_shuffle(spark, documents, tmp_path, monkeypatch):
+    path = str(tmp_path / "docs")
+    documents.repartition(3).write.parquet(path)
+    docs, labels = spark.read.parquet(path), spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    written = lambda: sorted((r["doc_id"], round(r["log_perplexity"], 6)) for r in perplexity.score(docs, labels).collect() if r["n_bytes"])
+    expected = written()
+    monkeypatch.setattr(perplexity, "BROADCAST_IDS", 0)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert written() == expected
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_perplexity_of_nothing(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "none"))
     labels = spark.createDataFrame([], "doc_id long, quality int")
