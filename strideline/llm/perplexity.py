@@ -6,6 +6,11 @@ rows. A chunk of documents asks once for each distinct n-gram it holds; the ques
 the corpus counts in shards keyed by the last two context bytes, where an n-gram, its shorter
 forms and all their contexts are together; the answers go back to the chunk.
 
+A document's own text must not speak for it where the threshold is found: every text belongs to
+one of ``FOLDS`` folds by its hash, and besides the model of all trusted text there is one without
+each fold. An answer holds the probabilities under all of them; ``held_out`` is the perplexity
+under the model that has not seen the document, nor any equal one.
+
 Three passes read the documents: one that counts the trusted ones, in whatever tasks the labels'
 join puts them; one that asks; and one that sends them, compressed, to meet their answers. The
 last two are the same plain scan, so that their chunks are the same whatever the size of the labels.
@@ -26,15 +31,15 @@ from pyspark.sql import functions as F
 from strideline.llm.arrow import binary, release
 from strideline.operators.staging import stage
 
-ORDER = 4
+ORDER = 6
+#: Parts of the trusted text; the models without one of them give the held-out scores.
+FOLDS = 4
 #: Trusted ids that are broadcast at most; beyond it the labels are joined by shuffle.
 BROADCAST_IDS = 2_000_000
 #: Bytes of text a chunk holds about (and at least one document).
 CHUNK_BYTES = 24 << 20
-#: A document is rejected above this quantile of its language's trusted documents, widened
-#: by ``MARGIN`` times the distance from their median to it (in log perplexity).
+#: A document is rejected above this quantile of the held-out scores of its language's trusted documents.
 QUANTILE = 0.98
-MARGIN = 5.0
 #: Short texts scatter: a text of n bytes is judged by its log perplexity less SHORT / sqrt(n).
 SHORT = 2.0
 
@@ -44,11 +49,11 @@ _PAD = b"\n" * (ORDER - 1)
 def ngrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The n-gram (an unsigned number, the last byte lowest) that ends at each byte of each text,
     the start padded with line feeds, and how many each text has."""
-    raw = np.frombuffer(b"".join(_PAD + t for t in texts), np.uint8).astype(np.uint32)
+    raw = np.frombuffer(b"".join(_PAD + t for t in texts), np.uint8).astype(np.uint64)
     sizes = np.array([len(t) for t in texts], np.int64)
     grams = raw[ORDER - 1 :].copy()
     for back in range(1, ORDER):
-        grams |= raw[ORDER - 1 - back : len(raw) - back] << np.uint32(8 * back)
+        grams |= raw[ORDER - 1 - back : len(raw) - back] << np.uint64(8 * back)
     inside = np.ones(len(grams), bool)  # not those that end in the padding between two texts
     ends = np.cumsum(sizes + ORDER - 1)[:-1]
     for pad in range(ORDER - 1):
@@ -89,13 +94,13 @@ def _level(asked: np.ndarray, grams: np.ndarray, counts: np.ndarray, discount: t
     if not len(grams):
         return lower
     cut = np.array([0.0, *discount])[np.minimum(counts, 3)]
-    contexts, start = np.unique(grams >> np.uint32(8), return_index=True)
+    contexts, start = np.unique(grams >> np.uint64(8), return_index=True)
     total = np.add.reduceat(counts.astype(float), start)
     left = np.add.reduceat(cut, start) / total
     at = np.minimum(np.searchsorted(grams, asked), len(grams) - 1)
     own = np.where(grams[at] == asked, counts[at] - cut[at], 0.0)
-    where = np.minimum(np.searchsorted(contexts, asked >> np.uint32(8)), len(contexts) - 1)
-    known = contexts[where] == asked >> np.uint32(8)
+    where = np.minimum(np.searchsorted(contexts, asked >> np.uint64(8)), len(contexts) - 1)
+    known = contexts[where] == asked >> np.uint64(8)
     return np.where(known, own / total[where] + left[where] * lower, lower)
 
 
@@ -106,12 +111,11 @@ def probabilities(asked: np.ndarray, grams: np.ndarray, counts: np.ndarray, disc
     """
     levels = [(grams, counts)]
     for order in range(ORDER - 1, 2, -1):
-        shorter, n = np.unique(levels[-1][0] & np.uint32((1 << 8 * order) - 1), return_counts=True)
+        shorter, n = np.unique(levels[-1][0] & np.uint64((1 << 8 * order) - 1), return_counts=True)
         levels.append((shorter, n))
-    p = bigrams[(asked >> np.uint32(8)) & 0xFF, asked & 0xFF]
+    p = bigrams[((asked >> np.uint64(8)) & np.uint64(0xFF)).astype(int), (asked & np.uint64(0xFF)).astype(int)]
     for order, (keys, n) in zip(range(3, ORDER + 1), reversed(levels), strict=True):
-        mask = np.uint32((1 << 8 * order) - 1) if order < 4 else np.uint32(0xFFFFFFFF)
-        p = _level(asked & mask, keys, n, discounts.by_order[order], p)
+        p = _level(asked & np.uint64((1 << 8 * order) - 1), keys, n, discounts.by_order[order], p)
     return p
 
 
@@ -122,6 +126,11 @@ def _trusted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(good) if small else good, "key", "left_semi")
 
 
+def _fold():
+    """The fold of a text: equal texts share one."""
+    return F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(FOLDS)).cast("int")
+
+
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
     """Runs of rows of about a chunk's size with their number: the task in the upper bits."""
     number, held, size = TaskContext.get().partitionId() << 32, [], 0
@@ -152,7 +161,7 @@ def _utf8(table: pa.Table) -> list[bytes]:
 
 def _distinct(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The different n-grams of some texts, and how often each occurs."""
-    keys, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+    keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for begin in range(0, len(texts), 1000):
         found, n = np.unique(ngrams(texts[begin : begin + 1000])[0], return_counts=True)
         keys.append(found)
@@ -161,13 +170,14 @@ def _distinct(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return both, np.bincount(at, np.concatenate(counts), len(both)).astype(np.int64)
 
 
-def _rows(*columns: np.ndarray, names: tuple[str, ...] = ("gram", "n")) -> Iterator[pa.RecordBatch]:
+def _rows(*columns: np.ndarray, names: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
     for begin in range(0, len(columns[0]), 100_000):
         yield pa.RecordBatch.from_arrays([pa.array(c[begin : begin + 100_000].astype(np.int64)) for c in columns], list(names))
 
 
 def score(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """``doc_id``, ``lang``, ``n_bytes`` and ``log_perplexity`` (nats per byte; null for empty texts).
+    """``doc_id``, ``lang``, ``n_bytes``, ``log_perplexity`` (nats per byte; null for empty texts) and ``held_out``,
+    the same under the trusted text without the document's fold.
 
     ``docs`` must be a stored table, as it is read more than once and its rows have to come in the same tasks;
     an n-gram without an answer, which anything else would show as, ends the job. ``labels`` has
@@ -175,11 +185,15 @@ def score(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
     equally likely.
     """
     source = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
+    source = source.withColumn("fold", _fold())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for _, table in _chunks(batches):
-            yield from _rows(*_distinct(_utf8(table)))
+            texts, folds = _utf8(table), table["fold"].to_pylist()
+            for fold in range(FOLDS):
+                grams, n = _distinct([t for t, f in zip(texts, folds, strict=True) if f == fold])
+                yield from _rows(grams, n, np.full(len(grams), fold), names=("gram", "n", "fold"))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -189,31 +203,41 @@ def score(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
 
     asked = stage(source.mapInArrow(ask, "chunk long, gram long"))
 
-    # Corpus counts, and the few numbers of them that every shard needs.
-    counted = _trusted(source.select("key", "text"), labels).select("text").mapInArrow(count, "gram long, n long")
-    model = stage(counted.groupBy("gram").agg(F.sum("n").alias("n")))
-    ones = {}
+    # Corpus counts, of all text and without each fold, and the few numbers of them that every shard needs.
+    parts = [f"n{i}" for i in range(FOLDS + 1)]
+    counted = _trusted(source.select("key", "text", "fold"), labels).select("text", "fold").mapInArrow(count, "gram long, n long, fold long")
+    own = [F.sum(F.when(F.col("fold") != fold, F.col("n")).otherwise(0)).alias(parts[fold + 1]) for fold in range(FOLDS)]
+    model = stage(counted.groupBy("gram").agg(F.sum("n").alias(parts[0]), *own))
+    ones: dict[str, dict[int, tuple[float, float, float]]] = {part: {} for part in parts}
     level = model
     for order in range(ORDER, 1, -1):
         if order < ORDER:
-            level = level.groupBy(F.col("gram").bitwiseAND((1 << 8 * order) - 1).alias("gram")).agg(F.count(F.lit(1)).alias("n"))
-        row = level.agg(*(F.count(F.when(F.col("n") == c, 1)).alias(str(c)) for c in (1, 2, 3, 4))).first()
-        ones[order] = Discounts.of([row[str(c)] for c in (1, 2, 3, 4)])
-    discounts = Discounts(ones)
-    pairs = np.zeros((256, 256))
+            shorter = F.col("gram").bitwiseAND(F.lit((1 << 8 * order) - 1)).alias("gram")
+            level = stage(level.groupBy(shorter).agg(*(F.count(F.when(F.col(part) > 0, 1)).alias(part) for part in parts)))
+        row = level.agg(*(F.count(F.when(F.col(part) == c, 1)).alias(f"{part}_{c}") for part in parts for c in (1, 2, 3, 4))).first()
+        for part in parts:
+            ones[part][order] = Discounts.of([row[f"{part}_{c}"] for c in (1, 2, 3, 4)])
+    pairs = np.zeros((len(parts), 256, 256))
     for row in level.collect():  # at most 65,536 byte pairs
-        pairs[row["gram"] >> 8, row["gram"] & 255] = row["n"]
-    bigrams = bigram_table(pairs, ones[2])
+        pairs[:, row["gram"] >> 8, row["gram"] & 255] = [row[part] for part in parts]
+    models = [(part, Discounts(ones[part]), bigram_table(pairs[i], ones[part][2])) for i, part in enumerate(parts)]
 
     def answer(_, left: pa.Table, right: pa.Table) -> pa.Table:
+        asked = left["gram"].to_numpy().astype(np.uint64)
         order = np.argsort(right["gram"].to_numpy())
-        grams, counts = right["gram"].to_numpy()[order].astype(np.uint32), right["n"].to_numpy()[order]
-        p = probabilities(left["gram"].to_numpy().astype(np.uint32), grams, counts, discounts, bigrams)
-        return pa.table({"chunk": left["chunk"], "gram": left["gram"], "logp": np.log(p).astype(np.float32)})
-
+        grams = right["gram"].to_numpy()[order].astype(np.uint64)
+        out = {"gram": left["gram"]}
+        for part, discounts, bigrams in models:
+            counts = right[part].to_numpy()[order]
+            p = probabilities(asked, grams[counts > 0], counts[counts > 0], discounts, bigrams)
+            out[part] = np.log(p).astype(np.float32)
+        return pa.table(out)
+
+    # A shard answers each n-gram once, however many chunks ask for it; a join takes the answer to them.
     shard = F.shiftright(F.col("gram"), 8).bitwiseAND(0xFFFF).alias("shard")
-    questions = asked.select("chunk", "gram", shard).groupBy("shard")
-    answers = questions.cogroup(model.select("gram", "n", shard).groupBy("shard")).applyInArrow(answer, "chunk long, gram long, logp float")
+    questions = asked.select("gram").distinct().select("gram", shard).groupBy("shard")
+    answers = questions.cogroup(model.select("*", shard).groupBy("shard")).applyInArrow(answer, "gram long, " + ", ".join(f"{part} float" for part in parts))
+    answers = asked.join(answers, "gram")
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -227,46 +251,45 @@ def score(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
 
     def add(_, left: pa.Table, right: pa.Table) -> pa.Table:
         order = np.argsort(right["gram"].to_numpy())
-        known, logp = right["gram"].to_numpy()[order].astype(np.uint32), right["logp"].to_numpy()[order]
-        # A row of 256 for each context, found through a table of all contexts.
-        contexts, row = np.unique(known >> np.uint32(8), return_inverse=True)
-        place = np.full(1 << 8 * (ORDER - 1), -1, np.int32)
-        place[contexts] = np.arange(len(contexts))
-        values = np.full((len(contexts), 256), np.nan, np.float32)
-        values[row, known & 0xFF] = logp
+        known = np.append(right["gram"].to_numpy()[order].astype(np.uint64), np.uint64(1 << 8 * ORDER))  # the last one no text holds
+        logp = [np.append(right[part].to_numpy()[order], np.float32(0)) for part in parts]
         out = []
         for body in left["rows"].to_pylist():
             table = pa.ipc.open_stream(body).read_all()
             grams, sizes = ngrams(_utf8(table))
-            at = place[grams >> np.uint32(8)]
-            each = values[at, grams & np.uint32(0xFF)].astype(float)
-            if (at < 0).any() or np.isnan(each).any():
+            at = np.searchsorted(known, grams)
+            if (known[at] != grams).any():
                 raise RuntimeError("the documents came in other tasks than before: store them first")
-            sums = np.zeros(len(sizes))
+            fold = np.repeat(table["fold"].to_numpy(), sizes)
             some = sizes > 0
-            if some.any():
-                sums[some] = np.add.reduceat(each, (np.cumsum(sizes) - sizes)[some])
-            mean = pa.array(np.where(some, -sums / np.maximum(sizes, 1), 0.0), mask=~some)
-            out.append(pa.table({"doc_id": table["key"], "lang": table["lang"], "n_bytes": sizes, "log_perplexity": mean}))
-        return pa.concat_tables(out) if out else pa.table({n: pa.array([], t) for n, t in (("doc_id", pa.int64()), ("lang", pa.string()), ("n_bytes", pa.int64()), ("log_perplexity", pa.float64()))})
+            means = []
+            for each in (logp[0][at], np.choose(fold, [values[at] for values in logp[1:]])):
+                sums = np.zeros(len(sizes))
+                if some.any():
+                    sums[some] = np.add.reduceat(each.astype(float), (np.cumsum(sizes) - sizes)[some])
+                means.append(pa.array(np.where(some, -sums / np.maximum(sizes, 1), 0.0), mask=~some))
+            out.append(pa.table({"doc_id": table["key"], "lang": table["lang"], "n_bytes": sizes, "log_perplexity": means[0], "held_out": means[1]}))
+        types = (("doc_id", pa.int64()), ("lang", pa.string()), ("n_bytes", pa.int64()), ("log_perplexity", pa.float64()), ("held_out", pa.float64()))
+        return pa.concat_tables(out) if out else pa.table({n: pa.array([], t) for n, t in types})
 
     sent = source.mapInArrow(send, "chunk long, rows binary")
-    scored = sent.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(add, "doc_id long, lang string, n_bytes long, log_perplexity double")
+    scored = sent.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(add, "doc_id long, lang string, n_bytes long, log_perplexity double, held_out double")
     return scored
 
 
-def judge(scored: DataFrame, labels: DataFrame, *, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
+def judge(scored: DataFrame, labels: DataFrame, *, quantile: float = QUANTILE) -> DataFrame:
     """Add ``score`` (log perplexity with the allowance for short texts), ``threshold`` (of the document's
-    language, from the scores of its trusted documents) and ``kept``.
+    language, the quantile of the held-out scores of its trusted documents) and ``kept``.
 
     Languages without trusted documents, the null one too unless it has some, take the threshold of all
     trusted documents; without any, everything is kept but empty texts, which are always rejected.
     """
     good = labels.where(F.col("quality") == 1).select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
-    scored = stage(scored.withColumn("score", F.col("log_perplexity") - SHORT / F.sqrt("n_bytes")))
-    marks = F.percentile_approx("score", F.array(F.lit(0.5), F.lit(quantile)), F.lit(10_000))
-    limit = F.get(marks, F.lit(1)) + margin * (F.get(marks, F.lit(1)) - F.get(marks, F.lit(0)))
-    trusted = scored.join(good, "doc_id", "left_semi").where("log_perplexity is not null")
+    allowance = SHORT / F.sqrt("n_bytes")
+    scored = stage(scored.withColumn("score", F.col("log_perplexity") - allowance))
+    limit = F.percentile_approx(F.col("held_out") - allowance, F.lit(quantile), F.lit(10_000))
+    trusted = scored.join(good, "doc_id", "left_semi").where("held_out is not null")
+    scored = scored.drop("held_out")
     by_lang = trusted.groupBy("lang").agg(limit.alias("threshold"))
     overall = trusted.agg(limit.alias("threshold")).first()["threshold"]
     lang = by_lang.select(F.col("lang").alias("_lang"), "threshold")

@@ -244,5 +244,24 @@ def test_perplexity_parts_good_from_bad(spark):
     assert np.mean(good) > 0.98 and np.mean(bad) < 0.5
 
 
+def test_perplexity_rejects_bad_and_salads(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "lang")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    train, test = labels.where("doc_id % 2 = 0"), labels.where("doc_id % 2 = 1")
+    rng, salads = random.Random(3), []
+    for r in docs.join(test.where("quality = 1"), "doc_id").where("length(text) > 300").collect():
+        words = r["text"].split()
+        rng.shuffle(words)
+        salads.append((r["doc_id"] + 1_000_000, " ".join(words), r["lang"]))
+    path = str(tmp_path / "docs")
+    docs.unionByName(spark.createDataFrame(salads, docs.schema)).write.parquet(path)
+    judged = perplexity.judge(perplexity.score(spark.read.parquet(path), train), train)
+    kept = {r["doc_id"]: r["kept"] for r in judged.collect()}
+    bad = [kept[r["doc_id"]] for r in test.where("quality = 0").collect()]
+    shuffled = [kept[key] for key, _, _ in salads]
+    print("kept:", np.mean(bad), "of bad,", np.mean(shuffled), "of shuffled")
+    assert np.mean(bad) < 0.1 and np.mean(shuffled) < 0.5
+
+
 def test_digest_of_no_spans():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
