@@ -1,8 +1,9 @@
 """Personal data behind disguises, found in a normalised text and mapped back to the source.
 
-A text passes through three transducers: look-alike characters become ASCII and invisible ones
-vanish, runs of spelled digits become digits, written-out ``at`` and ``dot`` become ``@`` and
-``.``. Each character of the result knows the span of the source it came from, so that what the
+A text passes through four transducers: look-alike characters become ASCII and invisible ones
+vanish, four number groups with written-out dots or spelled digits become an IP address, runs of
+spelled digits become digits, written-out ``at`` and ``dot`` become ``@`` and ``.`` until no more
+of them stand beside one another. Each character of the result knows the span of the source it came from, so that what the
 plain patterns find there has a place in the original text.
 """
 
@@ -43,10 +44,25 @@ _SPELLED = re.compile(rf"(?<!\w)(?:(?:{'|'.join(PLUS_WORDS)})[ -]+)?(?:{_WORD})(
 _PART = re.compile(r"\w+")
 _AT = re.compile(r"[ ]*[\[({<][ ]*(?:at|@|arroba)[ ]*[\])}>][ ]*", re.I)
 _DOT = re.compile(r"[ ]*[\[({<][ ]*(?:dot|\.|punkt|punto|point)[ ]*[\])}>][ ]*", re.I)
+DOT_WORDS = ("dot", "punkt", "punto", "point")
+# Four number groups, each in digits or of up to three spelled ones; a dot between them may be written in any way.
+_GROUP = rf"(?:[0-9]+|(?:{_WORD})(?:[ ,-]+(?:{_WORD})){{0,2}})"
+_ANY_DOT = rf"(?:\.|[ ]+(?:{'|'.join(DOT_WORDS)})[ ]+|{_DOT.pattern})"
+_CHAIN = re.compile(rf"(?<![\w.]){_GROUP}(?:{_ANY_DOT}{_GROUP}){{3}}(?!\w)", re.I)
+_LINK = re.compile(_ANY_DOT, re.I)
 # Without brackets both words must be there: "name at host dot org".
 _TOP = "com|org|net|edu|gov|info|io|uk|eu|co|biz|example|test|de|fr|es"
-_PLAIN = re.compile(rf"[A-Za-z0-9._%+-]+(?P<at>[ ]+at[ ]+)[A-Za-z0-9-]+(?P<rest>(?:[ ]+dot[ ]+[A-Za-z0-9-]+)*[ ]+dot[ ]+(?:{_TOP}))(?![A-Za-z0-9-])", re.I)
-_PLAIN_DOT = re.compile(r"[ ]+dot[ ]+", re.I)
+_PLAIN_DOT = re.compile(rf"[ ]+(?:{'|'.join(DOT_WORDS)})[ ]+", re.I)
+_LABEL, _JOINT = "[A-Za-z0-9-]+", rf"(?:\.|{_PLAIN_DOT.pattern})"
+_HOST = rf"{_LABEL}(?:{_JOINT}{_LABEL})*{_JOINT}(?:{_TOP})(?![A-Za-z0-9-])"
+_PLAIN = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?P<at>[ ]+at[ ]+)(?P<host>{_HOST})", re.I)
+# With a rewritten dot behind it, a plain "at" needs no known top-level name.
+_PLAIN_AT = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?P<at>[ ]+at[ ]+)(?P<host>{_LABEL}(?:\.{_LABEL})+)", re.I)
+# Beside an "@", plain dots count: any that come first behind it, later ones up to a top-level name, those of the name before it.
+_BEHIND = re.compile(rf"(?<=[A-Za-z0-9._%+-]@){_HOST}", re.I)
+_FIRST = re.compile(rf"(?<=[A-Za-z0-9._%+-]@){_LABEL}(?:{_PLAIN_DOT.pattern}{_LABEL})+", re.I)
+_NOT_BEHIND = "".join(f"(?<! {word} )" for word in DOT_WORDS)  # a chain of names is tried from its head only
+_BEFORE = re.compile(rf"(?<![A-Za-z0-9._%+-]){_NOT_BEHIND}(?:[A-Za-z0-9._%+-]+{_PLAIN_DOT.pattern})+(?=[A-Za-z0-9._%+-]+@[A-Za-z0-9-])", re.I)
 _BRACKETED = re.compile(r"[\[({<][ ]*(?:at|dot|@|\.|arroba|punkt|punto|point)[ ]*[\])}>]")
 # All that may hold a substitute, as few ranges: the test of a whole text has to be cheap.
 _UNUSUAL = re.compile("[\u00a0\u00ad\u0370-\u052f\u0660-\u06f9\u2000-\u2060\ufeff\uff01-\uff5e\U0001d400-\U0001d7ff]")
@@ -139,14 +155,38 @@ def _digits(tape: Tape) -> Tape:
     return tape.rewritten(edits)
 
 
+def _chains(tape: Tape) -> Tape:
+    """Addresses of four number groups up to 255, with spelled digits and written-out dots, as digits and dots."""
+    edits = []
+    for chain in _CHAIN.finditer(tape.text):
+        dots = list(_LINK.finditer(tape.text, *chain.span()))
+        begins, ends = [chain.start(), *(d.end() for d in dots)], [*(d.start() for d in dots), chain.end()]
+        groups = ["".join(_VALUE.get(w.lower(), w) for w in _PART.findall(tape.text, a, b)) for a, b in zip(begins, ends, strict=True)]
+        if any(len(g.lstrip("0")) > 3 or int(g) > 255 for g in groups):
+            continue
+        for i, group in enumerate(groups):
+            pieces = [(begins[i], ends[i], group)] + ([(*dots[i].span(), ".")] if i < len(dots) else [])
+            edits += [(a, b, new) for a, b, new in pieces if tape.text[a:b] != new]
+    return tape.rewritten(edits)
+
+
 def _marks(tape: Tape) -> Tape:
     edits = [(m.start(), m.end(), "@") for m in _AT.finditer(tape.text)] + [(m.start(), m.end(), ".") for m in _DOT.finditer(tape.text)]
     tape = tape.rewritten(sorted(edits))
-    edits = []
-    for m in _PLAIN.finditer(tape.text):
-        edits.append((*m.span("at"), "@"))
-        edits += [(d.start(), d.end(), ".") for d in _PLAIN_DOT.finditer(tape.text, *m.span("rest"))]
-    return tape.rewritten(edits)
+    while True:  # a mark found makes plain words beside it count; each round leaves fewer words
+        edits = set()
+        dots = lambda begin, end: {(d.start(), d.end(), ".") for d in _PLAIN_DOT.finditer(tape.text, begin, end)}  # noqa: E731, B023
+        for pattern in (_PLAIN, _PLAIN_AT):
+            for m in pattern.finditer(tape.text):
+                plain = dots(*m.span("host"))
+                if plain or any(tape.changed[i] and tape.text[i] == "." for i in range(*m.span("host"))):
+                    edits |= plain | {(*m.span("at"), "@")}
+        for pattern in (_BEHIND, _FIRST, _BEFORE):
+            for m in pattern.finditer(tape.text):
+                edits |= dots(*m.span())
+        if not edits:
+            return tape
+        tape = tape.rewritten(sorted(edits))
 
 
 def _luhn(digits: str) -> bool:
@@ -169,7 +209,7 @@ def detect(text: str) -> list[tuple[int, int, int]]:
 
 def _disguised(text: str) -> bool:
     low = text.lower()
-    if " dot " in low or _BRACKETED.search(low):
+    if any(f" {word} " in low for word in DOT_WORDS) or _BRACKETED.search(low):
         return True
     if next(_number_pairs().iter(low.replace(",", "").replace("-", " ")), None):
         return True
@@ -184,7 +224,7 @@ def spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, i
     plain = detect(text)
     if not _disguised(text):
         return plain, []
-    tape = _marks(_digits(_letters(Tape.of(text))))
+    tape = _marks(_digits(_chains(_letters(Tape.of(text)))))
     more = []
     for kind, begin, end in detect(tape.text):
         if any(tape.changed[begin:end]):

@@ -129,6 +129,32 @@ def test_disguises(text, kind, source):
     assert found == ([(kind, source)] if kind else [])
 
 
+MIXED = [
+    ("mail joe@example dot com now", "email", "joe@example dot com"),
+    ("mail joe [at] example dot com now", "email", "joe [at] example dot com"),
+    ("mail joe at example [dot] com now", "email", "joe at example [dot] com"),
+    ("mail joe at mail (dot) example dot com now", "email", "joe at mail (dot) example dot com"),
+    ("mail joe at mail.example dot com now", "email", "joe at mail.example dot com"),
+    ("mail joe dot doe {at} example dot com now", "email", "joe dot doe {at} example dot com"),
+    ("mail joe@mail dot example dot museum", "email", "joe@mail dot example dot museum"),
+    ("mail joe at example [dot] museum", "email", "joe at example [dot] museum"),
+    ("host 192 dot 168 dot 1 dot 1 is up", "ip", "192 dot 168 dot 1 dot 1"),
+    ("host 192.168 [dot] 1 dot 1 is up", "ip", "192.168 [dot] 1 dot 1"),
+    ("host one nine two dot one six eight dot one dot one is up", "ip", "one nine two dot one six eight dot one dot one"),
+    ("host 10 punkt 0 punkt null punkt eins", "ip", "10 punkt 0 punkt null punkt eins"),
+    ("version 300 dot 1 dot 1 dot 1", None, None),
+    ("meet at example.com, a dot there", None, None),
+    ("at this point in time", None, None),
+]
+
+
+@pytest.mark.parametrize("text, kind, source", MIXED)
+def test_mixed_disguises(text, kind, source):
+    plain, more = pii.spans(text)
+    found = [(pii.KINDS[k], text[s:e]) for k, s, e in more]
+    assert not plain and found == ([(kind, source)] if kind else [])
+
+
 def base_pii(text):
     luhn = lambda d: sum(sum(map(int, str(int(x) * (1 + i % 2)))) for i, x in enumerate(reversed(d))) % 10 == 0
     out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
