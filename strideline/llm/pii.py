@@ -64,12 +64,12 @@ _FIRST = re.compile(rf"(?<=[A-Za-z0-9._%+-]@){_LABEL}(?:{_PLAIN_DOT.pattern}{_LA
 _NOT_BEHIND = "".join(f"(?<! {word} )" for word in DOT_WORDS)  # a chain of names is tried from its head only
 _BEFORE = re.compile(rf"(?<![A-Za-z0-9._%+-]){_NOT_BEHIND}(?:[A-Za-z0-9._%+-]+{_PLAIN_DOT.pattern})+(?=[A-Za-z0-9._%+-]+@[A-Za-z0-9-])", re.I)
 _BRACKETED = re.compile(r"[\[({<][ ]*(?:at|dot|@|\.|arroba|punkt|punto|point)[ ]*[\])}>]")
-# All that may hold a substitute, as few ranges: the test of a whole text has to be cheap.
-_UNUSUAL = re.compile("[\u00a0\u00ad\u0370-\u052f\u0660-\u06f9\u2000-\u2060\ufeff\uff01-\uff5e\U0001d400-\U0001d7ff]")
 
 # Letters that look like Latin ones, and characters that show as nothing.
 _ALIKE = dict(zip("аеорсухіјѕһԁԛԝАВЕКМНОРСТУХІЈЅ", "aeopcyxijshdqwABEKMHOPCTYXIJS", strict=True))
 _ALIKE |= dict(zip("ανορτυχικΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "avoptuxikABEZHIKMNOPTYX", strict=True))
+# Python takes these for their Latin letters where it ignores case, while lower() keeps them apart.
+_ALIKE |= {"\u017f": "s", "\u0130": "I", "\u0131": "i", "\u212a": "K"}
 _INVISIBLE = "­​‌‍⁠﻿"
 _DASHES = dict.fromkeys("‐‑‒–−", "-")
 _SPACES = dict.fromkeys("    ", " ")
@@ -87,6 +87,12 @@ def _substitutes() -> dict[str, str]:
     return table
 
 
+@cache
+def _unusual() -> re.Pattern[str]:
+    """Finds any substitute."""
+    return re.compile(f"[{re.escape(''.join(_substitutes()))}]")
+
+
 @cache
 def _number_pairs():
     """Finds two number words in a row."""
@@ -140,7 +146,7 @@ class Tape:
 
 def _letters(tape: Tape) -> Tape:
     table = _substitutes()
-    return tape.rewritten([(m.start(), m.end(), table[m[0]]) for m in _UNUSUAL.finditer(tape.text) if m[0] in table])
+    return tape.rewritten([(m.start(), m.end(), table[m[0]]) for m in _unusual().finditer(tape.text)])
 
 
 def _digits(tape: Tape) -> Tape:
@@ -208,12 +214,16 @@ def detect(text: str) -> list[tuple[int, int, int]]:
 
 
 def _disguised(text: str) -> bool:
+    """A cheap test, true of any text that a transducer would edit."""
     low = text.lower()
     if any(f" {word} " in low for word in DOT_WORDS) or _BRACKETED.search(low):
         return True
-    if next(_number_pairs().iter(low.replace(",", "").replace("-", " ")), None):
+    low = low.replace(",", " ").replace("-", " ")
+    while "  " in low:
+        low = low.replace("  ", " ")
+    if next(_number_pairs().iter(low), None):
         return True
-    return not text.isascii() and _UNUSUAL.search(text) is not None
+    return not text.isascii() and _unusual().search(text) is not None
 
 
 def spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:

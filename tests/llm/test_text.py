@@ -10,6 +10,8 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from strideline.llm import perplexity, pii, quality_rules, secrets
 
@@ -155,6 +157,32 @@ def test_mixed_disguises(text, kind, source):
     assert not plain and found == ([(kind, source)] if kind else [])
 
 
+@pytest.mark.parametrize(
+    "text, kind, source",
+    [
+        ("call plus four,one,five,one,two,three,four,five now", "phone", "plus four,one,five,one,two,three,four,five"),
+        ("call plus four - one - five  one, two three four five now", "phone", "plus four - one - five  one, two three four five"),
+        ("card 4111\u22121111\u22121111\u22121111 end", "card", "4111\u22121111\u22121111\u22121111"),
+        ("call plus \u017fix \u017fix \u017fix \u017fix \u017fix \u017fix \u017fix \u017fix", "phone", "plus" + " \u017fix" * 8),
+    ],
+)
+def test_gate_opens(text, kind, source):
+    plain, more = pii.spans(text)
+    assert not plain and [(pii.KINDS[k], text[s:e]) for k, s, e in more] == [(kind, source)]
+
+
+_PIECES = [*" ,-.@[](){}<>", "  ", "a", "x1", "7", "192", "com", "at", "AT", "dot", "Dot", "punkt", "punto", "arroba", "plus"]
+_PIECES += [w for words in pii.DIGIT_WORDS for w in words.split()] + ["ZÉRO", "FÜNF", "\u017fix", "f\u0130ve", "f\u0131ve"]
+
+
+@settings(max_examples=2_000, deadline=None)
+@given(st.lists(st.sampled_from(_PIECES + list(pii._substitutes())), max_size=12).map("".join))
+def test_gate_is_open_wherever_a_transducer_edits(text):
+    tape = pii.Tape.of(text)
+    if pii._marks(pii._digits(pii._chains(pii._letters(tape)))) is not tape:
+        assert pii._disguised(text)
+
+
 def base_pii(text):
     luhn = lambda d: sum(sum(map(int, str(int(x) * (1 + i % 2)))) for i, x in enumerate(reversed(d))) % 10 == 0
     out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
