@@ -4,11 +4,14 @@ MinHash signatures are cut into bands; documents that agree on a band are candid
 candidates are verified on their full n-gram sets. Numbers of bands and rows follow from the
 threshold and the recall asked for.
 
-Nothing is quadratic in rows. Equal sets are one class from the start. Members of a band
+Equal sets are one class from the start. Members of a band
 bucket are linked to its smallest member only; connected components of these links bring
 everything that could be similar together, and within a component blocks of bounded size meet
-in pairs inside a task, which compares the sets of documents that share a band and gives back
-counts and a spanning forest, never the pairs. The number of links is exact all the same.
+in pairs inside a task, which compares all sets whose sizes allow it and gives back counts and
+a spanning forest, never the pairs. So links are exact within a component; what MinHash can miss
+is a link between components, with the recall asked for where a single pair would join them.
+A component of n different sets sends each of them once for each of its n / BLOCK blocks, and
+compares n * n pairs at most: it is quadratic in the size of components, linear in their number.
 """
 
 from __future__ import annotations
@@ -163,17 +166,16 @@ def _compare(similarity: float):
         """Links between the two blocks of a group, or inside it if there is one block only."""
         classes = table["class"].to_pylist()
         sets = [np.frombuffer(s, np.uint64) for s in table["grams"].to_pylist()]
-        bands = np.array(table["bands"].to_pylist(), np.int64)
         side = table["side"].to_numpy()
         same = bool(table["same"][0].as_py())
         sizes = np.array([len(s) for s in sets], np.int64)
-        # Sets share n-grams through their places in the group's vocabulary.
+        # Sets share n-grams through their places in the group's vocabulary; each place lists the sets that hold it.
         flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
         order = np.argsort(flat, kind="stable")
         vocabulary, start = np.unique(flat[order], return_index=True)
         code = np.empty(len(flat), np.int64)
         code[order] = np.repeat(np.arange(len(vocabulary)), np.diff(np.r_[start, len(flat)]))
-        member = np.zeros(len(vocabulary), bool)
+        holders, held_by = owner[order], np.diff(np.r_[start, len(flat)])
         count = np.zeros(len(sets), np.int64)
         parent = list(range(len(sets)))
 
@@ -190,12 +192,12 @@ def _compare(similarity: float):
         for i in left:
             rest = others[others > i] if same else others
             rest = rest[(np.minimum(sizes[rest], sizes[i]) >= similarity * np.maximum(sizes[rest], sizes[i]) - 1e-9)]
-            rest = rest[(bands[rest] == bands[i]).any(1)]
             if not len(rest):
                 continue
-            member[code[ends[i] - sizes[i] : ends[i]]] = True
-            common = np.array([int(member[code[ends[j] - sizes[j] : ends[j]]].sum()) for j in rest])
-            member[code[ends[i] - sizes[i] : ends[i]]] = False
+            own = code[ends[i] - sizes[i] : ends[i]]
+            many = held_by[own]
+            places = np.repeat(start[own] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            common = np.bincount(holders[places], minlength=len(sets))[rest]
             linked = rest[common >= similarity * (sizes[i] + sizes[rest] - common) - 1e-9]
             count[i] += len(linked)
             count[linked] += 1
@@ -219,7 +221,8 @@ def jaccard_join(
     """``doc_id``, ``copy_of``, ``class_id`` and ``n_links`` for every row with a key.
 
     ``copy_of`` is the smallest id among documents with the same n-gram set, ``class_id`` the smallest in
-    the connected component of links, ``n_links`` the number of other sets at the similarity or above.
+    the connected component of links, ``n_links`` the number of other sets at the similarity or above
+    (in its component of candidates, see above).
     Texts without words, null ones too, are classes of their own. Rows without a key take no part and come
     back with nulls. A key with several texts stands for each of them.
     """
@@ -238,14 +241,14 @@ def jaccard_join(
     # Blocks of a component, in an order that any task would find again; then pairs of blocks.
     candidates = stage(candidates.select(F.col("node").alias("class"), F.col("root").alias("cluster")))
     sizes = candidates.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
-    picked = candidates.join(sizes, "cluster").join(classes, "class")
+    picked = candidates.join(sizes, "cluster").join(classes.drop("bands"), "class")
     blocks = F.ceil(F.col("n") / F.lit(block)).cast("int")
     picked = picked.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     texts = source.where("doc_id is not null").join(picked.select(F.col("copy_of").alias("doc_id")).distinct(), "doc_id")
     sets = _sets(texts, words).dropDuplicates(["class"]).drop("doc_id")
     ready = picked.join(sets, "class").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     ready = ready.select(
-        "cluster", "class", "bands", "grams",
+        "cluster", "class", "grams",
         F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
         (F.col("own") > F.col("other")).cast("int").alias("side"), (F.col("own") == F.col("other")).alias("same"),
     )

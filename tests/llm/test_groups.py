@@ -106,6 +106,20 @@ def test_jaccard_join(spark, documents, block):
     assert all(got[10_000 + i] == expected[10_000 + i] for i in range(60))
 
 
+def test_links_of_a_large_group_at_the_threshold(spark):
+    rng = np.random.default_rng(8)
+    base = [f"w{i}" for i in range(184)]
+    rows = []
+    for i in range(200):  # most pairs share just 80 % of their n-grams, so some of them share no band
+        own = list(base)
+        for at in rng.choice(85, 2, replace=False):
+            own[2 * at + 2] = f"x{i}_{at}"
+        rows.append((i, " ".join(own)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["copy_of"], r["class_id"], r["n_links"]) for r in near_dups.jaccard_join(frame).collect()}
+    assert got == brute_links(rows)
+
+
 def test_jaccard_join_of_odd_rows(odd):
     got = near_dups.jaccard_join(odd).collect()
     assert len(got) == odd.count()
