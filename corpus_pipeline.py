@@ -1,4 +1,8 @@
-"""The corpus pipeline: five stages over ``documents``, each written as Parquet and read by the next."""
+"""The corpus pipeline: five stages over ``documents``, each written as Parquet and read by the next.
+
+Stages decide by row, not by ``doc_id``: rows without an id and rows that share one are judged each by
+their own text. A stage that joins its decisions back stores the rows with a number of their own first.
+"""
 
 from __future__ import annotations
 
@@ -6,22 +10,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strideline.llm import near_dups, packing, perplexity, pii, quality_rules
-from strideline.operators.staging import staging_path
+from strideline.operators.staging import stage, staging_path
 from strideline.session import configure, importable
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 CAPACITY = 2048
 
 
-def _kept(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    return docs.join(kept.distinct(), "doc_id", "left_semi").select(*COLUMNS)
+def _numbered(docs: DataFrame) -> DataFrame:
+    """The rows, stored with ``row``, a number no other row has."""
+    return stage(docs.select(F.monotonically_increasing_id().alias("row"), *COLUMNS))
+
+
+def _kept(rows: DataFrame, kept: DataFrame) -> DataFrame:
+    return rows.join(kept, "row", "left_semi").select(*COLUMNS)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose perplexity their language's threshold allows."""
+    """Rows whose perplexity their language's threshold allows; a label speaks for all rows of its id."""
     labels = importable(configure(spark)).read.parquet(f"{sf_dir}/labels.parquet")
-    judged = perplexity.judge(perplexity.score(docs, labels), labels)
-    return _kept(docs, judged.where("kept").select("doc_id"))
+    rows = _numbered(docs)
+    own = stage(rows.select("row", "doc_id").join(labels.select("doc_id", "quality"), "doc_id").select(F.col("row").alias("doc_id"), "quality"))
+    judged = perplexity.judge(perplexity.score(rows, own, key="row"), own)
+    return _kept(rows, judged.where("kept").select(F.col("doc_id").alias("row")))
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,10 +42,13 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of near duplicates."""
+    """One row of each group of near duplicates: of the smallest id, one without an id if none has one."""
     importable(configure(spark))
-    joined = near_dups.jaccard_join(docs)
-    return _kept(docs, joined.where("doc_id = class_id").select("doc_id"))
+    rows = _numbered(docs)
+    joined = near_dups.jaccard_join(rows, key="row").select(F.col("doc_id").alias("row"), "class_id")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
+    first = joined.join(rows.select("row", "doc_id"), "row").groupBy("class_id").agg(F.min(order).alias("first"))
+    return _kept(rows, first.select("first.row"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
