@@ -24,7 +24,10 @@ def staging_root(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {_SETTING} to a folder all executors can reach")
-    return _local.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="spark-strideline-"))
+    app = spark.sparkContext.applicationId
+    if app not in _local:
+        _local[app] = tempfile.mkdtemp(prefix="spark-strideline-")
+    return _local[app]
 
 
 def staging_path(spark: SparkSession) -> str:
@@ -37,4 +40,13 @@ def stage(frame: DataFrame) -> DataFrame:
     spark = frame.sparkSession
     path = staging_path(spark)
     frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    stored = spark.read.schema(frame.schema).parquet(path)
+    stored._staged_path = path
+    return stored
+
+
+def discard(frame: DataFrame) -> None:
+    """Delete the files of a frame that :func:`stage` returned, after its last reader."""
+    spark, path = frame.sparkSession, frame._staged_path
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
