@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strideline.llm import bpe, chat, near_dups, packing, perplexity, pii, quality_rules, secrets, token_files, topk
+from strideline.llm import ann, bpe, chat, clusters, lexical, near_dups, packing, perplexity, pii, quality_rules, secrets, token_files, topk
 from strideline.operators.staging import staging_path
 from strideline.session import configure, importable
 
@@ -186,3 +186,59 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(loss, 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+_FINE = "embedding IS NOT NULL AND list_bool_and([x IS NOT NULL AND isfinite(x) FOR x IN embedding])"
+
+
+def _op11_sql(k: int, rounds: int) -> str:
+    apart = "list_sum([(q[i] - c[i]) * (q[i] - c[i]) FOR i IN range(1, 65)])"
+    nearest = f"""SELECT vec_id, q, cluster, distance FROM (
+          SELECT vec_id, q, n AS cluster, {apart} AS distance, row_number() OVER (PARTITION BY vec_id ORDER BY {apart}, n) AS place FROM v, c%d) WHERE place = 1"""
+    steps = []
+    for turn in range(rounds):
+        steps.append(f"a{turn} AS MATERIALIZED ({nearest % turn})")
+        # The sum less its positive remainder divides without rest: the floor, also below zero.
+        steps.append(f"""m{turn} AS (SELECT cluster, list((s - ((s % m) + m) % m) // m ORDER BY i) AS c FROM (
+          SELECT cluster, i, CAST(sum(q[i]) AS BIGINT) AS s, count(*) AS m FROM a{turn}, range(1, 65) r(i) GROUP BY cluster, i) GROUP BY cluster)""")
+        steps.append(f"c{turn + 1} AS MATERIALIZED (SELECT n, coalesce(m{turn}.c, c{turn}.c) AS c FROM c{turn} LEFT JOIN m{turn} ON cluster = n)")
+    return f"""WITH v AS MATERIALIZED (
+      SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS q FROM embeddings WHERE len(embedding) = 64 AND {_FINE}),
+    c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS n, q AS c FROM (SELECT sha256('2:' || vec_id) AS h, q FROM v ORDER BY h LIMIT {k})),
+    {", ".join(steps)}, a AS MATERIALIZED ({nearest % rounds})
+    SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, CAST(distance AS BIGINT) AS distance,
+           CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia,
+           sha256(array_to_string(c, ',')) AS centroid_sha256 FROM a JOIN c{rounds} ON cluster = n"""
+
+
+@query("op11_clusters", _op11_sql(40, 5))
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    assigned = clusters.k_means(clusters.quantised(_table(spark, sf_dir, "embeddings")), 40, 5)
+    return assigned.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", clusters.centroid_hash("centroid").alias("centroid_sha256"))
+
+
+@query(
+    "op12_lexical",
+    r"""WITH d AS MATERIALIZED (
+      SELECT doc_id, row_number() OVER () AS r, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+    w AS MATERIALIZED (SELECT doc_id, r, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM d WHERE t IS NOT NULL),
+    z AS (SELECT count(*) AS N, CAST(sum(len(words)) AS BIGINT) AS L FROM w WHERE len(words) > 0),
+    p AS (SELECT r, word, count(*) AS tf FROM (SELECT r, unnest(words) AS word FROM w) GROUP BY r, word),
+    i AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+          '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS word FROM benchmark),
+    f AS (SELECT word, CAST(floor(1000 * ln(CAST(2 * N + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS weight
+          FROM (SELECT word, count(*) AS df FROM p GROUP BY word), z),
+    m AS (SELECT r, doc_id, 100 - 50 + (50 * len(words) * N) // L AS m FROM w, z WHERE len(words) > 0),
+    s AS (SELECT i.item_id, m.doc_id, p.r, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+          FROM i JOIN p ON i.word = p.word JOIN f ON f.word = p.word JOIN m ON m.r = p.r GROUP BY i.item_id, m.doc_id, p.r)
+    SELECT item_id, CAST(n AS INTEGER) AS rank, doc_id, score
+    FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS n FROM s WHERE score > 0) WHERE n <= 50""",
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), 50)
+
+
+@query("op13_near_vectors")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = ann.usable(_table(spark, sf_dir, "embeddings"))
+    return ann.nearest(vectors, vectors.where("vec_id % 20 = 0"), 20)
