@@ -24,8 +24,11 @@ from strideline.llm.arrow import release, texts_of
 
 # The patterns and what a match must hold.
 KINDS = ("email", "ip", "card", "phone")
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+# An address is [A-Za-z0-9._%+-]+@ and a host, an IP four number groups up to 255. Both are found from the "@" or a whole
+# chain of groups: a plain search would scan a long run again from each of its characters.
+LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+HOST = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+GROUPS = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
@@ -42,8 +45,9 @@ _VALUE = {word: str(digit) for digit, words in enumerate(DIGIT_WORDS) for word i
 _WORD = "|".join(sorted(_VALUE, key=len, reverse=True))
 _SPELLED = re.compile(rf"(?<!\w)(?:(?:{'|'.join(PLUS_WORDS)})[ -]+)?(?:{_WORD})(?:[ ,-]+(?:{_WORD})){{{MIN_SPELLED - 1},}}(?!\w)", re.I)
 _PART = re.compile(r"\w+")
-_AT = re.compile(r"[ ]*[\[({<][ ]*(?:at|@|arroba)[ ]*[\])}>][ ]*", re.I)
-_DOT = re.compile(r"[ ]*[\[({<][ ]*(?:dot|\.|punkt|punto|point)[ ]*[\])}>][ ]*", re.I)
+# Spaces are taken from the first of a run only, so that a long run is not scanned from each.
+_AT = re.compile(r"(?:(?<! )[ ]++)?[\[({<][ ]*(?:at|@|arroba)[ ]*[\])}>][ ]*", re.I)
+_DOT = re.compile(r"(?:(?<! )[ ]++)?[\[({<][ ]*(?:dot|\.|punkt|punto|point)[ ]*[\])}>][ ]*", re.I)
 DOT_WORDS = ("dot", "punkt", "punto", "point")
 # Four number groups, each in digits or of up to three spelled ones; a dot between them may be written in any way.
 _GROUP = rf"(?:[0-9]+|(?:{_WORD})(?:[ ,-]+(?:{_WORD})){{0,2}})"
@@ -52,7 +56,7 @@ _CHAIN = re.compile(rf"(?<![\w.]){_GROUP}(?:{_ANY_DOT}{_GROUP}){{3}}(?!\w)", re.
 _LINK = re.compile(_ANY_DOT, re.I)
 # Without brackets both words must be there: "name at host dot org".
 _TOP = "com|org|net|edu|gov|info|io|uk|eu|co|biz|example|test|de|fr|es"
-_PLAIN_DOT = re.compile(rf"[ ]+(?:{'|'.join(DOT_WORDS)})[ ]+", re.I)
+_PLAIN_DOT = re.compile(rf"(?<! )[ ]+(?:{'|'.join(DOT_WORDS)})[ ]+", re.I)
 _LABEL, _JOINT = "[A-Za-z0-9-]+", rf"(?:\.|{_PLAIN_DOT.pattern})"
 _HOST = rf"{_LABEL}(?:{_JOINT}{_LABEL})*{_JOINT}(?:{_TOP})(?![A-Za-z0-9-])"
 _PLAIN = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?P<at>[ ]+at[ ]+)(?P<host>{_HOST})", re.I)
@@ -89,8 +93,14 @@ def _substitutes() -> dict[str, str]:
 
 @cache
 def _unusual() -> re.Pattern[str]:
-    """Finds any substitute."""
-    return re.compile(f"[{re.escape(''.join(_substitutes()))}]")
+    """Finds any substitute. Neighbouring characters are given as ranges, which are searched much faster than single ones."""
+    ranges: list[list[int]] = []
+    for code in sorted(map(ord, _substitutes())):
+        if ranges and code == ranges[-1][1] + 1:
+            ranges[-1][1] = code
+        else:
+            ranges.append([code, code])
+    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges) + "]")
 
 
 @cache
@@ -161,6 +171,12 @@ def _digits(tape: Tape) -> Tape:
     return tape.rewritten(edits)
 
 
+def _octet(digits: str) -> bool:
+    """At most 255, however many zeros lead."""
+    value = digits.lstrip("0")
+    return len(value) < 3 or (len(value) == 3 and value <= "255")
+
+
 def _chains(tape: Tape) -> Tape:
     """Addresses of four number groups up to 255, with spelled digits and written-out dots, as digits and dots."""
     edits = []
@@ -168,7 +184,7 @@ def _chains(tape: Tape) -> Tape:
         dots = list(_LINK.finditer(tape.text, *chain.span()))
         begins, ends = [chain.start(), *(d.end() for d in dots)], [*(d.start() for d in dots), chain.end()]
         groups = ["".join(_VALUE.get(w.lower(), w) for w in _PART.findall(tape.text, a, b)) for a, b in zip(begins, ends, strict=True)]
-        if any(len(g.lstrip("0")) > 3 or int(g) > 255 for g in groups):
+        if not all(map(_octet, groups)):
             continue
         for i, group in enumerate(groups):
             pieces = [(begins[i], ends[i], group)] + ([(*dots[i].span(), ".")] if i < len(dots) else [])
@@ -200,11 +216,37 @@ def _luhn(digits: str) -> bool:
     return (sum(map(int, digits[-1::-2])) + sum(doubled)) % 10 == 0
 
 
+def _addresses(text: str) -> Iterator[tuple[int, int]]:
+    at, last = text.find("@"), 0
+    while at >= 0:
+        begin = at
+        while begin > last and text[begin - 1] in LOCAL:
+            begin -= 1
+        host = HOST.match(text, at + 1) if begin < at else None
+        if host:
+            yield begin, host.end()
+        last = host.end() if host else at + 1
+        at = text.find("@", last)
+
+
+def _ips(text: str) -> Iterator[tuple[int, int]]:
+    for chain in GROUPS.finditer(text):
+        if chain[0].count(".") < 3:
+            continue
+        begin, groups = chain.start(), chain[0].split(".")
+        for first in range(0, len(groups) - 3, 4):  # four by four: a match that fails is not tried again
+            four = groups[first : first + 4]
+            size = sum(map(len, four)) + 3
+            if all(map(_octet, four)):
+                yield begin, begin + size
+            begin += size + 1
+
+
 def detect(text: str) -> list[tuple[int, int, int]]:
     """(kind number, start, end) of what the plain patterns find, by kind, then start."""
-    out = [(0, *m.span()) for m in EMAIL.finditer(text)] if "@" in text else []
+    out = [(0, *span) for span in _addresses(text)]
     if re.search("[0-9]", text):
-        out += [(1, *m.span()) for m in IP.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m[0].split("."))]
+        out += [(1, *span) for span in _ips(text)]
         for m in CARD.finditer(text) if len(text) > 15 else ():
             if m.end() - m.start() > 15 and 16 <= len(digits := re.sub("[ -]", "", m[0])) <= 19 and _luhn(digits):
                 out.append((2, *m.span()))

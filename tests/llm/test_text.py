@@ -319,3 +319,33 @@ def test_perplexity_rejects_bad_and_salads(spark, tmp_path):
 
 def test_digest_of_no_spans():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+PLAIN_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+PLAIN_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+
+
+@settings(max_examples=1000, deadline=None)
+@given(st.text(alphabet="a1.@-0 2é5", max_size=40))
+def test_addresses_are_those_of_the_plain_patterns(text):
+    found = pii.detect(text)
+    assert [(a, b) for k, a, b in found if k == 0] == [m.span() for m in PLAIN_EMAIL.finditer(text)]
+    assert [(a, b) for k, a, b in found if k == 1] == [m.span() for m in PLAIN_IP.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))]
+
+
+def test_long_groups_of_digits():
+    zeros, nines = "0" * 5000 + ".1.1.1", "9" * 5000 + ".1.1.1"
+    assert [k for k, _, _ in pii.spans(zeros)[0]] == [1] and pii.spans(nines)[0] == []
+    assert pii.spans(zeros.replace(".1.1.1", " dot 1 dot 1 dot 1"))[1] == [(1, 0, 5018)]
+    assert pii.spans(nines.replace(".1.1.1", " dot 1 dot 1 dot 1")) == ([], [])
+
+
+@pytest.mark.parametrize("run", ["7", "x", "1.", "x.", " ", "@", "+", "( ", "a@", "one ", "é", ". ", " dot", "at "])
+@pytest.mark.parametrize("tail", ["", " joe (at) example dot com", "а"])
+def test_long_runs_take_no_longer(run, tail):
+    import time
+
+    text = run * (1_000_000 // len(run)) + tail
+    began = time.process_time()
+    pii.spans(text)
+    assert time.process_time() - began < 12  # where every character passes the transducers; a scan from each would take minutes
