@@ -156,6 +156,34 @@ def csv_ingest(spark, sf):
     return mapped.select("user_id", "event_name", "event_time", "priority", *evs.METRICS, "row_id")
 
 
+#: Small splits, so that records cross their borders at test sizes too.
+_SPLIT_BYTES = 256 << 10
+
+
+@query(
+    "csv_multi_line_ingest",
+    "user_id:s event_name:s event_time:t note:s event_count:d original_revenue:d modified_revenue:d row_id:i",
+    """SELECT CAST(o_custkey AS VARCHAR) AS user_id, o_orderstatus || chr(10) || 'of "' || o_orderpriority || '"' AS event_name, o_orderdate AS event_time,
+       CASE WHEN o_orderkey % 3 = 0 THEN 'first, "line"' || chr(10) || chr(10) || 'third ' || o_orderkey ELSE 'one line' END AS note,
+       1.0 AS event_count, o_totalprice AS original_revenue, o_totalprice AS modified_revenue, o_orderkey AS row_id FROM orders""",
+)
+def csv_multi_line_ingest(spark, sf):
+    raw = spark.read.parquet(f"{sf}/orders.parquet").select(
+        F.col("o_custkey").alias("customer"),
+        F.concat("o_orderstatus", F.lit('\nof "'), "o_orderpriority", F.lit('"')).alias("status"),
+        F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("at"),
+        F.col("o_totalprice").alias("price"),
+        F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit('first, "line"\n\nthird '), F.col("o_orderkey"))).otherwise(F.lit("one line")).alias("note"),
+        F.col("o_orderkey").alias("order_id"),
+    )
+    path = staging_path(spark)
+    raw.write.option("header", True).option("escape", '"').csv(path)
+    loaded = with_row_id(read_csv_events(spark, path, multi_line=True, split_bytes=_SPLIT_BYTES).rows, "order_id").drop("order_id")
+    mapping = evs.ColumnMapping("customer", "status", "at", revenue="price", kinds={"note": "TEXT"})
+    mapped = evs.map_events(loaded, mapping)
+    return mapped.select("user_id", "event_name", "event_time", "note", *evs.METRICS, "row_id")
+
+
 @query(
     "csv_load_report",
     "imported_rows:i skipped_rows:i",

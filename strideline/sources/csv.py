@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strideline.sources.records import read_records
 from strideline.specs import SpecError
 
 _CORRUPT = "_malformed"
@@ -32,12 +33,12 @@ class CsvEvents:
         )
 
 
-def read_csv_events(spark: SparkSession, path: str, multi_line: bool = False) -> CsvEvents:
+def read_csv_events(spark: SparkSession, path: str, multi_line: bool = False, split_bytes: int | None = None) -> CsvEvents:
     """Read every column as text; types are decided later, on all values.
 
-    A file is read in many splits, which takes fields without line breaks. ``multi_line``
-    allows line breaks inside quotes; each file is then one split, so large inputs should
-    be many files.
+    A file is read in many splits. ``multi_line`` allows line breaks inside quotes; the records
+    are then found by counting quotes (:mod:`strideline.sources.records`), parsed and stored now,
+    in splits of ``split_bytes`` if given. Without it nothing is read yet.
     """
     options = {"header": True, "quote": '"', "escape": '"', "multiLine": multi_line}
     header = spark.read.options(**options).csv(path).columns
@@ -45,6 +46,9 @@ def read_csv_events(spark: SparkSession, path: str, multi_line: bool = False) ->
         raise SpecError(f"an event file needs at least {MIN_COLUMNS} columns")
     fields = [T.StructField(name, T.StringType()) for name in header]
     schema = T.StructType([*fields, T.StructField(_CORRUPT, T.StringType())])
+    if multi_line:
+        tagged = read_records(spark, path, schema, _CORRUPT, split_bytes)
+        return CsvEvents(tagged.where(F.col(_CORRUPT).isNull()).drop(_CORRUPT), tagged)
     tagged = (
         spark.read.schema(schema)
         .options(**options, mode="PERMISSIVE", columnNameOfCorruptRecord=_CORRUPT, enforceSchema=True)
