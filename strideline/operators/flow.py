@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from strideline.functions.predicates import root_predicate
 from strideline.functions.times import seconds_between
 from strideline.operators.cohorts import cohort_sizes
-from strideline.operators.ordering import quantile_columns
+from strideline.operators import sketches
+from strideline.operators.ordering import quantile_seconds
 from strideline.operators.sequences import next_rows, start_states
 from strideline.operators.skew import HotKeys, hot_keys, spread
 from strideline.operators.staging import stage
@@ -75,12 +76,14 @@ def transitions(
     hot: HotKeys | None = None,
     keys: Sequence[str] = ("cohort_id", "user_id"),
 ) -> DataFrame:
-    """``(*keys, next_event, seconds)``, one row per anchored user; NULL if nothing follows."""
+    """``(*keys, next_event, seconds, day)``, one row per anchored user; NULL if nothing follows.
+    ``day`` is the date on which the transition begins."""
     heavy = hot_keys(events) if hot is None else hot
     moved = next_rows(_spread_events(events, heavy), anchors, heavy, done, forward=_forward(direction), keys=keys)
     here, there = F.get("trail", F.lit(done - 1)), F.get("trail", F.lit(done))
     return moved.select(
-        *keys, there["name"].alias("next_event"), F.abs(seconds_between(here["time"], there["time"])).alias("seconds")
+        *keys, there["name"].alias("next_event"), F.abs(seconds_between(here["time"], there["time"])).alias("seconds"),
+        here["time"].cast("date").alias("day"),
     )
 
 
@@ -129,7 +132,15 @@ def target_counts(moves: DataFrame, top_n: int = 3, node: Sequence[str] = ()) ->
 def transition_timing(moves: DataFrame, keys: Sequence[str] = ("cohort_id",)) -> DataFrame:
     """Exact 20th, 50th and 80th percentile of the seconds, per cohort and target."""
     happened = moves.where(F.col("next_event").isNotNull())
-    return quantile_columns(happened, [*keys, "next_event"], "seconds", TIMINGS)
+    return quantile_seconds(happened, [*keys, "next_event"], "seconds", TIMINGS)
+
+
+def timing_sketches(moves: DataFrame, keys: Sequence[str] = ("cohort_id",), k: int = sketches.K) -> DataFrame:
+    """Mergeable sketches of the microseconds, per cohort, target and day of the transition's begin: stored once
+    (:func:`strideline.operators.sketches.save`), they give the timing of any span of days."""
+    happened = moves.where(F.col("next_event").isNotNull())
+    whole = happened.withColumn("micros", F.round(F.col("seconds") * 1_000_000.0).cast("long"))
+    return sketches.sketch_by_day(whole, [*keys, "next_event"], "day", "micros", k)
 
 
 def target_types(moves: DataFrame) -> DataFrame:

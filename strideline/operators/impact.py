@@ -17,7 +17,7 @@ from strideline.functions.predicates import event_set
 from strideline.functions.stats import exact_sum, mann_whitney_p, two_proportion_p
 from strideline.functions.times import DAY_MICROS, micros, seconds_between, shift_days
 from strideline.operators.cohorts import cohort_sizes
-from strideline.operators.ordering import hash_ranked, quantile_columns, rank_sums
+from strideline.operators.ordering import hash_ranked, quantile_seconds, rank_sums
 from strideline.operators.skew import HotKeys, hot_keys, join_per_key
 from strideline.operators.staging import stage
 from strideline.specs import EventMatch, SpecError
@@ -275,7 +275,7 @@ def metrics_long(base: ImpactBase) -> DataFrame:
     """
     spec = base.spec
     counts = cohort_totals(base.totals, spec)
-    median = quantile_columns(base.times, ["cohort_id"], "seconds", {"median_seconds": 0.5})
+    median = quantile_seconds(base.times, ["cohort_id"], "seconds", {"median_seconds": 0.5})
     averages = daily_averages(daily_series(base.days, base.members, spec))
     wide = rates(counts).join(median, "cohort_id", "left").join(averages, "cohort_id", "left")
     keys = {

@@ -197,6 +197,14 @@ def quantile_columns(
     return long_form.groupBy(*keys).agg(*picks)
 
 
+def quantile_seconds(rows: DataFrame, keys: Sequence[str], seconds: str, named: dict[str, float]) -> DataFrame:
+    """The same of elapsed seconds, in whole microseconds, halves up: interpolated doubles of seconds
+    could land on either side of their last digit."""
+    whole = rows.withColumn("_us", F.round(F.col(seconds) * F.lit(float(MICROS))).cast("long"))
+    found = quantile_columns(whole, keys, "_us", named, "micros")
+    return found.select(*keys, *[(F.floor(F.col(name) + F.lit(0.5)) / F.lit(float(MICROS))).alias(name) for name in named])
+
+
 def rank_sums(rows: DataFrame, keys: Sequence[str], side: str, value: str) -> DataFrame:
     """Per key: sizes of both sides, sum of average ranks of side A, tie term.
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strideline.functions.predicates import any_of, event_predicate
 from strideline.functions.times import seconds_between
 from strideline.operators.cohorts import cohort_sizes
-from strideline.operators.ordering import quantile_columns
+from strideline.operators.ordering import quantile_seconds
 from strideline.operators.sequences import next_rows, start_states
 from strideline.operators.skew import HotKeys, hot_keys, spread
 from strideline.operators.staging import stage
@@ -79,7 +79,7 @@ def path_conversion(trails: DataFrame, members: DataFrame, steps: Sequence[PathS
     """
     reached = stage(reached_steps(trails))
     counts = reached.groupBy("cohort_id", "step").agg(F.count(F.lit(1)).alias("users"), F.avg("seconds").alias("mean_seconds"))
-    spans = quantile_columns(reached, ["cohort_id", "step"], "seconds", {"p20_seconds": 0.2, "p80_seconds": 0.8})
+    spans = quantile_seconds(reached, ["cohort_id", "step"], "seconds", {"p20_seconds": 0.2, "p80_seconds": 0.8})
     grid = cohort_sizes(members).withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(len(steps)))))
     frame = (
         grid.join(counts, ["cohort_id", "step"], "left")

@@ -190,6 +190,11 @@ MEMBERS = (EV, FIRST_SEEN, C2, C3A, C3B, C4A, C4B, M)
 OBS = "obs AS (SELECT date_trunc('second', quantile_cont(event_time, 0.999)) AS t FROM ev)"
 
 
+def quantile_seconds_sql(fraction: float, seconds: str = "seconds") -> str:
+    """A quantile of elapsed seconds in whole microseconds, halves up."""
+    return f"floor(quantile_cont(CAST(round({seconds} * 1000000) AS BIGINT), {fraction}) + 0.5) / 1000000.0"
+
+
 def act(unit_seconds: int = 86_400) -> str:
     return f"""act AS (
   SELECT m.cohort_id, m.join_time, ev.*,

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from strideline.functions.predicates import scope_predicate
 from strideline.operators import cohorts as co
 from strideline.operators import events as evs
-from strideline.operators import revenue, scope, splits
-from strideline.operators.staging import staging_path
-from strideline.operators.vectors import observation_end
+from strideline.operators import revenue, scope, sketches, splits
+from strideline.operators.staging import stage, staging_path
+from strideline.operators.vectors import OBSERVED_FRACTION, observation_end
 from strideline.plans.base import (
     COHORTS,
     EV,
@@ -404,6 +404,43 @@ def observation_end_query(spark, sf):
     return observation_end(events(spark, sf))
 
 
+@query(
+    "observation_end_sketch",
+    "n:i day:e within:b",
+    """SELECT COUNT(*) AS n, (SELECT CAST(quantile_disc(event_time, 0.999) AS DATE) FROM ev) AS day, TRUE AS within FROM ev""",
+    EV,
+)
+def observation_end_sketch(spark, sf):
+    """Day sketches of the event time, stored and read back; the exact rank of the instant found is held against them."""
+    rows = events(spark, sf)
+    path = staging_path(spark)
+    sketches.save(sketches.time_sketches(rows), path)
+    found = sketches.observed_end(sketches.load(spark, path), OBSERVED_FRACTION)
+    end = rows.crossJoin(F.broadcast(found.select("instant")))  # one row
+    rank = end.agg(F.avg((F.col("event_time") < F.col("instant")).cast("int")).alias("low"), F.avg((F.col("event_time") <= F.col("instant")).cast("int")).alias("high"))
+    within = sketches.within(OBSERVED_FRACTION, F.col("low"), F.col("high"), 2 * sketches.rank_error())
+    return found.select("n", "day").crossJoin(F.broadcast(rank.select(within.alias("within"))))  # one row each
+
+
+@query(
+    "value_sketches_hot_key",
+    "event_name:s n:i median_within:b p99_within:b",
+    """SELECT event_name, COUNT(*) AS n, TRUE AS median_within, TRUE AS p99_within
+       FROM (SELECT event_name, original_revenue FROM ev UNION ALL SELECT '*', original_revenue FROM ev) WHERE original_revenue IS NOT NULL GROUP BY 1""",
+    EV,
+)
+def value_sketches_hot_key(spark, sf):
+    """Sketches of the value in cents by event and day; the key ``*`` holds half of all rows."""
+    rows = events(spark, sf).select(F.explode(F.array("event_name", F.lit("*"))).alias("event_name"), "event_time", F.round(F.col("original_revenue") * 100).cast("long").alias("cents"))
+    named = {"median": 0.5, "p99": 0.99}
+    path = staging_path(spark)
+    sketches.save(sketches.sketch_by_day(rows, ["event_name"], "event_time", "cents"), path)
+    found = stage(sketches.quantiles(sketches.merged(sketches.load(spark, path), ["event_name"]), ["event_name"], named))
+    shares = sketches.rank_bounds(rows, ["event_name"], "cents", found, list(named))
+    marks = [sketches.within(f, F.col(f"{n}_low"), F.col(f"{n}_high"), 2 * sketches.rank_error()).alias(f"{n}_within") for n, f in named.items()]
+    return found.join(shares, "event_name").select("event_name", "n", *marks)
+
+
 # --- cohorts --------------------------------------------------------------------
 
 _MEMBER = "cohort_id:i user_id:s join_time:t"

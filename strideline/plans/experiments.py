@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from strideline.operators import compare, impact
 from strideline.operators.revenue import modified_revenue
 from strideline.operators.staging import stage
-from strideline.plans.base import MEMBERS, OBS, RULES, act, events, grid, query, study, two_sided_sql
+from strideline.plans.base import MEMBERS, OBS, RULES, act, events, grid, quantile_seconds_sql, query, study, two_sided_sql
 from strideline.plans.metrics import _CELLS, _FACTS
 from strideline.specs import EventMatch
 
@@ -291,7 +291,7 @@ _AVERAGES = """averages AS (
 _LONG = """long_form AS (
   SELECT r.cohort_id, k.metric_key, CASE k.metric_key
       WHEN 'exposure_rate' THEN exposure_rate WHEN 'usage_rate' THEN usage_rate WHEN 'ctr' THEN ctr WHEN 'reuse_rate' THEN reuse_rate
-      WHEN 'time_to_first_interaction' THEN (SELECT quantile_cont(seconds, 0.5) FROM delays d WHERE d.cohort_id = r.cohort_id)
+      WHEN 'time_to_first_interaction' THEN (SELECT """ + quantile_seconds_sql(0.5) + """ FROM delays d WHERE d.cohort_id = r.cohort_id)
       WHEN 'engagement' THEN engagement WHEN 'engagement_daily_avg' THEN engagement_daily_avg
       WHEN 'revenue_per_user' THEN total_revenue / total_users WHEN 'revenue_conversion' THEN paying_users / total_users
       WHEN 'revenue_intensity' THEN CASE WHEN paying_users > 0 THEN total_revenue / paying_users END WHEN 'revenue_daily_avg' THEN revenue_daily_avg

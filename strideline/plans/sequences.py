@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strideline.operators import flow, paths
-from strideline.operators.staging import stage
-from strideline.plans.base import MEMBERS, OD, SIZES, act, events, orders, query, study
+from strideline.operators import flow, paths, sketches
+from strideline.operators.staging import stage, staging_path
+from strideline.plans.base import MEMBERS, OD, SIZES, act, events, orders, quantile_seconds_sql, query, study
 from strideline.operators.cohorts import all_users
 from strideline.specs import EventMatch, Filter, PathStep
 
@@ -125,8 +125,8 @@ def _moves(spark, sf, *path):
 @query(
     "flow_transition_timing",
     "cohort_id:i next_event:s p20_seconds:d median_seconds:d p80_seconds:d",
-    """SELECT cohort_id, next_event, quantile_cont(seconds, 0.2) AS p20_seconds, quantile_cont(seconds, 0.5) AS median_seconds,
-       quantile_cont(seconds, 0.8) AS p80_seconds FROM moves WHERE next_event IS NOT NULL GROUP BY 1, 2""",
+    f"""SELECT cohort_id, next_event, {quantile_seconds_sql(0.2)} AS p20_seconds, {quantile_seconds_sql(0.5)} AS median_seconds,
+       {quantile_seconds_sql(0.8)} AS p80_seconds FROM moves WHERE next_event IS NOT NULL GROUP BY 1, 2""",
     *MEMBERS,
     act(),
     *moves_sql(["view"]),
@@ -135,6 +135,33 @@ def flow_transition_timing(spark, sf):
     return flow.transition_timing(_moves(spark, sf, "view"))
 
 
+_BOUND = 2 * sketches.rank_error()  # twice the 99 % error: no chance of note is left
+
+
+@query(
+    "flow_timing_sketches",
+    "cohort_id:i next_event:s n:i p20_within:b median_within:b p80_within:b",
+    """SELECT cohort_id, next_event, COUNT(*) AS n, TRUE AS p20_within, TRUE AS median_within, TRUE AS p80_within
+       FROM moves WHERE next_event IS NOT NULL GROUP BY 1, 2""",
+    *MEMBERS,
+    act(),
+    *moves_sql(["view"]),
+)
+def flow_timing_sketches(spark, sf):
+    """Day sketches, stored, read back and merged; each estimate's rank is held against the exact one."""
+    keys, moves = ["cohort_id", "next_event"], _moves(spark, sf, "view")
+    path = staging_path(spark)
+    sketches.save(flow.timing_sketches(moves), path)
+    found = stage(sketches.quantiles(sketches.merged(sketches.load(spark, path), keys), keys, flow.TIMINGS))
+    values = moves.withColumn("micros", F.round(F.col("seconds") * 1_000_000.0).cast("long"))
+    shares = sketches.rank_bounds(values, keys, "micros", found, list(flow.TIMINGS))
+    marks = [
+        sketches.within(f, F.col(f"{name}_low"), F.col(f"{name}_high"), _BOUND).alias(name.replace("_seconds", "_within"))
+        for name, f in flow.TIMINGS.items()
+    ]
+    return found.join(shares, keys).select(*keys, "n", *marks)
+
+
 @query("flow_top_n", "next_event:s total_users:i rank:i", "SELECT * FROM ranked WHERE rank <= 2", *MEMBERS, act(), *moves_sql(["view"]))
 def flow_top_n(spark, sf):
     return flow.rank_targets(_moves(spark, sf, "view")).where(F.col("rank") <= 2)
@@ -292,8 +319,8 @@ _CONVERSION_CTE = f"""conversion AS (
   FROM (SELECT z.cohort_id, z.step, z.size, COALESCE(c.users, 0) AS users, mean_seconds, p20, p80,
                LAG(COALESCE(c.users, 0)) OVER (PARTITION BY z.cohort_id ORDER BY z.step) AS prev
         FROM (SELECT s.cohort_id, s.size, i.step FROM sizes s CROSS JOIN (VALUES (1), (2), (3)) i(step)) z
-        LEFT JOIN (SELECT cohort_id, step, COUNT(*) AS users, AVG(seconds) AS mean_seconds, quantile_cont(seconds, 0.2) AS p20,
-                          quantile_cont(seconds, 0.8) AS p80 FROM reached GROUP BY 1, 2) c
+        LEFT JOIN (SELECT cohort_id, step, COUNT(*) AS users, AVG(seconds) AS mean_seconds, {quantile_seconds_sql(0.2)} AS p20,
+                          {quantile_seconds_sql(0.8)} AS p80 FROM reached GROUP BY 1, 2) c
           ON c.cohort_id = z.cohort_id AND c.step = z.step))"""
 _CONVERSION = (*MEMBERS, act(), *chain(_CHAIN, gap_minutes=_GAP), _REACHED, SIZES, _CONVERSION_CTE)
 
