@@ -15,14 +15,20 @@ import numpy as np
 
 from strideline.llm.arrow import held
 
-#: Units kept per worker before the cache starts anew: about 300 MB. Results don't depend on it.
-CACHE_UNITS = 1_200_000
+#: Bytes of units and ids kept per worker, counted with ``ENTRY_BYTES`` for each unit, before the cache starts anew.
+CACHE_BYTES = 300 << 20
+ENTRY_BYTES = 160
+#: Longer units are forgotten with the run of texts they come in.
+LONG_UNIT = 100
+#: Units that go through the library in one text.
+JOINED = 200
 #: Characters of text that are split into units at a time.
 RUN_CHARS = 2_000_000
 
 #: A lone surrogate: no text that Spark can hold has one.
 _FIRST = "\ud800"
 _SAFE = re.compile(r"(?<=\S)(?=[ \n])")
+_MARKS = ".,;:!?"
 
 
 def id_type(vocabulary: int) -> np.dtype:
@@ -37,30 +43,96 @@ class UnitEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.dtype = id_type(self.tokenizer.get_vocab_size(with_added_tokens=True))
+        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.cache: dict[str, bytes | None] = {}
+        self.held = 0
+        ids = lambda text: self._ids([text])[0]
+        word = ids(" word")
+        self.lowers = ids(" WORD") == word
+        self.marks = {}
+        for mark in _MARKS:
+            both = ids(f" word{mark}")
+            if both[: len(word)] == word and both == [*word, *ids(mark)]:
+                self.marks[mark] = array(self._code, ids(mark)).tobytes()
+        self.separators = [(sep, ids(" word" + sep + " word")[len(word)]) for sep in ("\n", " |") if self._parts(sep)]
+
+    def _parts(self, sep: str) -> bool:
+        """Whether a separator takes one id of its own between two units, with and without a space before the second."""
+        one, two, bare = self._ids([" word", " other,", "other,"])
+        joined, tight = self._ids([f" word{sep} other,", f" word{sep}other,"])
+        return len(joined) == len(one) + 1 + len(two) and joined == [*one, joined[len(one)], *two] and (sep != "\n" or tight == [*one, joined[len(one)], *bare])
 
     @staticmethod
     def of(path: str) -> UnitEncoder:
         return held(("units", path), lambda: UnitEncoder(path))
 
+    @property
+    def _code(self) -> str:
+        return "H" if self.dtype.itemsize == 2 else "I"
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def _whole(self, texts: list[str]) -> list[bytes]:
-        out = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        code = "H" if self.dtype.itemsize == 2 else "I"
-        return [array(code, e.ids).tobytes() for e in out]
+        return [array(self._code, ids).tobytes() for ids in self._ids(texts)]
+
+    def _units(self, units: list[str]) -> list[bytes]:
+        """The ids of units that begin with a space, or all without one, and end with no white space."""
+        if not self.separators or len(units) < 3:
+            return self._whole(units)
+        sep, number = self.separators[0]
+        mark, out, alone = sep.strip(" "), [b""] * len(units), []
+        fine = []
+        for i, unit in enumerate(units):
+            # White space next to a separator would join it.
+            (alone if mark in unit or len(unit) > LONG_UNIT or unit[1:2].isspace() or unit[:1] not in " " and unit[:1].isspace() else fine).append(i)
+        if fine and units[fine[0]][0] != " " and sep != "\n":
+            sep += " "
+        groups = [fine[begin : begin + JOINED] for begin in range(0, len(fine), JOINED)]
+        for group, ids in zip(groups, self._ids([sep.join([units[i] for i in group]) for group in groups]), strict=True):
+            at = [-1, *(i for i, x in enumerate(ids) if x == number), len(ids)]
+            if len(at) != len(group) + 1:
+                alone += group
+                continue
+            raw = array(self._code, ids).tobytes()
+            size = self.dtype.itemsize
+            for i, begin, end in zip(group, at, at[1:], strict=False):
+                out[i] = raw[(begin + 1) * size : end * size]
+        for i, value in zip(alone, self._whole([units[i] for i in alone]), strict=True):
+            out[i] = value
+        return out
 
-    def _learn(self, keys: set[str]) -> None:
-        """Keys: a first unit behind ``_FIRST``, a later one without the space before it."""
-        cache, good, units = self.cache, [], []
+    def _learn(self, keys: set[str]) -> list[str]:
+        """Keys: a first unit behind ``_FIRST``, a later one without the space before it. Returns the long ones."""
+        cache, first, later = self.cache, [], []
+        derived: list[tuple[str, str, bytes]] = []  # key, the key its ids begin with, and what follows
+        wanted = set()
         for key in keys:
             if key in ("", _FIRST) or key[-1].isspace():
                 cache[key] = None  # white space meets white space: no safe place to cut
-            else:
-                good.append(key)
-                units.append(key[1:] if key[0] == _FIRST else key if key[0] == "\n" else " " + key)
-        for begin in range(0, len(good), 4096):
-            cache.update(zip(good[begin : begin + 4096], self._whole(units[begin : begin + 4096]), strict=True))
+                continue
+            core, tail = key, b""
+            if len(key) > 2 and key[-1] in self.marks and key[-2].isalpha() and key[-2] < "\u0250":
+                core, tail = key[:-1], self.marks[key[-1]]
+            if self.lowers and core.isascii():
+                core = core.lower()
+            if core is not key:
+                derived.append((key, core, tail))
+            if core not in cache:
+                wanted.add(core)
+        for key in wanted:
+            (first if key[0] in (_FIRST, "\n") else later).append(key)
+        texts = {True: lambda k: k[1:] if k[0] == _FIRST else k, False: lambda k: " " + k}
+        for some, is_first in ((first, True), (later, False)):
+            for begin in range(0, len(some), 100_000):
+                part = some[begin : begin + 100_000]
+                cache.update(zip(part, self._units([texts[is_first](k) for k in part]), strict=True))
+        for key, core, tail in derived:
+            cache[key] = cache[core] + tail  # type: ignore[operator]
+        fresh = wanted.union(keys)
+        self.held += sum(len(k) + len(cache[k] or b"") + ENTRY_BYTES for k in fresh)
+        return [k for k in fresh if len(k) > LONG_UNIT]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """One bytes object per text. Copies are encoded once."""
@@ -76,17 +148,23 @@ class UnitEncoder:
         return [made[text] for text in texts]
 
     def _run(self, texts: list[str]) -> list[bytes]:
-        if len(self.cache) > CACHE_UNITS:
+        if self.held > CACHE_BYTES:
             self.cache.clear()
-        split, slow, fresh = [], [], set()
+            self.held = 0
+        split, slow, whole, fresh = [], [], [], set()
         cache = self.cache
-        for text in texts:
+        for number, text in enumerate(texts):
+            low = text.lower()
+            if any(token in low for token in self.added):
+                whole.append(number)
+                split.append([])
+                continue
             # A line feed becomes a unit's own first character; " \n" in a text shows as an empty unit.
             parts = text.replace("\n", " \n").split(" ")
             parts[0] = _FIRST + parts[0]
             split.append(parts)
             fresh.update(parts)
-        self._learn(fresh.difference(cache))
+        long = self._learn(fresh.difference(cache))
         out: list[bytes] = []
         for number, parts in enumerate(split):
             try:
@@ -98,4 +176,9 @@ class UnitEncoder:
             cuts = [0, *(m.start() for m in _SAFE.finditer(texts[number])), len(texts[number])]
             pieces = [texts[number][a:b] for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
             out[number] = b"".join(self._whole(pieces)) if pieces else b""
+        for number, value in zip(whole, self._whole([texts[i] for i in whole]), strict=True):
+            out[number] = value
+        for key in long:
+            value = cache.pop(key, None)
+            self.held -= len(key) + len(value or b"") + ENTRY_BYTES
         return out

@@ -23,17 +23,11 @@ JSON, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.pat
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
-def tokenizer(path):
-    out = Tokenizer.from_file(path)
-    out.encode_special_tokens = True
-    return out
-
-
-WHOLE = {path: tokenizer(path) for path in (JSON, WORDS)}
+WHOLE = {path: Tokenizer.from_file(path) for path in (JSON, WORDS)}
 TIKTOKEN = tiktoken.Encoding(
     "t", pat_str=PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}, special_tokens={}
 )
-PIECES = st.lists(st.sampled_from(["the", "Été", "don't", " ", "  ", "\n", "\n\n", "\t", "\x85", "\x1c", " ", "á", "́", "Σ", "12", "##", "\x00", ".", "日本", "<|endoftext|>"]))
+PIECES = st.lists(st.sampled_from(["the", "Été", "don't", " ", "  ", "\n", "\n\n", "\t", "\x85", "\x1c", " ", "á", "́", "Σ", "12", "##", "\x00", ".", "日本", "<|endoftext|>", "<|ENDofTEXT|>", "<|startoftext|>", "|", "The", "WORD,", "x" * 120, ","]))
 
 
 @pytest.mark.parametrize("path", [JSON, WORDS])
@@ -185,3 +179,26 @@ def test_runs_of_texts_do_not_change_ids(monkeypatch):
     whole = own.encode(texts)
     monkeypatch.setattr(units, "RUN_CHARS", 7)
     assert own.encode(texts) == whole and own.encode([]) == []
+
+
+def test_strings_of_added_tokens_are_tokens():
+    assert np.frombuffer(UnitEncoder(JSON).encode(["a <|endoftext|> b"])[0], "<u2").tolist() == [64, 220, 50256, 275]
+
+
+def test_units_of_real_texts(documents):
+    texts = [r["text"] or "" for r in documents.collect()]
+    for path in (JSON, WORDS):
+        own = UnitEncoder(path)
+        assert own.separators and own.marks
+        assert [np.frombuffer(v, own.dtype).tolist() for v in own.encode(texts)] == [e.ids for e in WHOLE[path].encode_batch(texts, add_special_tokens=False)]
+
+
+def test_the_cache_is_bounded_in_bytes(monkeypatch):
+    from strideline.llm import units
+
+    monkeypatch.setattr(units, "CACHE_BYTES", 20_000)
+    own = UnitEncoder(JSON)
+    for i in range(50):
+        own.encode([f"w{i} " + " ".join(f"u{i}x{j}" for j in range(20)) + " " + "z" * 5_000])
+        assert own.held <= 30_000 and all(len(k) <= units.LONG_UNIT for k in own.cache)
+        assert own.held == sum(len(k) + len(v or b"") + units.ENTRY_BYTES for k, v in own.cache.items())
