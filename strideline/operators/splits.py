@@ -14,15 +14,16 @@ MIN_SPLIT_USERS = 8  # fixed value
 OTHER = "_other"
 
 
-def random_split(members: DataFrame, groups: int, seed: str) -> DataFrame:
+def random_split(members: DataFrame, groups: int, seed: str, min_users: int = MIN_SPLIT_USERS) -> DataFrame:
     """``(cohort_id, user_id, join_time, group_index)`` in groups of near-equal size.
 
     Users are ranked by a hash of id and seed and cut into equal shares of the ranks.
-    A cohort of fewer than ``MIN_SPLIT_USERS`` users yields nothing.
+    A cohort of fewer than ``min_users`` users yields nothing; :func:`strideline.operators.lineage.split`
+    looks first and raises.
     """
     if groups < 2:
         raise SpecError("a split needs at least 2 groups")
-    ranked = hash_ranked(members, ["cohort_id"], "user_id", seed).where(F.col("_total") >= MIN_SPLIT_USERS)
+    ranked = hash_ranked(members, ["cohort_id"], "user_id", seed).where(F.col("_total") >= min_users)
     index = F.floor(F.col("_rank") * F.lit(groups) / F.col("_total")).cast("int")
     return ranked.select("cohort_id", "user_id", "join_time", index.alias("group_index"))
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strideline.operators import flow, paths, sketches
+from strideline.operators import flow, lineage, paths, sketches
 from strideline.operators.staging import stage, staging_path
-from strideline.plans.base import MEMBERS, OD, SIZES, act, events, orders, quantile_seconds_sql, query, study
+from strideline.plans.base import COHORTS, EV, MEMBERS, OD, SIZES, act, events, orders, quantile_seconds_sql, query, study
 from strideline.operators.cohorts import all_users
 from strideline.specs import EventMatch, Filter, PathStep
 
@@ -415,6 +415,49 @@ def path_reached_cohort(spark, sf):
     return paths.reached_cohort(rows, joined, _STEPS, 2, _GAP, hot=hot)
 
 
+# --- derived cohorts under a filter -------------------------------------------------
+
+_IN_SCOPE = "k < 70"
+_SCOPED = (EV.replace("ev AS", "all_events AS", 1), f"ev AS (SELECT * FROM all_events WHERE {_IN_SCOPE})", *MEMBERS[1:])
+_GROUPS = lineage.RandomGroups(3, "derived")
+
+
+def _in_groups(source: str) -> str:
+    return f"""(SELECT *, floor(rn * 3 / total) AS part FROM (
+       SELECT *, ROW_NUMBER() OVER (ORDER BY md5(user_id || 'derived'), user_id) - 1 AS rn, COUNT(*) OVER () AS total FROM {source}))"""
+
+
+@query(
+    "cohort_derived_split",
+    _MEMBER,
+    f"SELECT 21 + part AS cohort_id, user_id, join_time FROM {_in_groups('(SELECT * FROM m WHERE cohort_id = 3)')}",
+    *_SCOPED,
+)
+def cohort_derived_split(spark, sf):
+    """A split made over all events, evaluated again under a filter."""
+    rows = events(spark, sf)
+    derived = lineage.split(rows, COHORTS, [], 3, _GROUPS, 21)
+    return lineage.build_all(rows, COHORTS, derived, F.expr(_IN_SCOPE)).where("cohort_id >= 21")
+
+
+@query(
+    "cohort_derived_dropoff",
+    _MEMBER,
+    f"""SELECT * FROM left_path UNION ALL SELECT 32 + part, user_id, join_time FROM {_in_groups('left_path')}""",
+    *_SCOPED,
+    act(),
+    *chain(_CHAIN, gap_minutes=_GAP),
+    """left_path AS (SELECT 31 AS cohort_id, m.user_id, m.join_time FROM m JOIN s1 ON s1.cohort_id = m.cohort_id AND s1.user_id = m.user_id
+       WHERE m.cohort_id = 1 AND NOT EXISTS (SELECT 1 FROM s2 WHERE s2.cohort_id = m.cohort_id AND s2.user_id = m.user_id))""",
+)
+def cohort_derived_dropoff(spark, sf):
+    """Those who left a path after its first step, and a split of them, under a filter."""
+    rows = events(spark, sf)
+    left = lineage.Derived(31, "left", 1, lineage.PathWalk(tuple(_STEPS), _GAP), ("dropped", 2))
+    parts = [lineage.Derived(32 + i, f"left {i}", 31, _GROUPS, i) for i in range(3)]
+    return lineage.build_all(rows, COHORTS, [*parts, left], F.expr(_IN_SCOPE)).where("cohort_id >= 31")
+
+
 @query(
     "path_spec_values_present",
     "column_name:s value:s rows:i present:b",
