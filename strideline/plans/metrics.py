@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from strideline.functions.predicates import text_predicate
-from strideline.operators import ltv, monetization, retention, usage, vectors
+from strideline.operators import canonical, ltv, monetization, retention, usage, vectors
+from strideline.operators.cohorts import build_membership
 from strideline.operators.revenue import modified_revenue
-from strideline.plans.base import MAX_DAY, MEMBERS, OBS, RULES, SIZES, act, events, grid, query, study
+from strideline.operators.staging import staging_path
+from strideline.operators.vectors import observed_until
+from strideline.plans.base import COHORTS, EV, MAX_DAY, MEMBERS, OBS, RULES, SIZES, act, events, grid, query, study
 from strideline.specs import Filter
 
 
@@ -121,6 +126,31 @@ def retention_table(spark, sf):
     return retention.retention_table(rows, joined, until, MAX_DAY, hot=hot)
 
 
+def _stored(spark, rows):
+    """The canonical table in buckets, under a name of its own."""
+    name = f"canonical_{uuid.uuid4().hex}"
+    return canonical.load(spark, canonical.save(rows, name, staging_path(spark), buckets=8).table)
+
+
+@query(
+    "canonical_round_trip",
+    "user_id:s event_name:s event_time:t k:i event_count:d original_revenue:d modified_revenue:d row_id:i",
+    "SELECT * FROM ev",
+    EV,
+)
+def canonical_round_trip(spark, sf):
+    return _stored(spark, events(spark, sf)).events()
+
+
+@query("canonical_retention", _TABLE, _table_sql(_ACTIVE), *DENSE)
+def canonical_retention(spark, sf):
+    """Membership and retention over buckets: no event is moved."""
+    store = _stored(spark, events(spark, sf))
+    rows, hot = store.events(), store.hot()
+    joined = store.save_members(build_membership(rows, COHORTS, hot=hot), f"members_{uuid.uuid4().hex}", staging_path(spark))
+    return retention.retention_table(rows, joined, observed_until(rows), MAX_DAY, hot=hot)
+
+
 @query("retention_event", _TABLE, _table_sql("CASE WHEN purchases > 0 THEN 1 ELSE 0 END"), *DENSE)
 def retention_event(spark, sf):
     rows, joined, until, hot = _base(spark, sf)
