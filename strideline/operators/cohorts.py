@@ -40,7 +40,7 @@ def _nth_times(events: DataFrame, wanted: dict[int, Condition], hot: HotKeys) ->
     Counts are whole and at least 1, so the first ``n`` matching rows decide. Small
     numbers are ranked with a limit that every task applies before the shuffle; with
     hot users a salted ranking goes first, so their rows never meet in one task.
-    Larger numbers are found by narrowing days to seconds to instants.
+    Larger numbers are found by running sums over ranges of (user, time).
     """
     matches = {number: _condition_predicate(events, c) for number, c in wanted.items()}
     hits = F.array_compact(F.array(*[F.when(match, F.lit(number)) for number, match in matches.items()]))

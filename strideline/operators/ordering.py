@@ -17,7 +17,8 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strideline.functions.times import DAY_MICROS, MICROS, from_micros, micros
+from strideline.functions.times import DAY_MICROS, MICROS, micros
+from strideline.operators.prefix import crossing, slice_of
 from strideline.operators.skew import row_salt
 
 # Fixed values. The first is the largest rank Spark limits before the shuffle.
@@ -248,14 +249,12 @@ def first_per_key(rows: DataFrame, keys: Sequence[str], time: str, then: Sequenc
 
     Two ranked passes: the salted one lets every task drop all but ``limit`` rows
     per key and salt before the shuffle, so the second sees at most
-    ``limit * TOP_SALTS`` rows of a key. Beyond the rank Spark can limit early, rows
-    after the instant at which a key has ``limit`` rows are cut off first.
+    ``limit * TOP_SALTS`` rows of a key. Beyond the rank Spark can limit early, positions
+    come from running sums over ranges.
     """
     order = [time, *then]
     if limit > GROUP_LIMIT:
-        counted = rows.withColumns({"_one": F.lit(1).cast("long"), "_need": F.lit(limit).cast("long")})
-        ends = crossing_time(counted, keys, time, "_one", "_need").withColumnRenamed(time, "_end")
-        rows = rows.join(ends, list(keys), "left").where(F.col("_end").isNull() | (F.col(time) <= F.col("_end"))).drop("_end")
+        return slice_of(rows, keys, order, 1, limit)
     salted = rows.withColumn("_salt", row_salt(TOP_SALTS, *order))
     near = Window.partitionBy(*keys, "_salt").orderBy(*order)
     whole = Window.partitionBy(*keys).orderBy(*order)
@@ -269,35 +268,9 @@ def first_per_key(rows: DataFrame, keys: Sequence[str], time: str, then: Sequenc
 
 
 def crossing_time(rows: DataFrame, keys: Sequence[str], time: str, weight: str, need: str) -> DataFrame:
-    """Per key, the first time at which the running sum of ``weight`` reaches ``need``.
-
-    For thresholds too large to rank: days, then seconds of the crossing day, then
-    instants of the crossing second. Weights must not be negative.
-    """
-    group = list(keys)
-    coarse, fine = _time_levels(F.col("_v"))
-    values = rows.select(*group, micros(F.col(time)).alias("_v"), F.col(weight).alias("_n"), F.col(need).alias("_need"))
-    values = values.withColumn("_c", coarse).withColumn("_f", fine)
-    before = F.col("_upto") - F.col("_n")
-
-    def crossing(level: DataFrame, order: str) -> DataFrame:
-        marked = level.withColumn("_upto", _running(group, order, "_n"))
-        return marked.where((F.col("_upto") >= F.col("_need")) & (before < F.col("_need")))
-
-    days = values.groupBy(*group, "_c").agg(F.sum("_n").alias("_n"), F.max("_need").alias("_need"))
-    day = crossing(days, "_c").select(*group, "_c", (F.col("_need") - before).alias("_left"))
-    seconds = (
-        values.join(day, [*group, "_c"])
-        .groupBy(*group, "_c", "_f")
-        .agg(F.sum("_n").alias("_n"), F.max("_left").alias("_need"))
-    )
-    second = crossing(seconds, "_f").select(*group, "_c", "_f", (F.col("_need") - before).alias("_left"))
-    instants = (
-        values.join(second, [*group, "_c", "_f"])
-        .groupBy(*group, "_v")
-        .agg(F.sum("_n").alias("_n"), F.max("_left").alias("_need"))
-    )
-    return crossing(instants, "_v").groupBy(*group).agg(from_micros(F.min("_v")).alias(time))
+    """Per key, the first time at which the running sum of ``weight`` reaches ``need``, at any depth
+    and however many rows fall on one day. Weights must not be negative."""
+    return crossing(rows, keys, time, weight, need)
 
 
 def hash_ranked(rows: DataFrame, keys: Sequence[str], identity: str, seed: str, limit: int | None = None) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from strideline.functions.times import as_instant
 from strideline.operators.events import properties_of
-from strideline.operators.ordering import first_per_key
+from strideline.operators.ordering import GROUP_LIMIT, first_per_key
+from strideline.operators.prefix import slice_of
 from strideline.operators.skew import HotKeys, hot_keys, join_per_key
 from strideline.specs import Cohort, SpecError
 
@@ -54,7 +55,11 @@ def timeline_page(events: DataFrame, page: int, size: int, user_id: str | None =
     """One page of each user's events by (time, name), with the position."""
     if page < 1 or not 1 <= size <= MAX_PAGE:
         raise SpecError(f"pages start at 1 and hold 1 to {MAX_PAGE} events")
-    first = first_per_key(_of(events, user_id), ["user_id"], "event_time", ["event_name", "row_id"], page * size)
+    then = ["event_name", "row_id"]
+    if page * size > GROUP_LIMIT:
+        deep = slice_of(_of(events, user_id), ["user_id"], ["event_time", *then], (page - 1) * size + 1, page * size)
+        return deep.withColumnRenamed("_pos", "position")
+    first = first_per_key(_of(events, user_id), ["user_id"], "event_time", then, page * size)
     return first.where(F.col("_pos") > (page - 1) * size).withColumnRenamed("_pos", "position")
 
 

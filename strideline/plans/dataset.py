@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from strideline.functions.predicates import scope_predicate
 from strideline.operators import cohorts as co
 from strideline.operators import events as evs
-from strideline.operators import revenue, scope, sketches, splits
+from strideline.operators import prefix, revenue, scope, sketches, splits
 from strideline.operators.staging import stage, staging_path
 from strideline.operators.vectors import OBSERVED_FRACTION, observation_end
 from strideline.plans.base import (
@@ -465,6 +465,29 @@ def cohort_condition_nth(spark, sf):
     return _single(spark, sf, HEAVY_BUYER)
 
 
+@query(
+    "cohort_condition_deep",
+    _MEMBER,
+    """SELECT 9 AS cohort_id, 'all' AS user_id, MIN(event_time) AS join_time FROM (
+         SELECT event_time, ROW_NUMBER() OVER (ORDER BY event_time, row_id) AS n FROM ev WHERE event_name = 'view') WHERE n >= 1100 HAVING COUNT(*) > 0""",
+    EV,
+)
+def cohort_condition_deep(spark, sf):
+    """The 1,100th occurrence, of one user who owns all rows."""
+    rows = events(spark, sf).withColumn("user_id", F.lit("all"))
+    return co.build_membership(rows, [Cohort(9, "subject", [Condition("view", 1_100)])])
+
+
+@query(
+    "row_ids_dense",
+    "row_id:i number:i event_time:t",
+    "SELECT row_id, ROW_NUMBER() OVER (ORDER BY event_time, row_id) AS number, event_time FROM ev",
+    EV,
+)
+def row_ids_dense(spark, sf):
+    return prefix.dense_row_ids(events(spark, sf).select("row_id", "event_time"), ["event_time", "row_id"], "number")
+
+
 @query(
     "cohort_negated",
     _MEMBER,

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from datetime import datetime
 
+from pyspark.sql import functions as F
+
 from strideline.operators import timeline
 from strideline.plans.base import COHORTS, EV, MEMBERS, OD, events, members, orders, query, study
 
@@ -45,6 +47,40 @@ def user_timeline_page(spark, sf):
     return timeline.timeline_page(orders(spark, sf), 2, 5).select("user_id", "position", "event_time", "event_name", "row_id")
 
 
+#: Three "users" that own all rows: the status of an order.
+_FEW = "few AS (SELECT event_name AS user_id, event_time, priority AS event_name, row_id FROM od)"
+
+
+def _few(spark, sf):
+    return orders(spark, sf).select(F.col("event_name").alias("user_id"), "event_time", F.col("priority").alias("event_name"), "row_id")
+
+
+@query(
+    "user_timeline_deep_page",
+    "user_id:s position:i event_time:t event_name:s row_id:i",
+    """SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY event_time, event_name, row_id) AS position FROM few)
+       WHERE position BETWEEN 3001 AND 3050""",
+    OD,
+    _FEW,
+)
+def user_timeline_deep_page(spark, sf):
+    """Page 61 of users with thousands of events each."""
+    return timeline.timeline_page(_few(spark, sf), 61, 50).select("user_id", "position", "event_time", "event_name", "row_id")
+
+
+@query(
+    "user_timeline_page_over_1000",
+    "user_id:s position:i event_time:t event_name:s row_id:i",
+    """SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY event_time, event_name, row_id) AS position FROM few)
+       WHERE position BETWEEN 3601 AND 3603""",
+    OD,
+    _FEW,
+)
+def user_timeline_page_over_1000(spark, sf):
+    """Page 1,201, of three events."""
+    return timeline.timeline_page(_few(spark, sf), 1_201, 3).select("user_id", "position", "event_time", "event_name", "row_id")
+
+
 _NEAREST = """SELECT user_id, event_time, event_name, row_id FROM (
   SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY {order}) AS rn FROM ev WHERE {where}) WHERE rn = 1"""
 _UP = "event_time, event_name, row_id"
