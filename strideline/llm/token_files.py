@@ -42,7 +42,6 @@ _STEP = np.arange(4, dtype=np.uint8)
 _CODES = (np.arange(256)[:, None] >> (2 * np.arange(4))) & 3
 #: For each control byte, which of the 4 x 4 bytes of its ranks are present.
 _PRESENT = (_STEP <= _CODES[:, :, None]).reshape(256, 16)
-_LENGTH = _PRESENT.sum(1)
 
 
 def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
@@ -55,12 +54,42 @@ def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
     return shifts.sum(1, dtype=np.uint8).tobytes(), values.view(np.uint8).reshape(-1, 4)[: len(ranks)][present].tobytes()
 
 
+def encode_all(ranks: np.ndarray, counts: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+    """:func:`encode_ranks` of many documents, given one after another, at once."""
+    groups = -(-counts // 4)
+    first = 4 * (np.cumsum(groups) - groups)  # a document starts a control byte
+    values = np.zeros(4 * int(groups.sum()), "<u4")
+    place = np.repeat(first - (np.cumsum(counts) - counts), counts) + np.arange(len(ranks))
+    values[place] = ranks
+    codes = (values > 0xFF).astype(np.uint8) + (values > 0xFFFF) + (values > 0xFFFFFF)
+    control = (codes.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(1, dtype=np.uint8).tobytes()
+    present = _STEP <= codes[:, None]
+    padding = np.ones(len(values), bool)
+    padding[place] = False
+    present[padding] = False
+    data = values.view(np.uint8).reshape(-1, 4)[present].tobytes()
+    ends = np.concatenate([[0], np.cumsum(codes[place].astype(np.int64) + 1)])[np.concatenate([[0], np.cumsum(counts)])].tolist()
+    marks = np.concatenate([[0], np.cumsum(groups)]).tolist()
+    return [control[a:b] for a, b in zip(marks, marks[1:], strict=False)], [data[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+
+
 def decode_ranks(control: np.ndarray, data: np.ndarray, count: int) -> np.ndarray:
     """The numbers; ``data`` may go on beyond them."""
-    present = _PRESENT[control].reshape(-1, 4)[:count]
-    out = np.zeros((count, 4), np.uint8)
+    return decode_all(control, data, np.array([count]))
+
+
+def decode_all(control: np.ndarray, data: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The numbers of many documents, one after another."""
+    present = _PRESENT[control].reshape(-1, 4)
+    groups = -(-counts // 4)
+    ends = 4 * np.cumsum(groups)
+    real = np.ones(len(present), bool)
+    for pad in (1, 2, 3):  # padding ranks have no data byte
+        real[ends[(4 * groups - counts) >= pad] - pad] = False
+    present[~real] = False
+    out = np.zeros((len(present), 4), np.uint8)
     out[present] = data[: int(present.sum())]
-    return out.view("<u4").ravel()
+    return out.view("<u4").ravel()[real]
 
 
 def pack_segment(rows: list[tuple[int | None, int, bytes, bytes]]) -> bytes:
@@ -70,22 +99,17 @@ def pack_segment(rows: list[tuple[int | None, int, bytes, bytes]]) -> bytes:
     return b"".join([MAGIC, struct.pack("<I", len(rows)), ids, counts, *(c for _, _, c, _ in rows), *(d for _, _, _, d in rows)])
 
 
-def unpack_segment(body: bytes) -> Iterator[tuple[int | None, np.ndarray]]:
-    """(document id, ranks) of each document in order."""
+def unpack_segment(body: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
+    """Document ids, how many ranks each document has, and all ranks in order."""
     if body[:4] != MAGIC:
         raise ValueError("not a token segment")
     (n,) = struct.unpack_from("<I", body, 4)
-    keys = list(struct.iter_unpack("<Bq", body[8 : 8 + 9 * n]))
+    keys = [key if has else None for has, key in struct.iter_unpack("<Bq", body[8 : 8 + 9 * n])]
     counts = np.frombuffer(body, "<u4", n, 8 + 9 * n).astype(np.int64)
     begin = 8 + 13 * n
-    ends = begin + np.cumsum(-(-counts // 4))
-    raw, at, data = np.frombuffer(body, np.uint8), begin, int(ends[-1]) if n else begin
-    for (has, key), count, end in zip(keys, counts.tolist(), ends.tolist(), strict=True):
-        control = raw[at:end]
-        ranks = decode_ranks(control, raw[data:], count)
-        data += int(_LENGTH[control].sum()) - (-count) % 4  # padding ranks have no data byte
-        at = end
-        yield (key if has else None), ranks
+    end = begin + int((-(-counts // 4)).sum())
+    raw = np.frombuffer(body, np.uint8)
+    return keys, counts, decode_all(raw[begin:end], raw[end:], counts)
 
 
 def tokenize(docs: DataFrame, tokenizer_file: str, end_id: int, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -109,8 +133,7 @@ def frequency_ranks(tokens: DataFrame, dtype: np.dtype, vocabulary: int) -> np.n
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(vocabulary, np.int64)
         for batch in batches:
-            for value in batch.column("ids").to_pylist():
-                counts += np.bincount(np.frombuffer(value, dtype), minlength=vocabulary)
+            counts += np.bincount(np.frombuffer(b"".join(batch.column("ids").to_pylist()), dtype), minlength=vocabulary)
         found = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(counts[found])], ["id", "n"])
 
@@ -149,13 +172,14 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_file: str, end_id:
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = [np.frombuffer(v, dtype) for v in batch.column("ids").to_pylist()]
-            coded = [encode_ranks(ranks[v]) for v in values]
+            values = batch.column("ids").to_pylist()
+            counts = np.array([len(v) // dtype.itemsize for v in values], np.int64)
+            control, data = encode_all(ranks[np.frombuffer(b"".join(values), dtype)], counts)
             keys = batch.column("doc_id")
             place = np.searchsorted(bounds, keys.fill_null(0).to_numpy(zero_copy_only=False).astype(np.float64), "right").astype(np.int32)
             place[keys.is_null().to_numpy(zero_copy_only=False)] = 0
             yield pa.RecordBatch.from_arrays(
-                [pa.array(place), keys, pa.array([len(v) for v in values], pa.int64()), binary([c for c, _ in coded]), binary([d for _, d in coded])],
+                [pa.array(place), keys, pa.array(counts), binary(control), binary(data)],
                 ["bucket", "doc_id", "n", "control", "data"],
             )
 
@@ -209,12 +233,11 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
         names = ["bucket", "segment", "inner", "doc_id", "n_tokens", "ids"]
         for batch in batches:
             for bucket, segment, body in zip(*batch.columns, strict=True):
-                found = [(key, order[ranks]) for key, ranks in unpack_segment(body.as_py())]
-                counts = np.array([len(ids) for _, ids in found], np.int64)
-                keys = pa.array([key for key, _ in found], pa.int64())
-                same = [pa.array([v.as_py()] * len(found), v.type) for v in (bucket, segment)]
-                values = binary([ids.astype("<u4").tobytes() for _, ids in found])
-                yield pa.RecordBatch.from_arrays([*same, pa.array(np.cumsum(counts) - counts), keys, pa.array(counts), values], names)
+                keys, counts, found = unpack_segment(body.as_py())
+                same = [pa.array([v.as_py()] * len(keys), v.type) for v in (bucket, segment)]
+                ids, ends = order[found].tobytes(), np.cumsum(counts)
+                values = binary([ids[4 * a : 4 * b] for a, b in zip((ends - counts).tolist(), ends.tolist(), strict=True)])
+                yield pa.RecordBatch.from_arrays([*same, pa.array(ends - counts), pa.array(keys, pa.int64()), pa.array(counts), values], names)
 
     stored = spark.read.parquet(f"{folder}/segments").select("bucket", "segment", "body")
     return stored.mapInArrow(run, "bucket int, segment long, inner long, doc_id long, n_tokens long, ids binary")

@@ -20,6 +20,8 @@ CACHE_BYTES = 300 << 20
 ENTRY_BYTES = 160
 #: Longer units are forgotten with the run of texts they come in.
 LONG_UNIT = 100
+#: Runs of marks whose ids are kept.
+MARKS = 100_000
 #: Units that go through the library in one text.
 JOINED = 200
 #: Characters of text that are split into units at a time.
@@ -28,7 +30,8 @@ RUN_CHARS = 2_000_000
 #: A lone surrogate: no text that Spark can hold has one.
 _FIRST = "\ud800"
 _SAFE = re.compile(r"(?<=\S)(?=[ \n])")
-_MARKS = ".,;:!?"
+#: A word of Latin letters and the marks behind it; an apostrophe may belong to a contraction.
+_MARKED = re.compile(r"(.*[A-Za-z\u00c0-\u024f])([!-&(-/:-@\[-`{-~]+)", re.S)
 
 
 def id_type(vocabulary: int) -> np.dtype:
@@ -50,11 +53,8 @@ class UnitEncoder:
         ids = lambda text: self._ids([text])[0]
         word = ids(" word")
         self.lowers = ids(" WORD") == word
-        self.marks = {}
-        for mark in _MARKS:
-            both = ids(f" word{mark}")
-            if both[: len(word)] == word and both == [*word, *ids(mark)]:
-                self.marks[mark] = array(self._code, ids(mark)).tobytes()
+        self.splits_marks = all(ids(f" word{mark}") == [*word, *ids(mark)] for mark in (".", ",", "***", "%%", ").", "}_"))
+        self.marks: dict[str, bytes] = {}
         self.separators = [(sep, ids(" word" + sep + " word")[len(word)]) for sep in ("\n", " |") if self._parts(sep)]
 
     def _parts(self, sep: str) -> bool:
@@ -103,6 +103,14 @@ class UnitEncoder:
             out[i] = value
         return out
 
+    def _tail(self, marks: str) -> bytes:
+        found = self.marks.get(marks)
+        if found is None:
+            found = self._whole([marks])[0]
+            if len(self.marks) < MARKS:
+                self.marks[marks] = found
+        return found
+
     def _learn(self, keys: set[str]) -> list[str]:
         """Keys: a first unit behind ``_FIRST``, a later one without the space before it. Returns the long ones."""
         cache, first, later = self.cache, [], []
@@ -113,8 +121,8 @@ class UnitEncoder:
                 cache[key] = None  # white space meets white space: no safe place to cut
                 continue
             core, tail = key, b""
-            if len(key) > 2 and key[-1] in self.marks and key[-2].isalpha() and key[-2] < "\u0250":
-                core, tail = key[:-1], self.marks[key[-1]]
+            if self.splits_marks and not key[-1].isalnum() and (marked := _MARKED.fullmatch(key)):
+                core, tail = marked[1], self._tail(marked[2])
             if self.lowers and core.isascii():
                 core = core.lower()
             if core is not key:

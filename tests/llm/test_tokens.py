@@ -27,7 +27,7 @@ WHOLE = {path: Tokenizer.from_file(path) for path in (JSON, WORDS)}
 TIKTOKEN = tiktoken.Encoding(
     "t", pat_str=PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}, special_tokens={}
 )
-PIECES = st.lists(st.sampled_from(["the", "Été", "don't", " ", "  ", "\n", "\n\n", "\t", "\x85", "\x1c", " ", "á", "́", "Σ", "12", "##", "\x00", ".", "日本", "<|endoftext|>", "<|ENDofTEXT|>", "<|startoftext|>", "|", "The", "WORD,", "x" * 120, ","]))
+PIECES = st.lists(st.sampled_from(["the", "Été", "don't", " ", "  ", "\n", "\n\n", "\t", "\x85", "\x1c", " ", "á", "́", "Σ", "12", "##", "\x00", ".", "日本", "<|endoftext|>", "<|ENDofTEXT|>", "<|startoftext|>", "|", "The", "WORD,", "x" * 120, ",", "***", "It's", "),", "_", "@x", "`"]))
 
 
 @pytest.mark.parametrize("path", [JSON, WORDS])
@@ -53,6 +53,16 @@ def test_rank_code_round_trip(values):
     assert token_files.decode_ranks(np.frombuffer(control, np.uint8), np.frombuffer(data, np.uint8), len(values)).tolist() == values
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 2**32 - 1), max_size=9), max_size=8))
+def test_rank_code_of_many(documents):
+    counts = np.array([len(d) for d in documents], np.int64)
+    control, data = token_files.encode_all(np.array([x for d in documents for x in d], "<u4"), counts)
+    assert list(zip(control, data, strict=True)) == [token_files.encode_ranks(np.array(d, "<u4")) for d in documents]
+    joined = [np.frombuffer(b"".join(parts), np.uint8) for parts in (control, data)]
+    assert token_files.decode_all(*joined, counts).tolist() == [x for d in documents for x in d]
+
+
 def ids_of(path, text, end):
     return np.array([*WHOLE[path].encode(text or "", add_special_tokens=False).ids, end], "<u4")
 
@@ -189,7 +199,7 @@ def test_units_of_real_texts(documents):
     texts = [r["text"] or "" for r in documents.collect()]
     for path in (JSON, WORDS):
         own = UnitEncoder(path)
-        assert own.separators and own.marks
+        assert own.separators and own.splits_marks
         assert [np.frombuffer(v, own.dtype).tolist() for v in own.encode(texts)] == [e.ids for e in WHOLE[path].encode_batch(texts, add_special_tokens=False)]
 
 
