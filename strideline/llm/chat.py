@@ -110,8 +110,46 @@ def learnt_text(formatted: Column, mask: Column) -> Column:
     return F.array_join(parts, "")
 
 
-def log_of_turns(conversations: DataFrame) -> DataFrame:
-    """Whole turns as a log: the rows of a conversation by turn, ties by role and text, each its own message."""
+#: Parts a streamed text is logged in at most.
+DELTAS = 8
+
+
+def numbered(conversations: DataFrame) -> DataFrame:
+    """The rows of a conversation by turn, ties by role and text, each its own message."""
     rows = conversations.select("conv_id", "turn", F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     number = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("long")
-    return rows.select("conv_id", number.alias("seq"), F.lit("message").alias("kind"), number.alias("message"), "role", "text")
+    return rows.select("conv_id", number.alias("message"), "role", "text")
+
+
+def log_of_turns(conversations: DataFrame) -> DataFrame:
+    """A log that folds back to the turns of ``conversations`` (``conv_id``, ``turn``, ``role``, ``text``).
+
+    By a hash of conversation and number a turn is logged as a whole message; as streamed deltas; as a draft, an
+    early message after it and an edit of the draft, which takes the early message back; or as a draft that went on
+    for a while, a regeneration, and deltas. Rows are in no order; ``seq`` tells it. Null texts become empty
+    messages, a null role is never given.
+    """
+    turns = numbered(conversations).withColumn("whole", F.coalesce("text", F.lit("")))
+    size = F.greatest(F.lit(1), F.ceil(F.length("whole") / DELTAS)).cast("int")
+    pieces = F.transform(F.sequence(F.lit(0), F.lit(DELTAS - 1)), lambda i: F.substring(F.col("whole"), i * size + 1, size))
+    pieces = F.filter(pieces, lambda p: F.length(p) > 0)
+
+    def event(place: Column | int, kind: str, text: Column, role: Column | None = None, later: int = 0) -> Column:
+        return F.struct(
+            (F.lit(place) if isinstance(place, int) else place).cast("long").alias("place"),
+            F.lit(kind).alias("kind"),
+            (F.col("message") + later).alias("message"),
+            (F.lit(None) if role is None else role).cast("string").alias("role"),
+            text.cast("string").alias("text"),
+        )
+
+    role, whole = F.col("role"), F.col("whole")
+    deltas = F.transform(pieces, lambda p, i: event(i + 10, "delta", p))
+    streamed = F.concat(F.array(event(0, "delta", F.lit(""), role)), deltas)
+    draft = event(0, "message", F.concat(F.lit("draft of "), whole), role)
+    edited = F.array(draft, event(1, "message", F.lit("an early answer"), F.lit("assistant"), 1), event(2, "edit", whole))
+    again = F.concat(F.array(draft, event(1, "delta", F.lit(" and more")), event(2, "regenerate", F.lit(""))), deltas)
+    way = F.pmod(F.xxhash64("conv_id", "message"), F.lit(4))
+    events = F.when(way == 0, F.array(event(0, "message", F.col("text"), role))).when(way == 1, streamed).when(way == 2, edited).otherwise(again)
+    logged = turns.select("conv_id", F.col("message").alias("turn"), F.explode(events).alias("e"))
+    return logged.select("conv_id", (F.col("turn") * 1_000 + F.col("e.place")).alias("seq"), "e.kind", "e.message", "e.role", "e.text")

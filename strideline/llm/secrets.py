@@ -89,24 +89,45 @@ def score(value: Column, model: list[float]) -> Column:
     return walk["sum"] / F.length(value)
 
 
-def _located(text: Column, pattern: str, kind: str, value_group: int = 0) -> Column:
-    """Matches as an array of (start, kind number, end, value), in code points; empty if there are none."""
-    number = KINDS.index(kind)
+def _found(text: Column, pattern: str, value_group: int = 0) -> Column:
+    """Matches as an array of (gap, match, value), the gap being the text before a match; empty if there are none."""
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group)) if value_group else matches
-    # What lies between the matches gives their places.
     zipped = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), matches.alias("match"), values.alias("value"))
-    kept = F.filter(zipped, lambda x: x["match"].isNotNull())
-    none = F.array().cast("array<struct<start:int,number:int,end:int,value:string>>")
-    first = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    none = F.array().cast("array<struct<gap:string,match:string,value:string>>")
+    return F.when(text.rlike(pattern), F.filter(zipped, lambda x: x["match"].isNotNull())).otherwise(none)
+
+
+#: Matches whose places are added up at a time: an array that grows by appending is copied each time.
+_BLOCK = 128
+_PLACE = "array<struct<start:int,number:int,end:int,value:string>>"
+
+
+def _located(found: Column, kind: str) -> Column:
+    """(start, kind number, end, value) in code points, from a stored column of :func:`_found`.
+
+    What lies between the matches gives their places: running sums, for blocks of matches first and then inside
+    each block.
+    """
+    number = KINDS.index(kind)
+    count = F.size(found)
+    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(count - 1, F.lit(0)) / _BLOCK).cast("int")), lambda b: F.slice(found, (b * _BLOCK + 1).cast("int"), F.lit(_BLOCK)))
+    sized = F.transform(blocks, lambda xs: F.struct(xs.alias("xs"), F.aggregate(xs, F.lit(0), lambda n, x: n + F.length(x["gap"]) + F.length(x["match"])).alias("size")))
+
+    def inside(xs: Column, begin: Column) -> Column:
+        first = F.struct(begin.alias("at"), F.array().cast(_PLACE).alias("out"))
+
+        def step(s: Column, x: Column) -> Column:
+            start = s["at"] + F.length(x["gap"])
+            end = start + F.length(x["match"])
+            one = F.struct(start.alias("start"), F.lit(number).alias("number"), end.alias("end"), x["value"].alias("value"))
+            return F.struct(end.alias("at"), F.concat(s["out"], F.array(one)).alias("out"))
 
-    def step(s: Column, x: Column) -> Column:
-        start = s["at"] + F.length(x["gap"])
-        end = start + F.length(x["match"])
-        one = F.struct(start.alias("start"), F.lit(number).alias("number"), end.alias("end"), x["value"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(s["out"], F.array(one)).alias("out"))
+        return F.aggregate(xs, first, step)["out"]
 
-    return F.when(text.rlike(pattern), F.aggregate(kept, first, step)["out"]).otherwise(none)
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_PLACE}>").alias("out"))
+    walked = F.aggregate(sized, start, lambda s, b: F.struct((s["at"] + b["size"]).alias("at"), F.concat(s["out"], F.array(inside(b["xs"], s["at"]))).alias("out")))
+    return F.when(count > 0, F.flatten(walked["out"])).otherwise(F.array().cast(_PLACE))
 
 
 def scan(docs: DataFrame, model: list[float], *, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -117,8 +138,10 @@ def scan(docs: DataFrame, model: list[float], *, key: str = "doc_id", text: str
     """
     t = F.col("_t")
     frame = docs.select(F.col(key).alias(key), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_t"))
-    frame = frame.withColumn("_assign", _located(t, ASSIGN, "assign", 2)).withColumn("_access", _located(t, ACCESS, "access"))
-    frame = frame.withColumn("_hex", _located(t, HEX, "hex")).withColumn("_long", _located(t, CANDIDATE, "markov"))
+    patterns = {"assign": (ASSIGN, 2), "access": (ACCESS, 0), "hex": (HEX, 0), "markov": (CANDIDATE, 0)}
+    frame = frame.withColumns({f"_found_{kind}": _found(t, *pattern) for kind, pattern in patterns.items()})
+    placed = {"assign": "_assign", "access": "_access", "hex": "_hex", "markov": "_long"}
+    frame = frame.withColumns({name: _located(F.col(f"_found_{kind}"), kind) for kind, name in placed.items()})
     base = F.concat(F.filter("_assign", lambda x: F.length(x["value"]) >= MIN_ASSIGNED), F.col("_access"), F.col("_hex"))
     frame = frame.withColumn("_base", base)
     free = F.filter("_long", lambda x: ~F.exists("_base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))

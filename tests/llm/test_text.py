@@ -349,3 +349,47 @@ def test_long_runs_take_no_longer(run, tail):
     began = time.process_time()
     pii.spans(text)
     assert time.process_time() - began < 12  # where every character passes the transducers; a scan from each would take minutes
+
+
+def brute_score(value, model):
+    codes = [secrets.ALPHABET.index(c) + 1 for c in value]
+    return sum(model[a * secrets.STATES + b] for a, b in zip([0, *codes], codes, strict=False)) / len(value)
+
+
+def test_secret_model_and_spans_by_definition(spark, model):
+    rng = random.Random(11)
+    words = ["config", "production", "credential", "client", "handler", "index_of", "value"]
+    texts = []
+    for i in range(150):
+        made = random_string(rng, rng.randint(18, 60))
+        path = "/".join(rng.choice(words) for _ in range(rng.randint(1, 5)))
+        form = [f"see {made} here", f"/{path}/{made}", f"{path}={made}", f"token={made}/{made[::-1]}", f"é😀 {path}_{path} {made[:19]}", f"{made}\n{made} {path * 3}"]
+        texts.append(form[i % len(form)])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    counted = {"markov": 0, "near": 0}
+    for r in secrets.scan(docs, model).collect():
+        text = texts[r["doc_id"]]
+        base = base_secrets(text)
+        expected = []
+        for m in re.finditer(secrets.CANDIDATE, text):
+            # A run that touches a base span is that span's, whatever else it holds.
+            if not any(s < m.end() and m.start() < e for s, _, e in base):
+                value = brute_score(m[0], model)
+                if abs(value - secrets.THRESHOLD) < 1e-4:
+                    counted["near"] += 1  # the scan's table has six decimals
+                elif value >= secrets.THRESHOLD:
+                    expected.append((m.start(), "markov", m.end()))
+        got = [tuple(s) for s in r["spans"]]
+        assert [s for s in got if s[1] != "markov"] == base and sorted(s for s in got if s[1] == "markov") == expected
+        counted["markov"] += len(expected)
+    assert counted["markov"] > 100 and counted["near"] < 5
+
+
+def test_secrets_of_a_long_text_take_linear_time(spark, model):
+    import time
+
+    text = " ".join(f"ordinary_identifier_of_number_{i}" for i in range(30_000)) + " " + random_string(random.Random(1), 40)
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.monotonic()
+    (row,) = secrets.scan(docs, model).collect()
+    assert row["spans"][-1]["end"] == len(text) and time.monotonic() - began < 60
