@@ -123,6 +123,22 @@ def check_rows(rows: DataFrame, mapping: ColumnMapping) -> DataFrame:
     )
 
 
+def time_report(rows: DataFrame, mapping: ColumnMapping, now: datetime | None = None) -> DataFrame:
+    """One row: ``rows``, and how many have an empty time, one that cannot be read, or one more than a day past
+    ``now`` (0 without it). The last two are left out by :func:`map_events`; all others stay or raise."""
+    raw = F.col(mapping.event_time)
+    text = raw.cast("string")
+    blank = text.isNull() | (F.trim(text) == "")
+    read = typed(raw, rows.schema[mapping.event_time].dataType, "TIMESTAMP")
+    late = F.lit(False) if now is None else F.coalesce(read > as_instant(now + timedelta(days=1)), F.lit(False))
+    return rows.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(blank).alias("empty_times"),
+        F.count_if(~blank & read.isNull()).alias("unreadable_times"),
+        F.count_if(late).alias("future_times"),
+    )
+
+
 def map_events(rows: DataFrame, mapping: ColumnMapping, now: datetime | None = None, check: bool = True) -> DataFrame:
     """The canonical table, one row per source row.
 

@@ -362,11 +362,12 @@ def user_values(base: ImpactBase) -> DataFrame:
     return values
 
 
-def significance(base: ImpactBase) -> DataFrame:
+def significance(base: ImpactBase, min_sample: int = MIN_SAMPLE, tolerance: float = MEAN_TOLERANCE) -> DataFrame:
     """``(cohort_id, metric_key, test, p_value, significant, skip_reason)`` per variant.
 
     Rank tests use all users: only distinct values and their counts are ordered, so
-    there is nothing to sample.
+    there is nothing to sample. ``p_value`` is NULL where there is a reason to skip it: under ``min_sample`` users
+    (1 tests all), or means within ``tolerance`` (0: equal ones only).
     """
     spec = base.spec
     variants = F.array(*[F.lit(v) for v in spec.variants])
@@ -378,7 +379,7 @@ def significance(base: ImpactBase) -> DataFrame:
     p_z = two_proportion_p(F.col("x_b"), F.col("n_b"), F.col("x"), F.col("n"))
     reason = (
         F.when((F.col("n_b") == 0) | (F.col("n") == 0), "insufficient_data")
-        .when((F.col("n_b") < MIN_SAMPLE) | (F.col("n") < MIN_SAMPLE), "low_sample")
+        .when((F.col("n_b") < min_sample) | (F.col("n") < min_sample), "low_sample")
         .when(F.col("x_b") / F.when(F.col("n_b") > 0, F.col("n_b")) == F.col("x") / F.when(F.col("n") > 0, F.col("n")), "no_difference")
     )
     z_rows = tested.select("cohort_id", "metric_key", F.lit(Z_TEST).alias("test"), p_z.alias("_p"), reason.alias("skip_reason"))
@@ -400,10 +401,10 @@ def significance(base: ImpactBase) -> DataFrame:
     joined = all_pairs.join(sums, ["variant", "metric_key"], "left").join(means, ["variant", "metric_key"], "left").na.fill(0, ["n_a", "n_b"])
     p_rank = mann_whitney_p(F.col("n_a"), F.col("n_b"), F.col("rank_sum_a"), F.col("tie_term"))
     rank_reason = (
-        F.when((F.col("metric_key") == "ctr") & ((F.col("_eb") < MIN_SAMPLE) | (F.col("_ev") < MIN_SAMPLE)), "low_sample")
+        F.when((F.col("metric_key") == "ctr") & ((F.col("_eb") < min_sample) | (F.col("_ev") < min_sample)), "low_sample")
         .when((F.col("n_a") == 0) | (F.col("n_b") == 0), "insufficient_data")
-        .when((F.col("n_a") < MIN_SAMPLE) | (F.col("n_b") < MIN_SAMPLE), "low_sample")
-        .when(F.abs(F.col("_mean_b") - F.col("_mean_v")) < MEAN_TOLERANCE, "no_difference")
+        .when((F.col("n_a") < min_sample) | (F.col("n_b") < min_sample), "low_sample")
+        .when(F.abs(F.col("_mean_b") - F.col("_mean_v")) <= tolerance, "no_difference")
     )
     rank_rows = joined.select(
         F.col("variant").alias("cohort_id"), "metric_key", F.lit(RANK_TEST).alias("test"), p_rank.alias("_p"), rank_reason.alias("skip_reason")

@@ -49,6 +49,16 @@ aggregate(
 """
 
 
+def fit_report(curves: DataFrame, value: str, day: str = "bucket", key: str = "cohort_id") -> DataFrame:
+    """:func:`fit_power_law` with a row for every key of ``curves``: those with fewer than two usable points have
+    NULLs, the number of ``points`` they do have, and ``fitted`` false."""
+    usable = F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")) & (F.col(day) >= 0)
+    held = curves.groupBy(key).agg(F.count_if(usable).alias("_points"))
+    fitted = fit_power_law(curves, value, day, key).withColumn("_fitted", F.lit(True))
+    joined = held.join(fitted, key, "left")
+    return joined.withColumn("points", F.col("_points")).withColumn("fitted", F.coalesce("_fitted", F.lit(False))).drop("_points", "_fitted")
+
+
 def fit_power_law(curves: DataFrame, value: str, day: str = "bucket", key: str = "cohort_id") -> DataFrame:
     """``(key, a, b, residual_variance, points, last_day)`` minimising squared error.
 

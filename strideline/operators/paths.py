@@ -72,10 +72,10 @@ def _one_decimal(column: Column) -> Column:
     return F.bround(column.cast("double"), 1)
 
 
-def path_conversion(trails: DataFrame, members: DataFrame, steps: Sequence[PathStep]) -> DataFrame:
+def path_conversion(trails: DataFrame, members: DataFrame, steps: Sequence[PathStep], percentile_floor: int = PERCENTILE_FLOOR) -> DataFrame:
     """Users, conversion, drop-off and step times for every cohort and step.
 
-    Percentiles need at least 50 users at the step.
+    Percentiles are NULL below ``percentile_floor`` users at the step; 1 shows all.
     """
     reached = stage(reached_steps(trails))
     counts = reached.groupBy("cohort_id", "step").agg(F.count(F.lit(1)).alias("users"), F.avg("seconds").alias("mean_seconds"))
@@ -89,7 +89,7 @@ def path_conversion(trails: DataFrame, members: DataFrame, steps: Sequence[PathS
     before = F.lag("users").over(Window.partitionBy("cohort_id").orderBy("step"))
     drop = F.when(before > 0, (before - F.col("users")) * 100.0 / before).when(before.isNotNull(), 0.0)
     label = F.element_at(F.array(*[F.lit(step.label) for step in steps]), F.col("step"))
-    many = F.col("users") >= PERCENTILE_FLOOR
+    many = F.col("users") >= percentile_floor
     return frame.withColumn("_drop", drop).select(
         "cohort_id",
         "step",
@@ -139,12 +139,13 @@ def path_insights(conversion: DataFrame) -> DataFrame:
     return conversion.select("cohort_id", "step", F.explode(found).alias("_i")).select("cohort_id", "step", "_i.insight", "_i.amount")
 
 
-def cohort_gaps(conversion: DataFrame) -> DataFrame:
-    """Steps where two of the three largest cohorts differ by over ten points."""
-    largest = (
-        conversion.where(F.col("step") == 1).orderBy(F.col("size").desc(), "cohort_id").limit(COMPARED_COHORTS).select("cohort_id")
-    )
-    rows = conversion.join(largest, "cohort_id", "left_semi").select("cohort_id", "step", "conversion_pct")
+def cohort_gaps(conversion: DataFrame, compared: int | None = COMPARED_COHORTS) -> DataFrame:
+    """Steps where two of the ``compared`` largest cohorts (all of them for None) differ by over ten points."""
+    rows = conversion
+    if compared is not None:
+        largest = conversion.where(F.col("step") == 1).orderBy(F.col("size").desc(), "cohort_id").limit(compared).select("cohort_id")
+        rows = conversion.join(largest, "cohort_id", "left_semi")
+    rows = rows.select("cohort_id", "step", "conversion_pct")
     left = rows.select("step", F.col("cohort_id").alias("_a"), F.col("conversion_pct").alias("_pa"))
     right = rows.select("step", F.col("cohort_id").alias("_b"), F.col("conversion_pct").alias("_pb"))
     pairs = left.join(right, "step").where(F.col("_a") < F.col("_b"))

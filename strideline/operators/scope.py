@@ -13,6 +13,7 @@ from strideline.specs import Filter, SpecError
 
 # Identifier columns that are listed rather than ranked.
 HIGH_CARDINALITY = ("user_id", "device_id", "anonymous_id", "session_id")
+#: Values a report lists if nothing else is said; ``limit=None`` lists all.
 MAX_VALUES = 100
 
 
@@ -46,14 +47,17 @@ def _candidates(events: DataFrame, column: str, event_name: str | None, search:
     return rows
 
 
-def _value_limit(limit: int) -> int:
-    if not 1 <= limit <= MAX_VALUES:
-        raise SpecError(f"the limit is 1 to {MAX_VALUES}")
-    return limit
+def _limited(values: DataFrame, limit: int | None) -> DataFrame:
+    """The first rows of a report, or all of them for no limit."""
+    if limit is None:
+        return values
+    if limit < 1:
+        raise SpecError("the limit is at least 1")
+    return values.limit(limit)
 
 
 def column_values(
-    events: DataFrame, column: str, event_name: str | None = None, search: str | None = None, limit: int = MAX_VALUES
+    events: DataFrame, column: str, event_name: str | None = None, search: str | None = None, limit: int | None = MAX_VALUES
 ) -> DataFrame:
     """The most frequent values by event count, ties by value, as a top-k report.
 
@@ -61,26 +65,26 @@ def column_values(
     """
     if column.lower() in HIGH_CARDINALITY:
         return distinct_values(events, column, event_name, search, limit)
-    return (
+    values = (
         _candidates(events, column, event_name, search)
         .groupBy(F.col(column).alias("value"))
         .agg(F.sum("event_count").alias("frequency"))
         .orderBy(F.col("frequency").desc(), F.col("value").asc())
-        .limit(_value_limit(limit))
     )
+    return _limited(values, limit)
 
 
 def distinct_values(
-    events: DataFrame, column: str, event_name: str | None = None, search: str | None = None, limit: int = MAX_VALUES
+    events: DataFrame, column: str, event_name: str | None = None, search: str | None = None, limit: int | None = MAX_VALUES
 ) -> DataFrame:
     """The first distinct values, without ranking them."""
-    return (
+    values = (
         _candidates(events, column, event_name, search)
         .select(F.col(column).alias("value"))
         .distinct()
         .orderBy("value")
-        .limit(_value_limit(limit))
     )
+    return _limited(values, limit)
 
 
 def count_values(events: DataFrame, column: str, event_name: str | None = None, search: str | None = None) -> DataFrame:
@@ -97,12 +101,12 @@ def list_events(events: DataFrame) -> DataFrame:
     return events.where(F.col("event_name").isNotNull()).select("event_name").distinct().orderBy("event_name")
 
 
-def event_property_values(events: DataFrame, event_name: str, column: str, limit: int = 25) -> DataFrame:
+def event_property_values(events: DataFrame, event_name: str, column: str, limit: int | None = 25) -> DataFrame:
     """Values of a property on one event by number of rows, ties by value."""
-    return (
+    values = (
         events.where((F.col("event_name") == event_name) & F.col(column).isNotNull())
         .groupBy(F.col(column).cast("string").alias("value"))
         .agg(F.count(F.lit(1)).alias("rows"))
         .orderBy(F.col("rows").desc(), F.col("value").asc())
-        .limit(_value_limit(limit))
     )
+    return _limited(values, limit)

@@ -123,6 +123,30 @@ def map_events(spark, sf):
     return mapped.select("user_id", "event_name", "event_time", "priority", *evs.METRICS, "row_id")
 
 
+@query(
+    "time_report",
+    "rows:i empty_times:i unreadable_times:i future_times:i",
+    """SELECT COUNT(*) AS rows, COUNT(*) FILTER (event_id % 7 = 0) AS empty_times, COUNT(*) FILTER (event_id % 7 = 1) AS unreadable_times,
+       COUNT(*) FILTER (event_id % 7 > 1 AND ts > TIMESTAMP '2024-01-21 00:00:00') AS future_times FROM events""",
+)
+def time_report(spark, sf):
+    text = F.when(F.col("event_id") % 7 == 0, F.lit("  ")).when(F.col("event_id") % 7 == 1, F.lit("soon")).otherwise(F.col("ts").cast("string"))
+    raw = spark.read.parquet(f"{sf}/events.parquet").withColumn("at", text)
+    return evs.time_report(raw, evs.ColumnMapping("user_id", "event_type", "at"), datetime(2024, 1, 20))
+
+
+@query(
+    "column_values_all",
+    "value:s frequency:d",
+    "SELECT CAST(user_id AS VARCHAR) || '-' || event_name AS value, SUM(event_count) AS frequency FROM ev GROUP BY 1",
+    EV,
+)
+def column_values_all(spark, sf):
+    """All values of a column with hundreds."""
+    rows = events(spark, sf).withColumn("pair", F.concat_ws("-", "user_id", "event_name"))
+    return scope.column_values(rows, "pair", limit=None)
+
+
 @query(
     "check_rows",
     "rows:i empty_times:i bad_counts:i",
