@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -127,13 +128,25 @@ def tokenize(docs: DataFrame, tokenizer_file: str, end_id: int, *, key: str = "d
     return docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary")
 
 
+def _runs(column: pa.Array) -> Iterator[list[bytes]]:
+    """Values in runs of about a megabyte: what numpy makes of them is several times as large."""
+    sizes = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64))
+    begin = 0
+    while begin < len(column):
+        before = sizes[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(sizes, before + (1 << 20), "right")))
+        yield column.slice(begin, end - begin).to_pylist()
+        begin = end
+
+
 def frequency_ranks(tokens: DataFrame, dtype: np.dtype, vocabulary: int) -> np.ndarray:
     """The ids by falling frequency, ties to the smaller id. As long as the vocabulary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(vocabulary, np.int64)
         for batch in batches:
-            counts += np.bincount(np.frombuffer(b"".join(batch.column("ids").to_pylist()), dtype), minlength=vocabulary)
+            for values in _runs(batch.column("ids")):
+                counts += np.bincount(np.frombuffer(b"".join(values), dtype), minlength=vocabulary)
         found = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(counts[found])], ["id", "n"])
 
@@ -172,14 +185,18 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_file: str, end_id:
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = batch.column("ids").to_pylist()
-            counts = np.array([len(v) // dtype.itemsize for v in values], np.int64)
-            control, data = encode_all(ranks[np.frombuffer(b"".join(values), dtype)], counts)
+            control, data, sizes = [], [], []
+            for values in _runs(batch.column("ids")):
+                counts = np.array([len(v) // dtype.itemsize for v in values], np.int64)
+                some = encode_all(ranks[np.frombuffer(b"".join(values), dtype)], counts)
+                control += some[0]
+                data += some[1]
+                sizes += counts.tolist()
             keys = batch.column("doc_id")
             place = np.searchsorted(bounds, keys.fill_null(0).to_numpy(zero_copy_only=False).astype(np.float64), "right").astype(np.int32)
             place[keys.is_null().to_numpy(zero_copy_only=False)] = 0
             yield pa.RecordBatch.from_arrays(
-                [pa.array(place), keys, pa.array(counts), binary(control), binary(data)],
+                [pa.array(place), keys, pa.array(sizes, pa.int64()), binary(control), binary(data)],
                 ["bucket", "doc_id", "n", "control", "data"],
             )
 

@@ -17,7 +17,7 @@ from strideline.llm.arrow import held
 
 #: Bytes of units and ids kept per worker, counted with ``ENTRY_BYTES`` for each unit, before the cache starts anew.
 CACHE_BYTES = 300 << 20
-ENTRY_BYTES = 160
+ENTRY_BYTES = 200
 #: Longer units are forgotten with the run of texts they come in.
 LONG_UNIT = 100
 #: Runs of marks whose ids are kept.
