@@ -1,7 +1,7 @@
 """The corpus pipeline: five stages over ``documents``, each written as Parquet and read by the next.
 
-Stages decide by row, not by ``doc_id``: rows without an id and rows that share one are judged each by
-their own text. A stage that joins its decisions back stores the rows with a number of their own first.
+Stages decide by row, not by ``doc_id`` (:mod:`strideline.llm.stages`). What a stage stores for itself is dropped when
+the next one begins, so a stage's result has to be written, or read to its end, before that.
 """
 
 from __future__ import annotations
@@ -9,59 +9,53 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strideline.llm import near_dups, packing, perplexity, pii, quality_rules
-from strideline.operators.staging import stage, staging_path
+from strideline.llm import packing, pii, quality_rules, stages
+from strideline.operators.staging import staging_path
 from strideline.session import configure, importable
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 CAPACITY = 2048
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """The rows, stored with ``row``, a number no other row has."""
-    return stage(docs.select(F.monotonically_increasing_id().alias("row"), *COLUMNS))
-
-
-def _kept(rows: DataFrame, kept: DataFrame) -> DataFrame:
-    return rows.join(kept, "row", "left_semi").select(*COLUMNS)
-
-
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose perplexity their language's threshold allows; a label speaks for all rows of its id."""
+    """Rows whose perplexity their language's threshold allows. Null and empty texts go; rows without an id, rows that
+    share one and repeated rows are judged each by their text; columns besides those of documents are dropped."""
+    stages.release()
     labels = importable(configure(spark)).read.parquet(f"{sf_dir}/labels.parquet")
-    rows = _numbered(docs)
-    own = stage(rows.select("row", "doc_id").join(labels.select("doc_id", "quality"), "doc_id").select(F.col("row").alias("doc_id"), "quality"))
-    judged = perplexity.judge(perplexity.score(rows, own, key="row"), own)
-    return _kept(rows, judged.where("kept").select(F.col("doc_id").alias("row")))
+    return stages.readable(docs, labels, COLUMNS)
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules."""
+    """Rows that pass the quality rules. Null and empty texts have no words and go; every row is judged by its own
+    text, whatever its id; an empty table stays empty."""
+    stages.release()
     configure(spark)
     return quality_rules.kept_rows(quality_rules.apply_rules(quality_rules.measure(docs, keep=COLUMNS))).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near duplicates: of the smallest id, one without an id if none has one."""
+    """One row of each group of near duplicates, of the smallest id; ties and rows without one as in
+    :func:`strideline.llm.stages.one_of_each`."""
+    stages.release()
     importable(configure(spark))
-    rows = _numbered(docs)
-    joined = near_dups.jaccard_join(rows, key="row").select(F.col("doc_id").alias("row"), "class_id")
-    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
-    first = joined.join(rows.select("row", "doc_id"), "row").groupBy("class_id").agg(F.min(order).alias("first"))
-    return _kept(rows, first.select("first.row"))
+    return stages.one_of_each(docs, COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with personal data replaced by its kind."""
+    """All rows, with personal data replaced by its kind and ``n_chars`` counted anew. A null text stays null, with a
+    null ``n_chars``; an empty one stays empty; overlapping finds become one, of the first kind."""
+    stages.release()
     importable(configure(spark))
     masked = pii.find(docs, redact=True, keep=("lang", "source"))
     return masked.select("doc_id", F.col("redacted").alias("text"), "lang", "source", F.length("redacted").cast("long").alias("n_chars"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document lies in the packed sequences."""
+    """Where each piece of each row's text lies in the packed sequences. A null or empty text is one piece of the end
+    id; repeated rows and rows without an id are packed like any other; an empty table gives no pieces."""
     import public_tokenizers
 
+    stages.release()
     importable(configure(spark))
     _, placed = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), 0, CAPACITY)
     return placed.select("doc_id", "piece", "start", "length", F.col("crc32").alias("ids_crc32"), "sequence_id", "offset")
@@ -82,8 +76,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; the result of the last one, as written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for _, function in STAGES:
         path = staging_path(spark)
-        stage(spark, docs, sf_dir).write.parquet(path)
+        function(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+    stages.release()
     return docs
