@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from strideline.functions.predicates import scope_predicate
 from strideline.operators import cohorts as co
 from strideline.operators import events as evs
-from strideline.operators import prefix, revenue, scope, sketches, splits
+from strideline.operators import prefix, revenue, revenue_store, scope, sketches, splits, text_index
 from strideline.operators.staging import stage, staging_path
 from strideline.operators.vectors import OBSERVED_FRACTION, observation_end
 from strideline.plans.base import (
@@ -35,7 +35,7 @@ from strideline.plans.base import (
 )
 from strideline.sources.csv import read_csv_events, with_row_id
 from strideline.sources.export import ResultTable, export_results
-from strideline.specs import Cohort, Condition, Filter
+from strideline.specs import Cohort, Condition, Filter, RevenueRule
 
 # --- ingestion ------------------------------------------------------------------
 
@@ -135,6 +135,18 @@ def time_report(spark, sf):
     return evs.time_report(raw, evs.ColumnMapping("user_id", "event_type", "at"), datetime(2024, 1, 20))
 
 
+@query(
+    "column_values_search_indexed",
+    "value:s frequency:d",
+    "SELECT user_id || '-' || event_name AS value, SUM(event_count) AS frequency FROM ev WHERE user_id || '-' || event_name ILIKE '%1-CLI%' GROUP BY 1",
+    EV,
+)
+def column_values_search_indexed(spark, sf):
+    """A substring search that reads the index of a column's values, not the events."""
+    rows = events(spark, sf).withColumn("pair", F.concat_ws("-", "user_id", "event_name"))
+    return text_index.build(rows, "pair", staging_path(spark), "event_count").column_search("1-cli")
+
+
 @query(
     "column_values_all",
     "value:s frequency:d",
@@ -286,6 +298,20 @@ def revenue_rules_upsert(spark, sf):
     return revenue.upsert_rules(revenue.default_rules(events(spark, sf)), updates)
 
 
+@query(
+    "revenue_partial_recompute",
+    "user_id:s row_id:i event_name:s modified_revenue:d",
+    """SELECT user_id, row_id, event_name, CASE event_name WHEN 'purchase' THEN original_revenue WHEN 'signup' THEN 0.0 WHEN 'click' THEN 1.5 * event_count
+         WHEN 'view' THEN original_revenue ELSE 0.0 END AS modified_revenue FROM ev""",
+    EV,
+)
+def revenue_partial_recompute(spark, sf):
+    """Rows priced and stored by event; then some rules change, and only their events are priced again."""
+    store = revenue_store.save(events(spark, sf), RULES, staging_path(spark))
+    store.upsert([RevenueRule("signup", included=False, override=2.5), RevenueRule("click", override=1.5), RevenueRule("view"), RevenueRule("purchase")])
+    return store.events().select("user_id", "row_id", "event_name", "modified_revenue")
+
+
 # --- scope ----------------------------------------------------------------------
 
 

@@ -6,7 +6,8 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from strideline.operators import timeline
+from strideline.operators import text_index, timeline
+from strideline.operators.staging import staging_path
 from strideline.plans.base import COHORTS, EV, MEMBERS, OD, events, members, orders, query, study
 
 _NOON = datetime(2024, 1, 12, 12)
@@ -24,6 +25,18 @@ def user_search(spark, sf):
     return timeline.search_users(rows, "1", 20, members(rows), 3)
 
 
+@query(
+    "user_search_indexed",
+    "user_id:s",
+    "SELECT DISTINCT user_id FROM ev WHERE user_id ILIKE '%1%' AND user_id IN (SELECT user_id FROM m WHERE cohort_id = 3) ORDER BY 1 LIMIT 20",
+    *MEMBERS,
+)
+def user_search_indexed(spark, sf):
+    rows = events(spark, sf)
+    index = text_index.build(rows, "user_id", staging_path(spark))
+    return text_index.search_users(index, "1", 20, members(rows), 3)
+
+
 @query(
     "user_summary",
     "user_id:s first_event_time:t last_event_time:t total_events:i priority:s",
