@@ -42,6 +42,8 @@ FOLDS = 4
 BROADCAST_IDS = 2_000_000
 #: Bytes of text a chunk holds about (and at least one document).
 CHUNK_BYTES = 24 << 20
+#: Bytes of text whose n-grams are held at once.
+RUN_BYTES = 2 << 20
 #: Text a shard of the model stands for about, the fewest and the most shards.
 SHARD_BYTES = 256 << 20
 SHARDS = (32, 4_096)
@@ -171,11 +173,23 @@ def _utf8(table: pa.Table) -> list[bytes]:
     return table["text"].cast(pa.binary()).fill_null(b"").to_pylist()
 
 
+def _runs(texts: list[bytes]) -> Iterator[slice]:
+    """Runs of about ``RUN_BYTES``, one text at least: what numpy makes of a byte takes some dozens."""
+    begin = size = 0
+    for at, text in enumerate(texts):
+        if size and size + len(text) > RUN_BYTES:
+            yield slice(begin, at)
+            begin, size = at, 0
+        size += len(text)
+    if begin < len(texts):
+        yield slice(begin, len(texts))
+
+
 def _distinct(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The different n-grams of some texts, and how often each occurs."""
     keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for begin in range(0, len(texts), 1000):
-        found, n = np.unique(ngrams(texts[begin : begin + 1000])[0], return_counts=True)
+    for run in _runs(texts):
+        found, n = np.unique(ngrams(texts[run])[0], return_counts=True)
         keys.append(found)
         counts.append(n)
     both, at = np.unique(np.concatenate(keys), return_inverse=True)
@@ -388,18 +402,26 @@ def score(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
         out = []
         for body in left["rows"].to_pylist():
             table = pa.ipc.open_stream(body).read_all()
-            grams, sizes = ngrams(_utf8(table))
-            at = np.searchsorted(known, grams)
-            if (known[at] != grams).any():
-                raise RuntimeError("the documents came in other tasks than before: store them first")
-            fold = np.repeat(table["fold"].to_numpy(), sizes)
-            some = sizes > 0
-            means = []
-            for each in (logs[0][at], np.choose(fold, [values[at] for values in logs[1:]])):
-                sums = np.zeros(len(sizes))
+            texts, folds, means = _utf8(table), table["fold"].to_numpy(), []
+            for run in _runs(texts):
+                grams, sizes = ngrams(texts[run])
+                at = np.searchsorted(known, grams)
+                if (known[at] != grams).any():
+                    raise RuntimeError("the documents came in other tasks than before: store them first")
+                # A held-out probability comes from the model without the text's own fold.
+                begins, some = np.cumsum(sizes) - sizes, sizes > 0
+                held_out = np.empty(len(grams), np.float32)
+                fold = np.repeat(folds[run].astype(np.int8), sizes)
+                for number in range(FOLDS):
+                    mine = fold == number
+                    held_out[mine] = logs[number + 1][at[mine]]
+                own = np.zeros((2, len(sizes)))
                 if some.any():
-                    sums[some] = np.add.reduceat(each.astype(float), (np.cumsum(sizes) - sizes)[some])
-                means.append(pa.array(np.where(some, sums / np.maximum(sizes, 1), 0.0), mask=~some))
+                    for row, each in enumerate((logs[0][at], held_out)):
+                        own[row, some] = np.add.reduceat(each.astype(float), begins[some])
+                means.append(np.where(some, own / np.maximum(sizes, 1), np.nan))
+            sizes = np.array([len(t) for t in texts], np.int64)
+            means = [pa.array(values, from_pandas=True) for values in (np.concatenate(means, 1) if means else np.zeros((2, 0)))]
             out.append(pa.table({"doc_id": table["key"], "lang": table["lang"], "n_bytes": sizes, "log_perplexity": means[0], "held_out": means[1]}))
         types = (("doc_id", pa.int64()), ("lang", pa.string()), ("n_bytes", pa.int64()), ("log_perplexity", pa.float64()), ("held_out", pa.float64()))
         return pa.concat_tables(out) if out else pa.table({n: pa.array([], t) for n, t in types})

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from array import array
+from itertools import filterfalse
 
 import numpy as np
 
@@ -161,6 +162,7 @@ class UnitEncoder:
             self.held = 0
         split, slow, whole, fresh = [], [], [], set()
         cache = self.cache
+        known = cache.__contains__
         for number, text in enumerate(texts):
             low = text.lower()
             if any(token in low for token in self.added):
@@ -171,12 +173,12 @@ class UnitEncoder:
             parts = text.replace("\n", " \n").split(" ")
             parts[0] = _FIRST + parts[0]
             split.append(parts)
-            fresh.update(parts)
-        long = self._learn(fresh.difference(cache))
+            fresh.update(filterfalse(known, parts))
+        long = self._learn(fresh)
         out: list[bytes] = []
         for number, parts in enumerate(split):
             try:
-                out.append(b"".join([cache[p] for p in parts]))  # type: ignore[misc]
+                out.append(b"".join(map(cache.__getitem__, parts)))  # type: ignore[arg-type]
             except TypeError:
                 slow.append(number)
                 out.append(b"")
