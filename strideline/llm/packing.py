@@ -214,7 +214,7 @@ def cut(docs: DataFrame, tokenizer_file: str, end_id: int, capacity: int, *, key
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         names = ["doc_id", "piece", "start", "length", "part", "local", "ids"]
         for batch in batches:
-            for begin, texts in texts_of(batch, "text"):
+            for begin, texts in texts_of(batch, "text", 8 << 20):
                 keys, rows = batch.column("key").slice(begin, len(texts)), []
                 for at, value in enumerate(own.encode(texts)):
                     ids = np.append(np.frombuffer(value, own.dtype).astype("<u4"), np.uint32(end_id))

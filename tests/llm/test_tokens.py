@@ -212,3 +212,24 @@ def test_the_cache_is_bounded_in_bytes(monkeypatch):
         own.encode([f"w{i} " + " ".join(f"u{i}x{j}" for j in range(20)) + " " + "z" * 5_000])
         assert own.held <= 30_000 and all(len(k) <= units.LONG_UNIT for k in own.cache)
         assert own.held == sum(len(k) + len(v or b"") + units.ENTRY_BYTES for k, v in own.cache.items())
+
+
+def many_units(n):
+    return ["The " + " ".join(f"wörd{i:x}," if i % 3 else f"word{i:x}" for i in range(begin, begin + 200)) for begin in range(0, n, 200)]
+
+
+@pytest.mark.parametrize("path", [JSON, WORDS])
+def test_kept_units_take_few_bytes(path):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    own = UnitEncoder(path)
+    own.encode(many_units(200))
+    texts, n = many_units(20_000), 20_000
+    arrow = pa.total_allocated_bytes()
+    tracemalloc.start()
+    own.encode(texts)
+    kept = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - arrow
+    tracemalloc.stop()
+    assert len(own.cache) > 0.9 * n and kept < 80 * n
