@@ -43,6 +43,9 @@ UNIT_QUERIES = 10_000
 SHARD_ROWS = 40_000
 #: Split units that are broadcast at most; beyond it they are joined by shuffle.
 BROADCAST_UNITS = 100_000
+#: Rows that could be compared in the time a probe takes to be stored, counted, joined and shuffled (measured on vectors
+#: of 64 components: 31 to 47 ns a row, over 15 microseconds a probe).
+PROBE_ROWS = 300
 #: Queries that are compared with all rows at once where hashing found too few.
 EXACT_QUERIES = 4_096
 
@@ -252,7 +255,10 @@ def fit(vectors: DataFrame, queries: DataFrame, k: int, *, tables: int = TABLES,
     # About a bucket in 2.6 a function is in use; from 16 rows a bucket on, ever coarser ones.
     finest = int(np.clip(round(np.log2(max(total, 2) / 16) / 1.37), 2, 24))
     best = None
-    for width in range(finest, max(1, finest - 6), -1):
+    for width in range(finest, 1, -1):
+        # Coarser still only while that helps.
+        if width < finest - 5 and best is not None and not best[0] and best[2].width > width + 1:
+            break
         hashes = Hashes.draw(asked.shape[1], width, tables, longest, seed)
         sets = crossings(width, MAX_PROBES)
         hashes = replace(hashes, probes=tables * len(sets))
@@ -279,7 +285,7 @@ def fit(vectors: DataFrame, queries: DataFrame, k: int, *, tables: int = TABLES,
         enough = np.flatnonzero(share >= target)
         probes = int(enough[0]) + 1 if len(enough) else len(visited)
         # Rows compared, and the cost of a probe itself as so many rows.
-        work = visited[:probes].sum() / len(asked) / len(sample) * total + 8 * probes
+        work = visited[:probes].sum() / len(asked) / len(sample) * total + PROBE_ROWS * probes
         choice = (not len(enough), -share[probes - 1] if not len(enough) else work, replace(hashes, probes=probes), sets)
         if best is None or choice[:2] < best[:2]:
             best = choice

@@ -241,3 +241,19 @@ def test_schema(spark, clustered):
     vectors = ann.usable(frame_of(spark, clustered[:30]))
     types = dict(ann.nearest(vectors, vectors.where(F.col("vec_id") == 3), 2).dtypes)
     assert types == {"query_id": "bigint", "rank": "int", "vec_id": "bigint", "score": "double"}
+
+
+def test_probes_are_weighed_against_comparisons(spark):
+    random = np.random.default_rng(3)
+    rows = [(i, v.tolist()) for i, v in enumerate(random.normal(size=(6_000, 64)))]
+    vectors = ann.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    hashes, sets = ann.fit(vectors, vectors.where("vec_id % 20 = 0"), 20)
+    # Far vectors: a query sees most rows whatever the setting, so a probe is worth more than a few rows.
+    assert hashes.probes <= 64
+    found = ann.search(vectors, vectors.where("vec_id % 20 = 0"), hashes, sets, 20).collect()
+    x = np.array([v for _, v in rows])
+    asked = np.arange(0, 6_000, 20)
+    scores = x[asked] @ x.T
+    scores[np.arange(len(asked)), asked] = -np.inf
+    true = {(int(q), int(i)) for q, best in zip(asked, np.argsort(-scores, 1)[:, :20], strict=True) for i in best}
+    assert len(true & {(r["query_id"], r["vec_id"]) for r in found}) >= 0.9 * len(true)
