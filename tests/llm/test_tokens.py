@@ -233,3 +233,15 @@ def test_kept_units_take_few_bytes(path):
     kept = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - arrow
     tracemalloc.stop()
     assert len(own.cache) > 0.9 * n and kept < 80 * n
+
+
+@pytest.mark.parametrize("path", [JSON, WORDS])
+def test_new_units_are_handled_many_at_a_time(path):
+    import cProfile
+    import pstats
+
+    own, texts = UnitEncoder(path), many_units(20_000)
+    profile = cProfile.Profile()
+    got = profile.runcall(own.encode, texts)
+    assert pstats.Stats(profile).total_calls < 20_000
+    assert [np.frombuffer(v, own.dtype).tolist() for v in got] == [e.ids for e in WHOLE[path].encode_batch(texts, add_special_tokens=False)]
